@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
@@ -12,6 +13,7 @@ from .embedding_dedup import forest_links
 from .jaccard_join import jaccard_components
 from .sharding import shard_documents
 from .topk_search import top_k
+from .toxicity import fit_toxicity, held_out, score_documents
 from .url_filter import Rule, judge_urls
 
 URL_RULES = [
@@ -49,6 +51,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_model())
 
@@ -62,6 +70,7 @@ QUERIES = {
     "op2_topk_search": op2_topk_search,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
