@@ -20,7 +20,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,7 +33,8 @@ from .common import Scratch
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_COUNTER_WORDS = 400_000
+_COUNTER_WORDS = 300_000
+_SLICE_BYTES = 1 << 20
 
 
 def split_words(text: str | None) -> list[str]:
@@ -51,21 +55,36 @@ def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def text_slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of slices of about _SLICE_BYTES, so that no more than a slice is split at a time."""
+    column = batch.column(text_col)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(column):
+        held = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, held + _SLICE_BYTES, side="right")))
+        yield low, column.slice(low, high - low).to_pylist()
+        low = high
+
+
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """word, n over all documents; counted within each task before the shuffle."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(held: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in batches:
-            for text in batch[text_col]:
-                held.update(split_words(text))
+            for _, texts in text_slices(batch, text_col):
+                for text in texts:
+                    held.update(split_words(text))
                 if len(held) > _COUNTER_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield rows(held)
                     held = Counter()
-        if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        yield rows(held)
 
-    return docs.select(text_col).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(spark: SparkSession, counts: DataFrame, model: str, table_words: int) -> DataFrame:
@@ -103,29 +122,29 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     scratch.drop(counts)
     shared = spark.sparkContext.broadcast((model, dict(zip(made["word"], zip(made["ids"], made["pieces"], strict=True), strict=True))))
 
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_, common = shared.value
         tokenizer = load_tokenizer(model_)
         pieces = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
         for batch in batches:
-            split = [split_words(t) for t in batch[text_col]]
-            rare = list({w for words in split for w in words if w not in common})
-            found = {w: (" ".join(map(str, ids)), " ".join(pieces[i] for i in ids)) for w, ids in zip(rare, encode_words(tokenizer, rare), strict=True)}
-            found = {w: common[w] if w in common else found[w] for words in split for w in words} if rare else common
-            ids, decoded = [], []
-            for words in split:
-                pairs = [found[w] for w in words]
-                ids.append(" ".join([p[0] for p in pairs if p[0]]))
-                decoded.append(" ".join([p[1] for p in pairs if p[0]]))
-            out = {c: batch[c] for c in (id_col, *keep_columns)} | {
-                "n_tokens": [x.count(" ") + 1 if x else 0 for x in ids],
-                "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
-            }
-            if keep_output:
-                out |= {"ids": [[int(i) for i in x.split()] for x in ids], "decoded": decoded}
-            yield pd.DataFrame(out)
+            for low, texts in text_slices(batch, text_col):
+                split = [split_words(t) for t in texts]
+                rare = list({w for words in split for w in words if w not in common})
+                found = {w: (" ".join(map(str, ids)), " ".join([pieces[i] for i in ids])) for w, ids in zip(rare, encode_words(tokenizer, rare), strict=True)}
+                ids, decoded = [], []
+                for words in split:
+                    pairs = [common.get(w) or found[w] for w in words]
+                    ids.append(" ".join([p[0] for p in pairs if p[0]]))
+                    decoded.append(" ".join([p[1] for p in pairs if p[0]]))
+                out = {c: batch.column(c).slice(low, len(texts)) for c in (id_col, *keep_columns)} | {
+                    "n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
+                    "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+                }
+                if keep_output:
+                    out |= {"ids": pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), "decoded": decoded}
+                yield pa.RecordBatch.from_pydict(out)
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in (id_col, *keep_columns)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_output else "")
-    return docs.select(*dict.fromkeys((id_col, *keep_columns, text_col))).mapInPandas(put_together, schema).withColumnRenamed(id_col, "doc_id")
+    return docs.select(*dict.fromkeys((id_col, *keep_columns, text_col))).mapInArrow(put_together, schema).withColumnRenamed(id_col, "doc_id")
