@@ -226,3 +226,19 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     named = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(scratch.save(named, "named"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that link to a smaller id: one row of each component stays, and all rows with a null id.
+
+    The ids that go are broadcast if they are at most BROADCAST_ROWS, else both sides are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "keepone")
+    found = scratch.save(jaccard_components(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    ids = found.where("doc_id is not null").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

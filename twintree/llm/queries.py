@@ -11,7 +11,9 @@ from .bpe import encode_documents
 from .common import table
 from .embedding_dedup import forest_links
 from .jaccard_join import jaccard_components
+from .mixing import mix
 from .sharding import shard_documents
+from .surrogates import replace_entities
 from .topk_search import top_k
 from .toxicity import fit_toxicity, held_out, score_documents
 from .url_filter import Rule, judge_urls
@@ -47,10 +49,19 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), diagnose=True)
+    return mixed.where("kept").select("doc_id", "lang", "source", "topic", "n_words", "inclusion")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -69,7 +80,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_topk_search": op2_topk_search,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_surrogates": op5_surrogates,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
