@@ -1,6 +1,68 @@
-STAGES = []
+"""The corpus pipeline: documents -> toxicity -> near duplicates -> personal data -> mixture -> tokens.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns the columns of
+documents, but for the last, which returns token ids. run() writes every stage's rows to the shared folder and reads them
+again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twintree.llm.bpe import encode_documents
+from twintree.llm.common import Scratch, table
+from twintree.llm.jaccard_join import keep_one
+from twintree.llm.mixing import mix
+from twintree.llm.queries import tokenizer_model
+from twintree.llm.surrogates import replace_entities
+from twintree.llm.toxicity import fit_toxicity, score_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs.select(*COLUMNS), model).where(F.col("predicted") == 0).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: five-word shingles, similarity 0.8 or more."""
+    return keep_one(docs.select(*COLUMNS), words=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates; no document goes."""
+    return replace_entities(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to tempered source, language and topic shares."""
+    return mix(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    out = encode_documents(docs, tokenizer_model(), keep_output=True, keep_columns=("lang", "source"))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: A trained classifier, trie join and tokenizer have no SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return docs
