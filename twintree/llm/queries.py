@@ -13,6 +13,7 @@ from .embedding_dedup import forest_links
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .surrogates import replace_entities
 from .topk_search import top_k
 from .toxicity import fit_toxicity, held_out, score_documents
@@ -45,6 +46,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -79,6 +84,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_topk_search": op2_topk_search,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_surrogates": op5_surrogates,
     "op6_embedding_dedup": op6_embedding_dedup,
