@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 # Block group types and profiles by bit, as the file system writes them.
 GROUP_TYPES = {1: "data", 2: "system", 4: "metadata"}
@@ -123,17 +124,17 @@ def crc32c_of(data: bytes, state: int = 0xFFFFFFFF, final: int = 0xFFFFFFFF) ->
     return state ^ final
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else crc32c_of(bytes(x)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def name_hash(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else crc32c_of(bytes(x), 0xFFFFFFFE, 0))
 
 
-@F.pandas_udf("struct<data: binary, error: string>")
+@F.pandas_udf(StructType().add("data", BinaryType()).add("error", StringType()))
 def decompressed(code: pd.Series, data: pd.Series, size: pd.Series) -> pd.DataFrame:
     """Extent bytes by compression code: zlib streams carry 8 leading bytes of lengths; LZO has no decoder here."""
 
