@@ -99,6 +99,8 @@ class Trie:
             own = [self.paths[level][k] for k in nodes]
             lengths = np.array([len(p) for p in own])
             flat = np.concatenate(own)
+            if not len(flat):
+                break  # all that are left end above this level
             at = np.searchsorted(probe, flat)
             hits = np.concatenate([[0], np.cumsum(probe[np.minimum(at, n - 1)] == flat)])
             ends = np.cumsum(lengths)
