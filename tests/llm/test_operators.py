@@ -188,9 +188,9 @@ def sets_of(text: str | None, words: int) -> frozenset:
     return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1)))
 
 
-@pytest.mark.parametrize(("words", "percent", "chunk"), [(4, 85, 256), (2, 60, 3)])
-def test_jaccard_join(docs, texts, words, percent, chunk):
-    got = {r["doc_id"]: r for r in jaccard_components(docs, words, percent, chunk=chunk, hot_least=3).collect()}
+@pytest.mark.parametrize(("words", "percent", "chunk", "pair_sets"), [(4, 85, 256, 64), (2, 60, 3, 3), (4, 85, 256, 1)])
+def test_jaccard_join(docs, texts, words, percent, chunk, pair_sets):
+    got = {r["doc_id"]: r for r in jaccard_components(docs, words, percent, chunk=chunk, hot_least=3, pair_sets=pair_sets).collect()}
     sets = {i: sets_of(t, words) for i, t in texts.items()}
     ids = sorted(sets)
     links = [(i, j) for i in ids for j in ids if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]

@@ -2,7 +2,7 @@
 
 Shingle sets are ordered by one global order: ordinary shingles by hash, shingles that a bounded sample shows to be
 frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (n: the set's size), so sets
-meet only through these prefixes: a shared prefix shingle sends its sets to the group of its smallest set. A group's sets
+meet only through these prefixes: sets that share enough of them come to the group of the smallest. A group's sets
 are stored in a trie whose levels hold 16, 32, 64, ... shingles. A probing set walks it level by level; the overlap with
 a path is computed once for all sets below it, and a subtree is pruned when its overlap and the remaining lengths can no
 longer reach what its smallest set needs, or when all its sets are in the probe's component already. Groups put out
@@ -153,10 +153,45 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str, sample_rows: i
     return np.array([r["h"] for r in reversed(best)], dtype=np.int64).view(np.uint64)
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256) -> DataFrame:
+def _small(table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(table) if table.count() <= bound else table
+
+
+def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -> DataFrame:
+    """leader, node, digest: groups in which every two sets that may link meet.
+
+    A prefix shingle of at most pair_sets sets gives their pairs (of sizes that can link). A linked pair shares, of its
+    prefixes, as many shingles as its overlap needs beyond what can follow the prefixes; pairs with fewer are passed over,
+    shingles of larger groups counting for every set that has them. The sets of a larger group all meet.
+    """
+    postings = nodes.select("node", "digest", "size", F.explode("prefix").alias("token"))
+    tokens = scratch.save(postings.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"), "tokens")
+    few = tokens.where(F.col("sets") <= pair_sets).select("token")
+    many = tokens.where(F.col("sets") > pair_sets).select("token", "leader")
+    met = postings.join(_small(few), "token").groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
+    size = lambda x: x["size"]
+    fits = lambda x, y: (x["node"] < y["node"]) & (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
+    pairs = met.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: fits(F.col("a"), y))).alias("b"))
+    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    common = scratch.save(postings.join(_small(many), "token"), "common")
+    extra = scratch.save(common.groupBy("digest").agg(F.count("*").alias("extra")), "extra")
+    known = _small(extra)
+    counted = pairs.withColumn("da", F.col("a.digest")).withColumn("db", F.col("b.digest"))
+    counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
+    reach = F.col("shared") + F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
+    total, larger = F.col("a.size") + F.col("b.size"), F.greatest("a.size", "b.size")
+    overlap = F.ceil(percent * total / F.lit(100 + percent) - F.lit(1e-9))
+    after = F.ceil(percent * larger / F.lit(100) + F.lit(1e-9)) - 1
+    likely = counted.where(reach >= overlap - after).select("a", "b")
+    ends = likely.select(F.col("a.node").alias("leader"), F.explode(F.array("a", "b")).alias("x")).select("leader", "x.node", "x.digest")
+    return ends.unionByName(common.select("leader", "node", "digest")).distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
-    sample_rows, hot_least and hot_most bound the list of frequent shingles, which is broadcast; chunk bounds a block.
+    sample_rows, hot_least and hot_most bound the list of frequent shingles, which is broadcast; chunk bounds a block;
+    pair_sets is the largest group of a shingle that is taken apart into pairs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -177,14 +212,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     sketches = scratch.save(docs.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, prefix array<long>"), "sketches")
     usable = sketches.where("digest is not null and doc_id is not null")
-    nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "nodes")
-    postings = nodes.select("node", "digest", F.explode("prefix").alias("token"))
-    tokens = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1").select("token", "leader")
-    tokens = scratch.save(tokens, "tokens")
-    met = tokens.count() <= BROADCAST_ROWS
-    members = postings.join(F.broadcast(tokens) if met else tokens, "token").groupBy("leader", "node", "digest").agg(F.lit(1).alias("one")).drop("one")
-    members = scratch.save(members, "members")
-    scratch.drop(tokens)
+    nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    members = scratch.save(_members(nodes, percent, pair_sets, scratch), "members")
     large = members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1")
     chunks = F.coalesce("chunks", F.lit(1))
     placed = members.join(large, "leader", "left").withColumn("own", F.pmod(F.xxhash64("digest"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
