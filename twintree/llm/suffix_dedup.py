@@ -257,9 +257,11 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
     kind = "core long, windows long, left binary, right binary, at long, run long"
     sorted_ = met.where(F.col("ways") <= hot_sequences).select("core", "windows", "left", "right", "n").repartition("core").sortWithinPartitions("core").mapInArrow(sort, kind)
     found = scratch.save(sorted_, "found")
-    named = ["core", "windows", "left", "right"]
-    few = found.count() <= BROADCAST_ROWS // 8
-    repeats = rows.join(F.broadcast(found) if few else found, named).select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows"))
+    # both sides meet by two hashes of the sequence, at every size alike: margins stay out of the shuffle
+    named = ("core", "windows", "left", "right")
+    hashes = [F.xxhash64(*named).alias("h1"), F.xxhash64(F.lit("second"), *named).alias("h2")]
+    sites = rows.select("doc", "first", *hashes).join(found.select("at", "run", *hashes), ["h1", "h2"])
+    repeats = sites.select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows"))
     repeats = repeats.unionByName(whole)
     hot = cores.where(F.col("ways") > hot_sequences).select("core")
     if hot.limit(1).count():
