@@ -41,7 +41,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "name": rf"\b(?:{FEMALE}|{MALE})\.? {_NAME}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,128}|\bsk-[A-Za-z0-9_-]{20,128}|(?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,128}|\bsk-[A-Za-z0-9_-]{20,128}|(?<=(?i:token|secret|password|passwd|api.key)[ \t]{0,3}[=:][ \t]{0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -160,13 +160,30 @@ def surrogate(kind: Column, entity: Column, seed: Column, key: str) -> Column:
     )
 
 
-def found_in(text: Column) -> Column:
-    """The text's entities in order, as structs (entity, kind, canon); steps are nested so that each is evaluated once."""
-    entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+def _may_hold(line: Column) -> Column:
+    """False only for lines in which no pattern can match: a test of single characters and plain substrings."""
+    found = line.rlike(r"[0-9@=]|:[ \t]{0,3}[\"']")
+    for title in f"{MALE}|{FEMALE}".split("|"):
+        found = found | F.contains(line, F.lit(f"{title}. ")) | F.contains(line, F.lit(f"{title} "))
+    return found
+
+
+def _of_line(line: Column) -> Column:
+    """The line's entities in order, as structs (entity, kind, canon); steps are nested so that each is evaluated once."""
+    entities = F.regexp_extract_all(line, F.lit(ENTITY), F.lit(0))
     typed = F.transform(entities, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
     return F.transform(typed, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), canonical(s["kind"], s["entity"]).alias("canon")))
 
 
+def _lines(text: Column) -> Column:
+    """No entity goes across a line's end."""
+    return F.split(text, "\n", -1)
+
+
+def found_in(text: Column) -> Column:
+    return F.flatten(F.transform(F.filter(_lines(text), _may_hold), _of_line))
+
+
 def _later_attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame | None:
     """(kind, canon, attempt) of the entities whose first surrogates collide; None if none does.
 
@@ -197,7 +214,7 @@ def replace_entities(docs: DataFrame, key: str = "twintree", text_col: str = "te
     text = F.col(text_col)
     seen = docs.select(F.explode(found_in(text)).alias("e")).groupBy("e.kind", "e.canon").agg(F.min("e.entity").alias("entity"))
     late = _later_attempts(seen, key, scratch)
-    found = docs.withColumn("__entities", found_in(text))
+    found = docs
     attempt = lambda s: F.lit(0)
     if late is not None:
         said = docs.select(F.sha2(text.cast("binary"), 256).alias("__digest"), F.explode(found_in(text)).alias("e")).select("__digest", "e.kind", "e.canon").join(late, ["kind", "canon"])
@@ -205,10 +222,18 @@ def replace_entities(docs: DataFrame, key: str = "twintree", text_col: str = "te
         known = F.broadcast(known) if known.count() <= 10_000 else known
         found = found.withColumn("__digest", F.sha2(text.cast("binary"), 256)).join(known, "__digest", "left")
         attempt = lambda s: F.coalesce(F.try_element_at(F.col("__late"), F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
-    seeded = F.transform("__entities", lambda s: F.struct(s["kind"].alias("kind"), s["entity"].alias("entity"), seed_of(s["kind"], s["canon"], attempt(s), key).alias("seed")))
-    made = F.transform(seeded, lambda s: surrogate(s["kind"], s["entity"], s["seed"], key))
-    pieces = F.zip_with(F.split(text, ENTITY, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    out = found.withColumn(text_col, F.when(F.size("__entities") > 0, F.array_join(pieces, "")).otherwise(text))
+
+    def rewritten(s: Column) -> Column:
+        seeded = F.transform(s["e"], lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), seed_of(x["kind"], x["canon"], attempt(x), key).alias("seed")))
+        made = F.transform(seeded, lambda x: surrogate(x["kind"], x["entity"], x["seed"], key))
+        pieces = F.zip_with(F.split(s["line"], ENTITY, -1), made, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+        none = F.coalesce(F.size(s["e"]), F.lit(0)) <= 0
+        return F.struct(F.when(none, s["line"]).otherwise(F.array_join(pieces, "")).alias("line"), F.when(none, 0).otherwise(F.size(s["e"])).alias("n"))
+
+    split = F.transform(_lines(text), lambda line: F.struct(line.alias("line"), F.when(_may_hold(line), _of_line(line)).alias("e")))
+    found = found.withColumn("__lines", F.transform(split, rewritten))
+    count = F.coalesce(F.aggregate("__lines", F.lit(0), lambda n, s: n + s["n"]), F.lit(0)).cast("long")
+    out = found.withColumn(text_col, F.array_join(F.transform("__lines", lambda s: s["line"]), "\n"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__entities") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("n_entities", F.when(text.isNull(), F.lit(0)).otherwise(F.size("__entities")).cast("long")).select(*docs.columns, "n_entities")
+        out = out.withColumn("n_chars", F.when(count > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("n_entities", count).select(*docs.columns, "n_entities")
