@@ -110,7 +110,7 @@ def word_table(spark: SparkSession, counts: DataFrame, model: str, table_words:
     return found.select("word", F.array_join(F.transform("all", lambda x: x["id"].cast("string")), " ").alias("ids"), F.array_join(F.transform("all", lambda x: x["piece"]), " ").alias("pieces"))
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 18, keep_output: bool = False, keep_columns: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 17, keep_output: bool = False, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_output also ids (array) and decoded (text).
 
     keep_columns: columns of the input that are handed through.
