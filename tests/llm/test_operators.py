@@ -22,7 +22,7 @@ from twintree.llm.jaccard_join import jaccard_components, keep_one
 from twintree.llm.mixing import inclusion, mix, rake
 from twintree.llm.sharding import shard_documents
 from twintree.llm.suffix_dedup import column_sort, remove_repeats
-from twintree.llm.surrogates import replace_entities
+from twintree.llm.surrogates import FEMALE, KEY_STARTS, MALE, _of_line, found_in, replace_entities
 from twintree.llm.topk_search import top_k
 from twintree.llm.toxicity import fit_toxicity, held_out, score_documents
 from twintree.llm.url_filter import Rule, judge_urls
@@ -236,6 +236,20 @@ def test_surrogates_stay_distinct(spark):
     assert len({t.split()[1] for t in got}) == len({t.split()[1] for _, t in rows})
 
 
+def test_surrogates_of_lines_without_digits(spark):
+    """The test of lines before the search lets pass what each pattern finds."""
+    letters = "qwertyuiopasdfghjklzxcvbnmqwertyuiopasdfgh"
+    keys = [f"key {start}{letters.upper()[:16] if start.isupper() else letters} here" for start in KEY_STARTS]
+    titles = [f"{title}{dot} Smith" for title in f"{MALE}|{FEMALE}".split("|") for dot in ("", ".")]
+    quoted = [f"{word}{sign} {q}hunterhunter{q}" for word in ("Token", "api key", "passwd") for sign in ":=" for q in "\"'"]
+    others = ["to a@x.com", "123-45-6789", "8.196.197.208", "4111111111111111", "(743) 555-3824", "+49 30 1234", "GB82 WEST 1234 5698 7654 32"]
+    df = spark.createDataFrame([(t,) for t in keys + titles + quoted + others], "text string")
+    for r in df.select("text", found_in(F.col("text")).alias("got"), _of_line(F.col("text")).alias("all")).collect():
+        assert r["got"] == r["all"] and len(r["got"]) == 1, r["text"]
+    assert {r["n_entities"] for r in replace_entities(df).collect()} == {1}
+    assert not {r["text"] for r in replace_entities(df).collect()} & set(keys)
+
+
 def test_raking_and_mixing(docs, texts):
     codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
     fitted = rake(np.array([10.0, 20.0, 30.0, 40.0]), codes, [np.array([0.5, 0.5]), np.array([0.3, 0.7])])

@@ -44,6 +44,8 @@ PATTERNS = {
     "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,128}|\bsk-[A-Za-z0-9_-]{20,128}|(?<=(?i:token|secret|password|passwd|api.key)[ \t]{0,3}[=:][ \t]{0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# What access keys begin with: they need no digit or sign.
+KEY_STARTS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def kind_of(entity: Column) -> Column:
@@ -165,6 +167,8 @@ def _may_hold(line: Column) -> Column:
     found = line.rlike(r"[0-9@=]|:[ \t]{0,3}[\"']")
     for title in f"{MALE}|{FEMALE}".split("|"):
         found = found | F.contains(line, F.lit(f"{title}. ")) | F.contains(line, F.lit(f"{title} "))
+    for start in KEY_STARTS:
+        found = found | F.contains(line, F.lit(start))
     return found
 
 
