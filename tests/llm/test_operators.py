@@ -250,6 +250,20 @@ def test_surrogates_of_lines_without_digits(spark):
     assert not {r["text"] for r in replace_entities(df).collect()} & set(keys)
 
 
+@pytest.mark.parametrize("n", [129, 2_000, 200_000])
+def test_surrogates_of_long_secrets(spark, n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ABCDEFGHIJabcdefghij.0123456789") for _ in range(n - 1)) + "e"
+    bare = value.replace(".", "x")
+    texts = [f'token = "{value}" end', f"use sk-{bare} end", f"use ghp_{bare} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in replace_entities(df).collect()}
+    for i, t in enumerate(texts):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and len(new) == len(t) and new.endswith(t[-4:])
+        assert not {t[k : k + 20] for k in range(10, len(t) - 24)} & {new[k : k + 20] for k in range(len(new))}
+
+
 def test_raking_and_mixing(docs, texts):
     codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
     fitted = rake(np.array([10.0, 20.0, 30.0, 40.0]), codes, [np.array([0.5, 0.5]), np.array([0.3, 0.7])])

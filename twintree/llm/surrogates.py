@@ -41,7 +41,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "name": rf"\b(?:{FEMALE}|{MALE})\.? {_NAME}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,128}|\bsk-[A-Za-z0-9_-]{20,128}|(?<=(?i:token|secret|password|passwd|api.key)[ \t]{0,3}[=:][ \t]{0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|(?<=(?i:token|secret|password|passwd|api.key)[ \t]{0,3}[=:][ \t]{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What access keys begin with: they need no digit or sign.
@@ -83,19 +83,21 @@ def _letter(alphabet: str, at: Column) -> Column:
     return F.substr(F.lit(alphabet), at.cast("int") + 1, F.lit(1))
 
 
-def _same_shape(text: Column, seed: Column, keep: int, hexadecimal: Column | None = None) -> Column:
-    """Letters and digits after the first `keep` are exchanged for others of their kind, case and script."""
+def _same_shape(text: Column, seed: Column, keep: int, latin: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """Letters and digits after the first `keep` are exchanged for others of their kind, case and script.
 
-    def one(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        place = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        latin = _letter("abcdefghijklmnopqrstuvwxyz", _number(seed, place, 26))
-        if hexadecimal is not None:
-            latin = F.when(hexadecimal, _letter("abcdef", _number(seed, place, 6))).otherwise(latin)
-        low = F.when(c.rlike(r"\p{IsCyrillic}"), _letter("абвгдежзиклмнопрст", _number(seed, place, 18))).when(c.rlike(r"\p{IsGreek}"), _letter("αβγδεζηθικλμνοπρτυ", _number(seed, place, 18))).otherwise(latin)
-        return F.when(~c.rlike(r"[\p{L}\p{N}]") | (place <= keep), c).when(c.rlike(r"\p{N}"), _number(seed, place, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).otherwise(low)
+    Linear in the text: letters and digits are drawn by their number, then put back between the signs.
+    """
+
+    def one(c: Column, i: Column) -> Column:
+        place = i + 1
+        drawn = _letter(latin, _number(seed, place, len(latin)))
+        low = F.when(c.rlike(r"\p{IsCyrillic}"), _letter("абвгдежзиклмнопрст", _number(seed, place, 18))).when(c.rlike(r"\p{IsGreek}"), _letter("αβγδεζηθικλμνοπρτυ", _number(seed, place, 18))).otherwise(drawn)
+        return F.when((c == "") | (place <= keep), c).when(c.rlike(r"\p{N}"), _number(seed, place, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).otherwise(low)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+    made = F.transform(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""), "", -1), one)
+    signs = F.split(text, r"[\p{L}\p{N}]", -1)
+    return F.array_join(F.zip_with(signs, made, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
 def _luhn_rest(digits: Column) -> Column:
@@ -146,7 +148,9 @@ def _name(entity: Column, seed: Column) -> Column:
 
 
 def seed_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    return F.concat(F.lit(f"{key}|"), kind, F.lit("|"), canon, F.lit("|"), attempt.cast("string"))
+    """Long entities stand in it by their digest, since every letter drawn hashes the seed."""
+    short = F.when(F.length(canon) > 128, F.sha2(canon, 256)).otherwise(canon)
+    return F.concat(F.lit(f"{key}|"), kind, F.lit("|"), short, F.lit("|"), attempt.cast("string"))
 
 
 def surrogate(kind: Column, entity: Column, seed: Column, key: str) -> Column:
@@ -158,7 +162,8 @@ def surrogate(kind: Column, entity: Column, seed: Column, key: str) -> Column:
         .when(kind == "ssn", _same_shape(entity, seed, keep=0))
         .when(kind == "iban", _same_shape(entity, seed, keep=2))
         .when(kind == "name", _name(entity, seed))
-        .otherwise(_same_shape(entity, seed, keep=0, hexadecimal=entity.rlike("^[0-9a-f]+$")))
+        .when(entity.rlike("^[0-9a-f]+$"), _same_shape(entity, seed, keep=0, latin="abcdef"))
+        .otherwise(_same_shape(entity, seed, keep=0))
     )
 
 
