@@ -264,6 +264,19 @@ def test_surrogates_of_long_secrets(spark, n):
         assert not {t[k : k + 20] for k in range(10, len(t) - 24)} & {new[k : k + 20] for k in range(len(new))}
 
 
+def test_surrogates_across_lines(spark):
+    """Lines are searched as the whole text would be, also where a secret's value begins on another line."""
+    value = "hunterhunter"
+    gaps = ["\n", "\r", "\r\n", " \n ", "\n\n", "\f\n\t", "\n\n\n\n"]
+    texts = [f'first\nPassword{a}{sign}{b}"{value}"\nMr. Smith\n"{value}"' for a in ["", *gaps] for sign in "=:" for b in ["", *gaps]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select("text", found_in(F.col("text")).alias("got"), _of_line(F.col("text")).alias("all")).collect()
+    assert all(r["got"] == r["all"] for r in got) and {len(r["got"]) for r in got} == {1, 2}
+    for r in replace_entities(df).collect():
+        t, wide = texts[r["doc_id"]], "\n\n\n\n" in texts[r["doc_id"]]
+        assert r["n_entities"] == (1 if wide else 2) and r["text"].count(value) == (2 if wide else 1) and r["text"].count("\n") == t.count("\n")
+
+
 def test_raking_and_mixing(docs, texts):
     codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
     fitted = rake(np.array([10.0, 20.0, 30.0, 40.0]), codes, [np.array([0.5, 0.5]), np.array([0.3, 0.7])])

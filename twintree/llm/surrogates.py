@@ -41,9 +41,11 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "name": rf"\b(?:{FEMALE}|{MALE})\.? {_NAME}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|(?<=(?i:token|secret|password|passwd|api.key)[ \t]{0,3}[=:][ \t]{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|(?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Line ends outside of what leads to a quoted secret: nothing else in the patterns goes across a line's end.
+_LINE_END = r"\n(?!\s{0,2}[=:]\s{0,3}[\"'](?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"'])|\s{0,2}[\"'](?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"']))"
 # What access keys begin with: they need no digit or sign.
 KEY_STARTS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
@@ -169,7 +171,7 @@ def surrogate(kind: Column, entity: Column, seed: Column, key: str) -> Column:
 
 def _may_hold(line: Column) -> Column:
     """False only for lines in which no pattern can match: a test of single characters and plain substrings."""
-    found = line.rlike(r"[0-9@=]|:[ \t]{0,3}[\"']")
+    found = line.rlike(r"[0-9@=]|:\s{0,3}[\"']")
     for title in f"{MALE}|{FEMALE}".split("|"):
         found = found | F.contains(line, F.lit(f"{title}. ")) | F.contains(line, F.lit(f"{title} "))
     for start in KEY_STARTS:
@@ -185,8 +187,8 @@ def _of_line(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """No entity goes across a line's end."""
-    return F.split(text, "\n", -1)
+    """Lines, or a few where a secret's keyword, sign and quote stand on several: no entity goes across an end of these."""
+    return F.split(text, _LINE_END, -1)
 
 
 def found_in(text: Column) -> Column:
