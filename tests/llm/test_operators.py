@@ -277,6 +277,16 @@ def test_surrogates_across_lines(spark):
         assert r["n_entities"] == (1 if wide else 2) and r["text"].count(value) == (2 if wide else 1) and r["text"].count("\n") == t.count("\n")
 
 
+def test_surrogates_stay_distinct_where_values_are_few(spark, monkeypatch):
+    """One-letter mailboxes of one domain and mailboxes or secrets of signs only are parted by longer surrogates."""
+    monkeypatch.setattr("twintree.llm.surrogates.LAYOUT_ATTEMPTS", 1, raising=False)  # for speed
+    mails = [f"{chr(97 + i)}@x.com" for i in range(26)] + ["_@x.com", "%@x.com", "+@x.com"]
+    texts = [f"to {m}" for m in mails] + ['password="********"', 'password="--------"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in replace_entities(df).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+
+
 def test_raking_and_mixing(docs, texts):
     codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
     fitted = rake(np.array([10.0, 20.0, 30.0, 40.0]), codes, [np.array([0.5, 0.5]), np.array([0.3, 0.7])])

@@ -7,8 +7,11 @@ written. The surrogate keeps the type, the layout, letter case and script; title
 do; a card number that passes the Luhn check gets a surrogate that does.
 
 Collisions: all distinct entities are given surrogates first. Where two have the same one, or a surrogate is itself an
-entity of the corpus, all but the smallest are given the next attempt, until all are distinct. The few entities with a
-later attempt are the only ones looked up; every other text is rewritten by a function of itself, without a join.
+entity of the corpus, all but the smallest are given the next attempt, until all are distinct. From attempt 21 on a
+surrogate is longer than its entity, by two letters or digits more with each attempt (private addresses become public
+ones instead), so that few possible values do not keep entities together; if 60 attempts do not part all, the operator
+fails. A secret or mailbox of signs only is longer from the first. The few entities with a later attempt are the only
+ones looked up; every other text is rewritten by a function of itself, without a join.
 
 Cases: a null text stays null with no entities; an empty text stays empty; repeated rows are rewritten alike; other
 columns are handed through, n_chars (if there is one) is counted anew; a column named n_entities is replaced.
@@ -31,6 +34,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("rnan", "lina"), "cyrillic": ("слав", "нина"), "greek": ("νος", "νια")}
 
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?"
 PATTERNS = {
@@ -46,6 +50,9 @@ PATTERNS = {
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Line ends outside of what leads to a quoted secret: nothing else in the patterns goes across a line's end.
 _LINE_END = r"\n(?!\s{0,2}[=:]\s{0,3}[\"'](?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"'])|\s{0,2}[\"'](?<=(?i:token|secret|password|passwd|api.key)\s{0,3}[=:]\s{0,3}[\"']))"
+# Attempts that keep the layout, and attempts in all.
+LAYOUT_ATTEMPTS = 20
+ATTEMPTS = 60
 # What access keys begin with: they need no digit or sign.
 KEY_STARTS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
@@ -85,7 +92,19 @@ def _letter(alphabet: str, at: Column) -> Column:
     return F.substr(F.lit(alphabet), at.cast("int") + 1, F.lit(1))
 
 
-def _same_shape(text: Column, seed: Column, keep: int, latin: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+def _wider(seed: Column, width: Column, pieces: str | list[str]) -> Column:
+    """`width` further pieces."""
+    parts = F.array(*map(F.lit, pieces))
+    drawn = F.transform(F.sequence(F.lit(1), width), lambda i: F.element_at(parts, (_number(seed, F.concat(F.lit("more"), i.cast("string")), len(pieces)) + 1).cast("int")))
+    return F.when(width > 0, F.array_join(drawn, "")).otherwise("")
+
+
+def _least_width(text: Column, width: Column) -> Column:
+    """Signs are not exchanged, so a text of signs only is made longer."""
+    return F.when(text.rlike(r"[\p{L}\p{N}]"), width).otherwise(width + 2)
+
+
+def _same_shape(text: Column, seed: Column, keep: int, latin: str = LETTERS) -> Column:
     """Letters and digits after the first `keep` are exchanged for others of their kind, case and script.
 
     Linear in the text: letters and digits are drawn by their number, then put back between the signs.
@@ -109,28 +128,28 @@ def _luhn_rest(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x)) % 10
 
 
-def _card(entity: Column, seed: Column) -> Column:
-    drawn = _same_shape(entity, seed, keep=1)
+def _card(entity: Column, seed: Column, width: Column) -> Column:
+    drawn = F.concat(_same_shape(entity, seed, keep=1), _wider(seed, width, DIGITS))
     digits = F.regexp_replace(drawn, r"\D", "")
     last = F.pmod(F.substr(digits, F.length(digits), F.lit(1)).cast("int") - _luhn_rest(digits), F.lit(10))
     valid = _luhn_rest(F.regexp_replace(entity, r"\D", "")) == 0
     return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), last.cast("string"))).otherwise(drawn)
 
 
-def _email(entity: Column, seed: Column, key: str) -> Column:
+def _email(entity: Column, seed: Column, width: Column, key: str) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.lower(F.substring_index(entity, "@", -1))
     at = F.concat(F.lit(f"{key}|domain|"), domain)
     place = F.concat(F.lit("mail"), _number(at, "host", 10_000).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (_number(at, "zone", 3) + 1).cast("int")))
-    return F.concat(_same_shape(local, seed, keep=0), F.lit("@"), place)
+    return F.concat(_same_shape(local, seed, keep=0), _wider(seed, _least_width(local, width), LETTERS), F.lit("@"), place)
 
 
-def _ip(entity: Column, seed: Column) -> Column:
+def _ip(entity: Column, seed: Column, width: Column) -> Column:
     rest = F.transform(F.sequence(F.lit(2), F.lit(4)), lambda i: (_number(seed, i, 254) + 1).cast("string"))
-    first = F.when(entity.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"), "10").otherwise((_number(seed, "first", 112) + 11).cast("string"))
+    first = F.when((width == 0) & entity.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"), "10").otherwise((_number(seed, "first", 112) + 11).cast("string"))
     return F.concat_ws(".", first, rest)
 
 
-def _name(entity: Column, seed: Column) -> Column:
+def _name(entity: Column, seed: Column, width: Column) -> Column:
     bare = _bare_name(entity)
     title = F.substr(entity, F.lit(1), F.length(entity) - F.length(bare))
     female = _gender(entity) == "f"
@@ -138,7 +157,7 @@ def _name(entity: Column, seed: Column) -> Column:
     def build(script: str, word: str, ending: Column) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script]))
         drawn = [F.element_at(parts, (_number(seed, f"{word}{k}", len(SYLLABLES[script])) + 1).cast("int")) for k in range(4)]
-        return F.initcap(F.concat(*drawn, ending))
+        return F.initcap(F.concat(*drawn, _wider(seed, width, SYLLABLES[script]) if word == "given" else F.lit(""), ending))
 
     def whole(script: str) -> Column:
         given = build(script, "given", F.when(female, ENDINGS[script][1]).otherwise(ENDINGS[script][0]))
@@ -155,17 +174,22 @@ def seed_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return F.concat(F.lit(f"{key}|"), kind, F.lit("|"), short, F.lit("|"), attempt.cast("string"))
 
 
-def surrogate(kind: Column, entity: Column, seed: Column, key: str) -> Column:
+def width_of(attempt: Column) -> Column:
+    """By how many letters or digits the attempt's surrogates are longer."""
+    return F.greatest(attempt - LAYOUT_ATTEMPTS, F.lit(0)) * 2
+
+
+def surrogate(kind: Column, entity: Column, seed: Column, width: Column, key: str) -> Column:
     return (
-        F.when(kind == "email", _email(entity, seed, key))
-        .when(kind == "ip", _ip(entity, seed))
-        .when(kind == "card", _card(entity, seed))
-        .when(kind == "phone", _same_shape(entity, seed, keep=1))
-        .when(kind == "ssn", _same_shape(entity, seed, keep=0))
-        .when(kind == "iban", _same_shape(entity, seed, keep=2))
-        .when(kind == "name", _name(entity, seed))
-        .when(entity.rlike("^[0-9a-f]+$"), _same_shape(entity, seed, keep=0, latin="abcdef"))
-        .otherwise(_same_shape(entity, seed, keep=0))
+        F.when(kind == "email", _email(entity, seed, width, key))
+        .when(kind == "ip", _ip(entity, seed, width))
+        .when(kind == "card", _card(entity, seed, width))
+        .when(kind == "phone", F.concat(_same_shape(entity, seed, keep=1), _wider(seed, width, DIGITS)))
+        .when(kind == "ssn", F.concat(_same_shape(entity, seed, keep=0), _wider(seed, width, DIGITS)))
+        .when(kind == "iban", F.concat(_same_shape(entity, seed, keep=2), _wider(seed, width, DIGITS)))
+        .when(kind == "name", _name(entity, seed, width))
+        .when(entity.rlike("^[0-9a-f]+$"), F.concat(_same_shape(entity, seed, keep=0, latin="abcdef"), _wider(seed, width, "abcdef")))
+        .otherwise(F.concat(_same_shape(entity, seed, keep=0), _wider(seed, _least_width(entity, width), LETTERS)))
     )
 
 
@@ -200,20 +224,28 @@ def _later_attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFram
 
     entities: distinct (kind, canon, entity); entity is one way to write it.
     """
-    state = scratch.save(entities.select("kind", "canon", "entity", F.lit(0).alias("attempt")), "attempts")
-    for _ in range(20):
-        drawn = state.withColumn("seed", seed_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-        drawn = drawn.withColumn("drawn", surrogate(F.col("kind"), F.col("entity"), F.col("seed"), key))
-        drawn = scratch.save(drawn.select("kind", "canon", canonical(F.col("kind"), F.col("drawn")).alias("made")), "drawn")
-        first = drawn.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        real = state.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
+    kind, attempt = F.col("kind"), F.col("attempt")
+    new = surrogate(kind, F.col("entity"), F.col("seed"), F.col("width"), key)
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        seeded = rows.withColumn("seed", seed_of(kind, F.col("canon"), attempt, key)).withColumn("width", width_of(attempt))
+        return seeded.withColumn("drawn", new).select("kind", "canon", "entity", "attempt", canonical(kind, F.col("drawn")).alias("made"))
+
+    state = scratch.save(drawn(entities.select("kind", "canon", "entity", F.lit(0).alias("attempt"))), "attempts")
+    for last in range(ATTEMPTS + 1):
+        first = state.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        real = state.select("kind", F.col("canon").alias("made"))
         # only entities whose surrogate is shared or real move on; both tables hardly ever have rows
-        shared = drawn.join(first, ["kind", "made"]).where("canon <> first").select("kind", "canon")
-        taken = drawn.join(real, ["kind", "made"]).select("kind", "canon")
+        shared = state.join(first, ["kind", "made"]).where("canon <> first").select("kind", "canon")
+        taken = state.join(real, ["kind", "made"]).select("kind", "canon")
         moved = scratch.save(shared.unionByName(taken).distinct(), "moved")
         if not moved.limit(1).count():
             break
-        state = scratch.save(state.join(moved.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "attempts")
+        if last == ATTEMPTS:
+            left = {r["kind"]: r["count"] for r in moved.groupBy("kind").count().collect()}
+            raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts, entities by kind: {left}")
+        again = drawn(state.join(moved, ["kind", "canon"]).select("kind", "canon", "entity", (attempt + 1).alias("attempt")))
+        state = scratch.save(state.join(moved, ["kind", "canon"], "left_anti").select(*again.columns).unionByName(again), "attempts")
     late = scratch.save(state.where("attempt > 0").select("kind", "canon", "attempt"), "late")
     return late if late.limit(1).count() else None
 
@@ -235,8 +267,8 @@ def replace_entities(docs: DataFrame, key: str = "twintree", text_col: str = "te
         attempt = lambda s: F.coalesce(F.try_element_at(F.col("__late"), F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
 
     def rewritten(s: Column) -> Column:
-        seeded = F.transform(s["e"], lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), seed_of(x["kind"], x["canon"], attempt(x), key).alias("seed")))
-        made = F.transform(seeded, lambda x: surrogate(x["kind"], x["entity"], x["seed"], key))
+        seeded = F.transform(s["e"], lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), seed_of(x["kind"], x["canon"], attempt(x), key).alias("seed"), width_of(attempt(x)).alias("width")))
+        made = F.transform(seeded, lambda x: surrogate(x["kind"], x["entity"], x["seed"], x["width"], key))
         pieces = F.zip_with(F.split(s["line"], ENTITY, -1), made, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
         none = F.coalesce(F.size(s["e"]), F.lit(0)) <= 0
         return F.struct(F.when(none, s["line"]).otherwise(F.array_join(pieces, "")).alias("line"), F.when(none, 0).otherwise(F.size(s["e"])).alias("n"))
