@@ -24,7 +24,7 @@ from twintree.llm.sharding import shard_documents
 from twintree.llm.suffix_dedup import column_sort, remove_repeats
 from twintree.llm.surrogates import FEMALE, KEY_STARTS, MALE, _of_line, found_in, replace_entities
 from twintree.llm.topk_search import top_k
-from twintree.llm.toxicity import fit_toxicity, held_out, score_documents
+from twintree.llm.toxicity import FEATURES, features_of, fit_toxicity, held_out, score_documents
 from twintree.llm.url_filter import Rule, judge_urls
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -335,6 +335,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_documents(docs.limit(0), fit_toxicity(docs.limit(0), marks.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["ТЫ ДУРАК! ", "ÉTÉ À Ñandú ", "ΕΣΥ εισαι ", "YOU are "])
+def test_capitals_count_alike_at_every_length(text):
+    at = FEATURES.index("capitals")
+    share = sum(c.isupper() for c in text) / len(text)
+    for n in (1, 100, 5_000 // len(text) + 1, 5_000):
+        assert abs(features_of(text * n, lambda w: 0.0)[at] - share) < 1e-12
+
+
 @pytest.mark.parametrize("table_words", [0, 40, 1 << 18])
 def test_bpe(spark, docs, texts, table_words):
     more = {1000: "a <|startoftext|>b  don't ½ naïve\x1cx\u2003y", 1001: "\n\t "}

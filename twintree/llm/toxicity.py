@@ -98,7 +98,7 @@ def features_of(text: str | None, weigh) -> list[float]:
     stretched = len(_STRETCHED.findall(text))
     return [
         math.log1p(len(words)), math.log1p(len(hits)), len(hits) / n, sum(weights) / n, max(weights, default=0.0), sum(1 for w in words if w in INSULTS) / n,
-        len(you) / n, near / n, sum(map(str.isupper, text)) / chars if len(text) < 5000 else sum(1 for c in re.findall(r"[A-Z]", text)) / chars,
+        len(you) / n, near / n, sum(map(str.isupper, text)) / chars,
         len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, len(_SIGNS.findall(text)) / chars, len(_RUNS.findall(text)) / n, text.count("!") / n,
         len(inside) / n, stretched / n, math.log1p(undone), sum(map(len, words)) / n,
     ]
