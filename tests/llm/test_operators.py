@@ -343,12 +343,13 @@ def test_capitals_count_alike_at_every_length(text):
         assert abs(features_of(text * n, lambda w: 0.0)[at] - share) < 1e-12
 
 
-@pytest.mark.parametrize("table_words", [0, 40, 1 << 18])
-def test_bpe(spark, docs, texts, table_words):
+@pytest.mark.parametrize(("chunk_words", "buckets"), [(10, 1), (40, 7), (1 << 18, None)])
+def test_bpe(spark, docs, texts, chunk_words, buckets):
     more = {1000: "a <|startoftext|>b  don't ½ naïve\x1cx\u2003y", 1001: "\n\t "}
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
     tokenizer = Tokenizer.from_str(Q.tokenizer_model())
-    got = {r["doc_id"]: r for r in encode_documents(rows, Q.tokenizer_model(), table_words=table_words, keep_output=True).collect()}
+    got = {r["doc_id"]: r for r in encode_documents(rows, Q.tokenizer_model(), chunk_words=chunk_words, buckets=buckets, keep_output=("ids", "decoded")).collect()}
+    assert encode_documents(rows.limit(0), Q.tokenizer_model()).count() == 0
     for i, t in (texts | more).items():
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         decoded = tokenizer.decode(ids, skip_special_tokens=False)

@@ -1,40 +1,51 @@
 """Operator 9: BPE encoding and decoding through a distinct-word table.
 
 A word is a run without white space: the tokenizer drops white space and never merges across it, so a word's ids do not
-depend on its neighbours. Words are split and counted in Spark; each distinct word of the table is encoded once; its ids
-are decoded by a join with the id-to-piece table; and every document's ids and pieces are put together by word position.
+depend on its neighbours.
 
-The table is broadcast, so it has a proven bound: it holds the commonest words, at most table_words of them, as the
-counts of all documents tell. Every other word is rare. A rare word is encoded where it stands, once for each task that
-meets it, and its ids go through the same pieces, so no word is dropped or treated differently in the result.
+1. Texts are split in Spark. A chunk is a run of documents of one task with at most chunk_words distinct words; it is kept
+   as its own words, each once, and every document as codes of its words.
+2. The words of all chunks meet by bucket (a checksum of the word). There every distinct word of the corpus is encoded
+   once, and its ids go back to each chunk that has it.
+3. A chunk's ids join its documents by place, the ids join the id-to-piece table (bounded by the vocabulary), and the
+   documents' ids and texts are put together.
+
+A chunk holds a word once, so the commonest word of all has one row for each chunk: there is no hot key. A task holds one
+chunk's words, or the distinct words of one bucket; `buckets` grows with the number of documents.
 
 Cases: a null text counts as empty and has no ids, as has a text of white space only; special tokens written in a text
-become their ids, as the tokenizers library has it; repeated rows are encoded alike; an empty table gives an empty
-result; only the id and text columns are read.
+become their ids, as the tokenizers library has it; repeated rows are encoded alike; null ids are handed through; an empty
+table gives an empty result; only the id, the text and the columns to keep are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import re
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch
+from .common import Scratch, pack_bytes, pack_ints, unpack_bytes, unpack_ints
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_COUNTER_WORDS = 300_000
 _SLICE_BYTES = 1 << 20
+#: Words that are handed to the library at a time: an encoding takes a hundred times the memory of its ids.
+_AT_ONCE = 2_000
+_DOCS_AT_ONCE = 256
+OUTPUTS = {"ids": "array<int>", "decoded": "string"}
 
 
 def split_words(text: str | None) -> list[str]:
@@ -45,6 +56,7 @@ def split_words(text: str | None) -> list[str]:
 
 def load_tokenizer(model: str) -> Tokenizer:
     """model: the JSON text of a tokenizer; truncation and padding stay unused."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     made = Tokenizer.from_str(model)
     made.no_truncation()
     made.no_padding()
@@ -52,7 +64,10 @@ def load_tokenizer(model: str) -> Tokenizer:
 
 
 def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    found: list[list[int]] = []
+    for low in range(0, len(words), _AT_ONCE):
+        found += [e.ids for e in tokenizer.encode_batch_fast(words[low : low + _AT_ONCE], add_special_tokens=False)]
+    return found
 
 
 def text_slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str | None]]]:
@@ -67,84 +82,192 @@ def text_slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, lis
         low = high
 
 
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """word, n over all documents; counted within each task before the shuffle."""
+def _joined(strings: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Each word's strings (counts tells how many) joined by a space."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), strings), " ")
+
+
+class Chunk:
+    """Documents as codes of their words: 0 is the chunk's next new word, n + 1 the n-th commonest of the repeated ones."""
+
+    def __init__(self):
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.words: list[np.ndarray] = []
+        self.rows: list[pa.RecordBatch] = []
+
+    def add(self, rows: pa.RecordBatch, texts: list[str | None]) -> None:
+        self.rows.append(rows)
+        for text in texts:
+            words = split_words(text)
+            self.words.append(np.fromiter(map(self.index.__getitem__, words), dtype=np.int32, count=len(words)))
+
+    def batches(self, number: int, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Rows of the documents, then rows of the words by bucket, with their places in the order of first use."""
+        found = np.concatenate([*self.words, np.zeros(0, np.int32)])
+        counts = np.bincount(found, minlength=len(self.index))
+        repeated = np.argsort(-counts, kind="stable")[: int((counts > 1).sum())]
+        code = np.zeros(len(counts), dtype=np.int32)
+        code[repeated] = np.arange(1, len(repeated) + 1)
+        new = np.zeros(len(found), dtype=bool)
+        new[np.unique(found, return_index=True)[1]] = True
+        codes = np.where(new, 0, code[found])
+        ends = np.cumsum([0, *map(len, self.words)])
+        firsts = np.concatenate([[0], np.cumsum(new)])[ends]
+        at = 0
+        for rows in self.rows:
+            packed = [pack_ints(codes[ends[k] : ends[k + 1]]) for k in range(at, at + rows.num_rows)]
+            made = {"__chunk": pa.array([number] * rows.num_rows, pa.int64()), "__first": pa.array(firsts[at : at + rows.num_rows], pa.int32()), "__codes": pa.array(packed, pa.binary())}
+            at += rows.num_rows
+            yield _padded(made | {n: rows.column(n) for n in rows.schema.names}, rows.num_rows, schema)
+        words = list(self.index)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int32, count=len(words))
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        out: dict[str, list] = {"__chunk": [], "__bucket": [], "__words": [], "__places": [], "__codes": []}
+        for low, high in zip(cuts.tolist(), np.append(cuts, len(words))[1:].tolist(), strict=True):
+            places = order[low:high]
+            row = (number, int(bucket[places[0]]), pack_bytes(" ".join([words[i] for i in places]).encode()), pack_ints(np.diff(places, prepend=0)), pack_ints(code[places]))
+            for column, value in zip(out.values(), row, strict=True):
+                column.append(value)
+        yield _padded({k: pa.array(v, schema.field(k).type) for k, v in out.items()}, len(cuts), schema)
+
+
+def _padded(columns: dict[str, pa.Array], rows: int, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of the schema; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+#: Rows of documents have __first (new words before them in the chunk) and __codes; rows of words all but __first.
+_OWN = {"__chunk": pa.int64(), "__first": pa.int32(), "__bucket": pa.int32(), "__words": pa.binary(), "__places": pa.binary(), "__codes": pa.binary()}
+_KINDS = "__chunk long, __first int, __bucket int, __words binary, __places binary, __codes binary"
+
 
-    def rows(held: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+def chunk_words_of(docs: DataFrame, text_col: str, chunk_words: int, chunk_bytes: int, buckets: int) -> DataFrame:
+    """Rows of documents (with the columns of docs but the text) and rows of the words of each chunk and bucket."""
+    kept = [f for f in docs.schema if f.name != text_col]
+    names = [f.name for f in kept]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, chunk, size, schema = TaskContext.get().partitionId() << 24, 0, Chunk(), 0, None
         for batch in batches:
-            for _, texts in text_slices(batch, text_col):
-                for text in texts:
-                    held.update(split_words(text))
-                if len(held) > _COUNTER_WORDS:
-                    yield rows(held)
-                    held = Counter()
-        yield rows(held)
-
-    return docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_table(spark: SparkSession, counts: DataFrame, model: str, table_words: int) -> DataFrame:
-    """word, ids, pieces (both joined by one space) of the commonest words; ties at the bound are left out together."""
-    levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("n", F.least("n", F.lit(100_000))).groupBy("n").agg(F.sum("words").alias("words")).orderBy(F.desc("n")).collect()
-    held, least = 0, None
-    for n, words in levels:
-        if (held := held + words) > table_words:
-            break
-        least = n
-    common = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
-    shared = spark.sparkContext.broadcast(model)
+            schema = schema or pa.schema([*(pa.field(n, t) for n, t in _OWN.items()), *(batch.schema.field(n) for n in names)])
+            rows = batch.select(names)
+            for low, texts in text_slices(batch, text_col):
+                chunk.add(rows.slice(low, len(texts)), texts)
+                size += sum(map(len, filter(None, texts)))
+                if len(chunk.index) > chunk_words or size > chunk_bytes:
+                    yield from chunk.batches(first + made, buckets, schema)
+                    made, chunk, size = made + 1, Chunk(), 0
+        if chunk.rows:
+            yield from chunk.batches(first + made, buckets, schema)
+
+    return docs.select(*names, text_col).mapInArrow(chunked, ", ".join([_KINDS, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load_tokenizer(shared.value)
+
+def encode_buckets(words: DataFrame, model: str) -> DataFrame:
+    """__chunk, __places, __codes, __counts, __ids of the words of each chunk; every distinct word is encoded once, in its bucket."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known, bucket = load_tokenizer(shared.value), {}, None
         for batch in batches:
-            yield batch.assign(ids=encode_words(tokenizer, batch["word"].tolist()))
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                counts, ids = [], []
+                for b, packed in zip(part.column("__bucket").to_pylist(), part.column("__words"), strict=True):
+                    if b != bucket:
+                        known, bucket = {}, b
+                    mine = unpack_bytes(packed.as_py()).decode().split(" ")
+                    new = [w for w in mine if w not in known]
+                    known.update(zip(new, (np.array(x, dtype=np.int32) for x in encode_words(tokenizer, new)), strict=True))
+                    found = [known[w] for w in mine]
+                    counts.append(pack_ints(np.fromiter(map(len, found), dtype=np.int32, count=len(found))))
+                    ids.append(pack_ints(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__chunk", "__places", "__codes")), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["__chunk", "__places", "__codes", "__counts", "__ids"])
+
+    placed = words.select("__bucket", "__chunk", "__words", "__places", "__codes").repartition("__bucket").sortWithinPartitions("__bucket")
+    return placed.mapInArrow(encoded, "__chunk long, __places binary, __codes binary, __counts binary, __ids binary")
 
-    vocabulary = load_tokenizer(model).get_vocab(with_added_tokens=True)
-    pieces = spark.createDataFrame(pd.DataFrame({"id": list(vocabulary.values()), "piece": list(vocabulary)}), "id int, piece string")
-    by_place = common.mapInPandas(encoded, "word string, ids array<int>").select("word", F.posexplode("ids").alias("place", "id"))
-    found = by_place.join(F.broadcast(pieces), "id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "id", "piece"))).alias("all"))
-    return found.select("word", F.array_join(F.transform("all", lambda x: x["id"].cast("string")), " ").alias("ids"), F.array_join(F.transform("all", lambda x: x["piece"]), " ").alias("pieces"))
 
+class Table:
+    """A chunk's words: the number of ids, the ids and the pieces (joined by a space) by the place of first use."""
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 17, keep_output: bool = False, keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_output also ids (array) and decoded (text).
+    def __init__(self, held: list[tuple[bytes, bytes, bytes, bytes]], pieces: pa.Array):
+        """held: rows of words (places, codes, counts, ids); pieces: the id-to-piece table, which ids join by position."""
+        place, code, count, ids = (np.concatenate([f(unpack_ints(row[k])) for row in held] or [np.zeros(0, np.int64)]) for k, f in enumerate((np.cumsum, np.array, np.array, np.array)))
+        self.counts = np.zeros(len(place), dtype=np.int64)
+        self.counts[place] = count
+        self.ids, self.pieces = np.empty(len(place), dtype=object), np.empty(len(place), dtype=object)
+        self.ids[place] = _joined(pa.array(ids).cast(pa.string()), count).to_numpy(zero_copy_only=False)
+        self.pieces[place] = _joined(pieces.take(pa.array(ids)), count).to_numpy(zero_copy_only=False)
+        self.by_code = np.zeros(int(code.max(initial=0)) + 1, dtype=np.int64)
+        self.by_code[code] = place
 
-    keep_columns: columns of the input that are handed through.
+    def words(self, first: int, codes: np.ndarray) -> np.ndarray:
+        """Places of a document's words that have ids."""
+        new = codes == 0
+        at = np.where(new, first + np.cumsum(new) - 1, self.by_code[codes])
+        return at[self.counts[at] > 0]
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1 << 19, chunk_bytes: int = 1 << 26, buckets: int | None = None, keep_output: tuple[str, ...] = (), keep_columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; keep_output names further outputs: ids (array), decoded (text).
+
+    keep_columns: columns of the input that are handed through. chunk_words and chunk_bytes bound a chunk (but for its last
+    slice of texts); buckets: one for about 1,000 documents unless given, 64 to 2**14.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
-    counts = scratch.save(count_words(docs, text_col), "counts")
-    made = word_table(spark, counts, model, table_words).toPandas()
-    scratch.drop(counts)
-    shared = spark.sparkContext.broadcast((model, dict(zip(made["word"], zip(made["ids"], made["pieces"], strict=True), strict=True))))
+    if buckets is None:
+        buckets = 1 << min(14, max(6, round(math.log2(max(1, docs.count()) / 1000 + 1))))
+    kept = list(dict.fromkeys((id_col, *keep_columns)))
+    # the text may also be asked for as a column to keep
+    rows = docs.select(*kept, F.col(text_col).alias("__text"))
+    chunks = scratch.save(chunk_words_of(rows, "__text", chunk_words, chunk_bytes, buckets), "chunks")
+    none = lambda names: [F.lit(None).cast(chunks.schema[n].dataType if n in chunks.columns else "binary").alias(n) for n in names]
+    ids = encode_buckets(chunks.where("__bucket is not null"), model)
+    words = ids.select("__chunk", F.lit(-1).alias("__first"), "__codes", "__places", "__counts", "__ids", *none(kept))
+    texts = chunks.where("__bucket is null").select("__chunk", "__first", "__codes", *none(["__places", "__counts", "__ids"]), *kept)
+    met = words.unionByName(texts).repartition("__chunk").sortWithinPartitions("__chunk", "__first")
+    shared = spark.sparkContext.broadcast(model)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_, common = shared.value
-        tokenizer = load_tokenizer(model_)
-        pieces = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        vocabulary = load_tokenizer(shared.value).get_vocab(with_added_tokens=True)
+        names = [""] * (max(vocabulary.values(), default=-1) + 1)
+        for piece, i in vocabulary.items():
+            names[i] = piece
+        pieces, chunk, held, table = pa.array(names, pa.string()), None, [], None
         for batch in batches:
-            for low, texts in text_slices(batch, text_col):
-                split = [split_words(t) for t in texts]
-                rare = list({w for words in split for w in words if w not in common})
-                found = {w: (" ".join(map(str, ids)), " ".join([pieces[i] for i in ids])) for w, ids in zip(rare, encode_words(tokenizer, rare), strict=True)}
-                ids, decoded = [], []
-                for words in split:
-                    pairs = [common.get(w) or found[w] for w in words]
-                    ids.append(" ".join([p[0] for p in pairs if p[0]]))
-                    decoded.append(" ".join([p[1] for p in pairs if p[0]]))
-                out = {c: batch.column(c).slice(low, len(texts)) for c in (id_col, *keep_columns)} | {
-                    "n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+            for low in range(0, batch.num_rows, _DOCS_AT_ONCE):
+                part = batch.slice(low, _DOCS_AT_ONCE)
+                columns = [part.column(c).to_pylist() for c in ("__chunk", "__first", "__codes", "__places", "__counts", "__ids")]
+                ids, decoded, n_tokens, where = [], [], [], []
+                for row, (mine, first, codes, places, counts, found) in enumerate(zip(*columns, strict=True)):
+                    if mine != chunk:
+                        chunk, held, table = mine, [], None
+                    if first < 0:
+                        held.append((places, codes, counts, found))
+                        continue
+                    if table is None:
+                        table, held = Table(held, pieces), []
+                    at = table.words(first, unpack_ints(codes))
+                    n_tokens.append(int(table.counts[at].sum()))
+                    ids.append(" ".join(table.ids[at].tolist()))
+                    decoded.append(" ".join(table.pieces[at].tolist()))
+                    where.append(row)
+                mine = part.take(pa.array(where, pa.int64()))
+                out = {c: mine.column(c) for c in kept} | {
+                    "n_tokens": pa.array(n_tokens, pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                 }
-                if keep_output:
-                    out |= {"ids": pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), "decoded": decoded}
+                if "ids" in keep_output:
+                    out["ids"] = pa.array([np.fromstring(x, dtype=np.int32, sep=" ") for x in ids], pa.list_(pa.int32()))
+                if "decoded" in keep_output:
+                    out["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in (id_col, *keep_columns)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_output else "")
-    return docs.select(*dict.fromkeys((id_col, *keep_columns, text_col))).mapInArrow(put_together, schema).withColumnRenamed(id_col, "doc_id")
+    fields = [f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(f"{c} {OUTPUTS[c]}" for c in OUTPUTS if c in keep_output)]
+    return met.mapInArrow(put_together, ", ".join(fields)).withColumnRenamed(id_col, "doc_id")

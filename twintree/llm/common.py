@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else one made for local runs."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, else one made for local runs.
+
+    On a cluster a folder of this machine alone would lose rows, so a session without the setting is refused there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="twintree-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -82,3 +89,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_CODEC = pa.Codec("zstd", 3)
+
+
+def pack_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unpack_bytes(packed: bytes) -> bytes:
+    return _CODEC.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Non-negative integers below 2**32 as compressed bytes; lowest bytes first, so that small numbers pack well."""
+    return pack_bytes(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_ints(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(unpack_bytes(packed), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
