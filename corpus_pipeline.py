@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
-    out = encode_documents(docs, tokenizer_model(), keep_output=True, keep_columns=("lang", "source"))
+    out = encode_documents(docs, tokenizer_model(), keep_output=("ids",), keep_columns=("lang", "source"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
