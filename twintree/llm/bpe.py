@@ -3,15 +3,18 @@
 A word is a run without white space: the tokenizer drops white space and never merges across it, so a word's ids do not
 depend on its neighbours.
 
-1. Texts are split in Spark. A chunk is a run of documents of one task with at most chunk_words distinct words; it is kept
-   as its own words, each once, and every document as codes of its words.
+1. Texts are split in Spark. A chunk is a run of documents of one task with about chunk_words distinct words at most; it
+   is kept as its own words, each once, and every document as codes of its words.
 2. The words of all chunks meet by bucket (a checksum of the word). There every distinct word of the corpus is encoded
    once, and its ids go back to each chunk that has it.
 3. A chunk's ids join its documents by place, the ids join the id-to-piece table (bounded by the vocabulary), and the
    documents' ids and texts are put together.
 
 A chunk holds a word once, so the commonest word of all has one row for each chunk: there is no hot key. A task holds one
-chunk's words, or the distinct words of one bucket; `buckets` grows with the number of documents.
+chunk's words, or the distinct words of one bucket; `buckets` grows with the number of documents. Two shuffles carry all:
+the first the words, by bucket, the second the ids, by chunk, and both the documents' codes. A chunk is named by a digest
+of its words. If a lost task runs again and its input comes out in another order, names no longer meet and the run fails,
+never with wrong ids; tables read from files come out alike.
 
 Cases: a null text counts as empty and has no ids, as has a text of white space only; special tokens written in a text
 become their ids, as the tokenizers library has it; repeated rows are encoded alike; null ids are handed through; an empty
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, pack_bytes, pack_ints, unpack_bytes, unpack_ints
+from .common import pack_bytes, pack_ints, unpack_bytes, unpack_ints
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -104,34 +107,34 @@ class Chunk:
             self.words.append(np.fromiter(map(self.index.__getitem__, words), dtype=np.int32, count=len(words)))
 
     def batches(self, number: int, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """Rows of the documents, then rows of the words by bucket, with their places in the order of first use."""
+        """The chunk's own row, rows of the documents, and rows of the words by bucket, in the order of first use."""
+        words = list(self.index)
+        name = int.from_bytes(hashlib.blake2b(" ".join([str(number), *words]).encode(), digest_size=8).digest(), "little", signed=True)
         found = np.concatenate([*self.words, np.zeros(0, np.int32)])
-        counts = np.bincount(found, minlength=len(self.index))
+        counts = np.bincount(found, minlength=len(words))
         repeated = np.argsort(-counts, kind="stable")[: int((counts > 1).sum())]
-        code = np.zeros(len(counts), dtype=np.int32)
+        code = np.zeros(len(words), dtype=np.int32)
         code[repeated] = np.arange(1, len(repeated) + 1)
-        new = np.zeros(len(found), dtype=bool)
-        new[np.unique(found, return_index=True)[1]] = True
+        # words are numbered by first use, so a new one is larger than all before it
+        new = found > np.concatenate([[-1], np.maximum.accumulate(found)])[: len(found)]
         codes = np.where(new, 0, code[found])
         ends = np.cumsum([0, *map(len, self.words)])
         firsts = np.concatenate([[0], np.cumsum(new)])[ends]
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int32, count=len(words))
+        key = -1 - abs(name)
+        yield _padded({"__key": pa.array([key]), "__chunk": pa.array([name]), "__first": pa.array([CHUNK], pa.int32()), "__codes": pa.array([pack_ints(repeated)], pa.binary()), "__words": pa.array([pack_ints(bucket)], pa.binary())}, 1, schema)
         at = 0
         for rows in self.rows:
-            packed = [pack_ints(codes[ends[k] : ends[k + 1]]) for k in range(at, at + rows.num_rows)]
-            made = {"__chunk": pa.array([number] * rows.num_rows, pa.int64()), "__first": pa.array(firsts[at : at + rows.num_rows], pa.int32()), "__codes": pa.array(packed, pa.binary())}
-            at += rows.num_rows
-            yield _padded(made | {n: rows.column(n) for n in rows.schema.names}, rows.num_rows, schema)
-        words = list(self.index)
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int32, count=len(words))
+            n = rows.num_rows
+            packed = [pack_ints(codes[ends[k] : ends[k + 1]]) for k in range(at, at + n)]
+            made = {"__key": pa.array([key] * n), "__chunk": pa.array([name] * n), "__first": pa.array(firsts[at : at + n], pa.int32()), "__codes": pa.array(packed, pa.binary())}
+            at += n
+            yield _padded(made | {c: rows.column(c) for c in rows.schema.names}, n, schema)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        out: dict[str, list] = {"__chunk": [], "__bucket": [], "__words": [], "__places": [], "__codes": []}
-        for low, high in zip(cuts.tolist(), np.append(cuts, len(words))[1:].tolist(), strict=True):
-            places = order[low:high]
-            row = (number, int(bucket[places[0]]), pack_bytes(" ".join([words[i] for i in places]).encode()), pack_ints(np.diff(places, prepend=0)), pack_ints(code[places]))
-            for column, value in zip(out.values(), row, strict=True):
-                column.append(value)
-        yield _padded({k: pa.array(v, schema.field(k).type) for k, v in out.items()}, len(cuts), schema)
+        texts = [pack_bytes(" ".join([words[i] for i in order[low:high]]).encode()) for low, high in zip(cuts.tolist(), np.append(cuts, len(words))[1:].tolist(), strict=True)]
+        made = {"__key": pa.array(bucket[order[cuts]], pa.int64()), "__chunk": pa.array([name] * len(cuts), pa.int64()), "__first": pa.array([WORDS] * len(cuts), pa.int32()), "__words": pa.array(texts, pa.binary())}
+        yield _padded(made, len(cuts), schema)
 
 
 def _padded(columns: dict[str, pa.Array], rows: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -139,9 +142,12 @@ def _padded(columns: dict[str, pa.Array], rows: int, schema: pa.Schema) -> pa.Re
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-#: Rows of documents have __first (new words before them in the chunk) and __codes; rows of words all but __first.
-_OWN = {"__chunk": pa.int64(), "__first": pa.int32(), "__bucket": pa.int32(), "__words": pa.binary(), "__places": pa.binary(), "__codes": pa.binary()}
-_KINDS = "__chunk long, __first int, __bucket int, __words binary, __places binary, __codes binary"
+#: __first of a chunk's own row and of rows of words; of documents it is the number of new words before them in the chunk.
+CHUNK, WORDS = -2, -1
+#: Chunks' own rows have the places of the repeated words by code, and every word's bucket in __words; rows of words have
+#: the words, later their numbers of ids in __codes and their ids in __words. __key is the bucket, or below 0 by chunk.
+_OWN = {"__key": pa.int64(), "__chunk": pa.int64(), "__first": pa.int32(), "__codes": pa.binary(), "__words": pa.binary()}
+_KINDS = "__key long, __chunk long, __first int, __codes binary, __words binary"
 
 
 def chunk_words_of(docs: DataFrame, text_col: str, chunk_words: int, chunk_bytes: int, buckets: int) -> DataFrame:
@@ -166,44 +172,49 @@ def chunk_words_of(docs: DataFrame, text_col: str, chunk_words: int, chunk_bytes
     return docs.select(*names, text_col).mapInArrow(chunked, ", ".join([_KINDS, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
 
 
-def encode_buckets(words: DataFrame, model: str) -> DataFrame:
-    """__chunk, __places, __codes, __counts, __ids of the words of each chunk; every distinct word is encoded once, in its bucket."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+def encode_buckets(rows: DataFrame, model: str) -> DataFrame:
+    """The rows with ids in place of words; every distinct word is encoded once, in its bucket. Other rows pass through."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known, bucket = load_tokenizer(shared.value), {}, None
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                counts, ids = [], []
-                for b, packed in zip(part.column("__bucket").to_pylist(), part.column("__words"), strict=True):
-                    if b != bucket:
-                        known, bucket = {}, b
-                    mine = unpack_bytes(packed.as_py()).decode().split(" ")
+                counts, ids = part.column("__codes").to_pylist(), part.column("__words").to_pylist()
+                for row, (key, first) in enumerate(zip(part.column("__key").to_pylist(), part.column("__first").to_pylist(), strict=True)):
+                    if first != WORDS:
+                        continue
+                    if key != bucket:
+                        known, bucket = {}, key
+                    mine = unpack_bytes(ids[row]).decode().split(" ")
                     new = [w for w in mine if w not in known]
                     known.update(zip(new, (np.array(x, dtype=np.int32) for x in encode_words(tokenizer, new)), strict=True))
                     found = [known[w] for w in mine]
-                    counts.append(pack_ints(np.fromiter(map(len, found), dtype=np.int32, count=len(found))))
-                    ids.append(pack_ints(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__chunk", "__places", "__codes")), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["__chunk", "__places", "__codes", "__counts", "__ids"])
+                    counts[row] = pack_ints(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
+                    ids[row] = pack_ints(np.concatenate(found))
+                made = {"__codes": pa.array(counts, pa.binary()), "__words": pa.array(ids, pa.binary())}
+                yield pa.RecordBatch.from_arrays([made.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
 
-    placed = words.select("__bucket", "__chunk", "__words", "__places", "__codes").repartition("__bucket").sortWithinPartitions("__bucket")
-    return placed.mapInArrow(encoded, "__chunk long, __places binary, __codes binary, __counts binary, __ids binary")
+    return rows.repartition("__key").sortWithinPartitions("__key").mapInArrow(encoded, rows.schema)
 
 
 class Table:
     """A chunk's words: the number of ids, the ids and the pieces (joined by a space) by the place of first use."""
 
-    def __init__(self, held: list[tuple[bytes, bytes, bytes, bytes]], pieces: pa.Array):
-        """held: rows of words (places, codes, counts, ids); pieces: the id-to-piece table, which ids join by position."""
-        place, code, count, ids = (np.concatenate([f(unpack_ints(row[k])) for row in held] or [np.zeros(0, np.int64)]) for k, f in enumerate((np.cumsum, np.array, np.array, np.array)))
+    def __init__(self, repeated: bytes, bucket: bytes, held: list[tuple[int, bytes, bytes]], pieces: pa.Array):
+        """held: rows of words (bucket, counts, ids); pieces: the id-to-piece table, which ids join by position."""
+        self.by_code = np.concatenate([[0], unpack_ints(repeated)])
+        held = sorted(dict((b, (c, i)) for b, c, i in held).items())
+        count, ids = (np.concatenate([unpack_ints(row[k]) for _, row in held] or [np.zeros(0, np.int64)]) for k in range(2))
+        place = np.argsort(unpack_ints(bucket), kind="stable")
+        if len(place) != len(count):
+            raise RuntimeError("a chunk's words are not whole: the input came out differently when a lost task ran again; save it first")
         self.counts = np.zeros(len(place), dtype=np.int64)
         self.counts[place] = count
         self.ids, self.pieces = np.empty(len(place), dtype=object), np.empty(len(place), dtype=object)
         self.ids[place] = _joined(pa.array(ids).cast(pa.string()), count).to_numpy(zero_copy_only=False)
         self.pieces[place] = _joined(pieces.take(pa.array(ids)), count).to_numpy(zero_copy_only=False)
-        self.by_code = np.zeros(int(code.max(initial=0)) + 1, dtype=np.int64)
-        self.by_code[code] = place
 
     def words(self, first: int, codes: np.ndarray) -> np.ndarray:
         """Places of a document's words that have ids."""
@@ -219,18 +230,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     slice of texts); buckets: one for about 1,000 documents unless given, 64 to 2**14.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "bpe")
     if buckets is None:
         buckets = 1 << min(14, max(6, round(math.log2(max(1, docs.count()) / 1000 + 1))))
     kept = list(dict.fromkeys((id_col, *keep_columns)))
     # the text may also be asked for as a column to keep
     rows = docs.select(*kept, F.col(text_col).alias("__text"))
-    chunks = scratch.save(chunk_words_of(rows, "__text", chunk_words, chunk_bytes, buckets), "chunks")
-    none = lambda names: [F.lit(None).cast(chunks.schema[n].dataType if n in chunks.columns else "binary").alias(n) for n in names]
-    ids = encode_buckets(chunks.where("__bucket is not null"), model)
-    words = ids.select("__chunk", F.lit(-1).alias("__first"), "__codes", "__places", "__counts", "__ids", *none(kept))
-    texts = chunks.where("__bucket is null").select("__chunk", "__first", "__codes", *none(["__places", "__counts", "__ids"]), *kept)
-    met = words.unionByName(texts).repartition("__chunk").sortWithinPartitions("__chunk", "__first")
+    chunks = chunk_words_of(rows, "__text", chunk_words, chunk_bytes, buckets)
+    met = encode_buckets(chunks, model).repartition("__chunk").sortWithinPartitions("__chunk", "__first")
     shared = spark.sparkContext.broadcast(model)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,19 +245,23 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for piece, i in vocabulary.items():
             names[i] = piece
         pieces, chunk, held, table = pa.array(names, pa.string()), None, [], None
+        own = None
         for batch in batches:
             for low in range(0, batch.num_rows, _DOCS_AT_ONCE):
                 part = batch.slice(low, _DOCS_AT_ONCE)
-                columns = [part.column(c).to_pylist() for c in ("__chunk", "__first", "__codes", "__places", "__counts", "__ids")]
+                columns = [part.column(c).to_pylist() for c in ("__chunk", "__first", "__codes", "__words", "__key")]
                 ids, decoded, n_tokens, where = [], [], [], []
-                for row, (mine, first, codes, places, counts, found) in enumerate(zip(*columns, strict=True)):
+                for row, (mine, first, codes, words, key) in enumerate(zip(*columns, strict=True)):
                     if mine != chunk:
-                        chunk, held, table = mine, [], None
-                    if first < 0:
-                        held.append((places, codes, counts, found))
+                        chunk, own, held, table = mine, None, [], None
+                    if first == CHUNK:
+                        own = (codes, words)
+                        continue
+                    if first == WORDS:
+                        held.append((key, codes, words))
                         continue
                     if table is None:
-                        table, held = Table(held, pieces), []
+                        table, held = Table(*own, held, pieces), []
                     at = table.words(first, unpack_ints(codes))
                     n_tokens.append(int(table.counts[at].sum()))
                     ids.append(" ".join(table.ids[at].tolist()))
