@@ -19,7 +19,7 @@ from twintree.llm.embedding_dedup import forest_links
 from twintree.llm.graph import components, local_roots
 from twintree.llm.common import Scratch
 from twintree.llm.jaccard_join import jaccard_components, keep_one
-from twintree.llm.mixing import inclusion, mix, rake
+from twintree.llm.mixing import feasible, fit, mix, rake, shares
 from twintree.llm.sharding import shard_documents
 from twintree.llm.suffix_dedup import column_sort, remove_repeats
 from twintree.llm.surrogates import FEMALE, KEY_STARTS, MALE, _of_line, found_in, replace_entities
@@ -264,6 +264,47 @@ def test_surrogates_of_long_secrets(spark, n):
         assert not {t[k : k + 20] for k in range(10, len(t) - 24)} & {new[k : k + 20] for k in range(len(new))}
 
 
+def test_surrogates_of_long_addresses(spark):
+    """Long domains, local parts and texts neither overflow the stack nor take long; a domain has 127 labels at most."""
+    texts = ["x@" + "a." * 2000 + "com", "x@" + "ab." * 126 + "com", "l" * 100_000 + "@x.com", "a.b-c%" * 20_000 + "@x.com", "x@" + "a" * 100_000, "Mr. " + "A" + "b" * 100_000, "12 " * 100_000, "a@" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in replace_entities(df).collect()}
+    assert [got[i]["n_entities"] for i in range(8)] == [0, 1, 1, 1, 0, 1, 0, 0]
+    assert got[0]["text"] == texts[0] and got[4]["text"] == texts[4] and len(got[2]["text"].split("@")[0]) == 100_000
+
+
+def test_surrogates_of_domains_and_ibans(spark):
+    rows = [(i, f"mail u@d{i}.org, w@d{i}.org") for i in range(300)] + [(1000, "DE89370400440532013000, DE89 3704 0044 0532 0130 00 and GB00 WEST 1234 5698 7654 32")]
+    got = {r["doc_id"]: r["text"] for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    domains = [{x.split("@")[1] for x in got[i].replace(",", "").split() if "@" in x} for i in range(300)]
+    assert all(len(d) == 1 for d in domains) and len(set().union(*domains)) == 300
+    one, rest = got[1000].split(", ")
+    other, third = rest.split(" and ")
+    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert one == other.replace(" ", "") != "DE89370400440532013000" and number(one) == 1 and one.startswith("DE")
+    assert third.startswith("GB") and len(third) == len("GB00 WEST 1234 5698 7654 32")
+
+
+def test_surrogates_of_names_without_title(spark):
+    """Words of a titled name are the same person's wherever they stand in the document, and only there."""
+    rows = [
+        (1, "Mr. Smith met John Smith. Smith said MR. SMITH was late;\nsmith's SMITH, Smithson and Smith-like stay or go."),
+        (2, "Smith is no titled name here."),
+        (3, "Mrs. Mary O'Brien and Herr van Dyke and Mr. J. Hudson. Later O'Brien, Mary, Dyke and Hudson came."),
+        (4, "Frau Müller-Lüdenscheidt. Dear Müller, Lüdenscheidt"),
+    ]
+    got = {r["doc_id"]: r for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = got[1]["text"]
+    name = text.split()[1]
+    assert text.startswith(f"Mr. {name} met John {name}. {name} said MR. {name.upper()} was late;\nsmith's {name.upper()}, Smithson and Smith-like")
+    assert got[1]["n_entities"] == 5 and got[2]["text"] == rows[1][1] and got[2]["n_entities"] == 0
+    words = got[3]["text"].replace(".", "").replace(",", "").split()
+    assert words[0] == "Mrs" and words[4:6] == ["Herr", "van"] and words[8:10] == ["Mr", "J"]
+    assert [words[12], words[13], words[14], words[16]] == [words[2], words[1], words[6], words[10]]
+    assert not {"Mary", "O'Brien", "Dyke", "Hudson"} & set(words)
+    assert "Müller" not in got[4]["text"] and "scheidt" not in got[4]["text"]
+
+
 def test_surrogates_across_lines(spark):
     """Lines are searched as the whole text would be, also where a secret's value begins on another line."""
     value = "hunterhunter"
@@ -287,20 +328,66 @@ def test_surrogates_stay_distinct_where_values_are_few(spark, monkeypatch):
     assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
 
 
-def test_raking_and_mixing(docs, texts):
+def plain_raking(tokens: list[float], codes: list[list[int]], targets: list[list[float]]) -> list[float]:
+    """Bounded raking by bisection, value after value."""
+    rate = [1.0] * len(tokens)
+    for _ in range(3000):
+        worst = 0.0
+        for code, target in zip(codes, targets, strict=True):
+            for value, wanted in enumerate(target):
+                cells = [c for c in range(len(tokens)) if code[c] == value]
+                now = sum(min(1.0, rate[c]) * tokens[c] for c in cells)
+                worst = max(worst, abs(now - wanted))
+                low, high = 0.0, 1e6
+                for _ in range(100):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if sum(min(1.0, middle * rate[c]) * tokens[c] for c in cells) < wanted else (low, middle)
+                for c in cells:
+                    rate[c] *= high
+        if worst < 1e-7 * sum(tokens):
+            break
+    return [min(1.0, r) for r in rate]
+
+
+def test_raking():
     codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
-    fitted = rake(np.array([10.0, 20.0, 30.0, 40.0]), codes, [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
-    assert np.allclose(np.bincount(codes[0], fitted), [50, 50]) and np.allclose(np.bincount(codes[1], fitted), [30, 70])
-    assert np.isclose((inclusion(np.array([10.0, 90.0]), np.array([50.0, 50.0]), 40) * [10, 90]).sum(), 40)
+    tokens = np.array([10.0, 20.0, 30.0, 40.0])
+    chance, miss = rake(tokens, codes, [np.array([25.0, 25.0]), np.array([15.0, 35.0])])
+    assert miss < 1e-9 and np.allclose(np.bincount(codes[0], chance * tokens), [25, 25]) and np.allclose(np.bincount(codes[1], chance * tokens), [15, 35])
+    assert np.allclose(feasible(np.array([0.5, 0.25, 0.25]), np.array([10.0, 50.0, 40.0]), 60.0), [10, 25, 25])
+    # margins that contradict each other: one cell has nearly all of one value of each margin
+    tokens = np.array([1000.0, 1.0, 1.0, 500.0])
+    chance, met, given = fit(tokens, codes, [np.array([100.0, 400.0]), np.array([900.0, 100.0])], 0.5)
+    assert given > 0 and chance.min() > 0 and np.allclose(np.bincount(codes[0], chance * tokens), met[0], atol=0.01)
+    rng = np.random.default_rng(4)
+    tokens = rng.pareto(1.5, 30) * 100
+    codes = [np.concatenate([np.arange(k), rng.integers(0, k, 30 - k)]) for k in (4, 3)]
+    targets = [feasible(p**0.7 / (p**0.7).sum(), p, 0.7 * tokens.sum()) for p in (np.bincount(c, tokens) for c in codes)]
+    chance, miss = rake(tokens, codes, targets)
+    assert miss < 1e-9 and (chance == 1).any()
+    assert np.allclose(chance, plain_raking(tokens.tolist(), [c.tolist() for c in codes], [t.tolist() for t in targets]), atol=1e-4)
+
+
+def test_mixing(docs, texts):
     told = {r["doc_id"]: r for r in mix(docs, diagnose=True).collect()}
     assert set(told) == set(texts)
+    total = sum(r["n_words"] for r in told.values())
     expected = sum(r["inclusion"] * r["n_words"] for r in told.values())
-    assert abs(expected - 0.7 * sum(r["n_words"] for r in told.values())) < 1e-6 * expected + 1
+    assert abs(expected - 0.7 * total) < 1e-6 * total
     for i, r in told.items():
         u = int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:13], 16) / 16**13
         assert r["kept"] == (u < r["inclusion"]) and r["n_words"] == len((texts[i] or "").split())
     assert sorted(r["doc_id"] for r in mix(docs).collect()) == sorted(i for i, r in told.items() if r["kept"])
-    assert mix(docs.limit(0)).count() == 0
+    for r in shares(docs).collect():
+        mine = [x for x in told.values() if x[r["margin"]] == r["value"]]
+        assert abs(r["present"] - sum(x["n_words"] for x in mine) / total) < 1e-9
+        assert abs(r["reached"] - sum(x["n_words"] * x["inclusion"] for x in mine) / expected) < 1e-9
+        assert abs(r["reached"] - r["target"]) < 1e-5
+    wanted = {"lang": {"en": 0.5, "de": 0.3, "\x00null": 0.2}}
+    assert {r["value"]: round(r["reached"], 4) for r in shares(docs, 0.3, targets=wanted).collect() if r["margin"] == "lang"}.keys() == {"en", "de", None}
+    clash = docs.withColumn("topic", F.lit("t")).withColumn("n_words", F.lit("x"))
+    assert {r["topic"] for r in mix(clash, topic_col="topic", diagnose=True).collect()} == {"t"} and mix(clash, topic_col="topic").columns == clash.columns
+    assert mix(docs.limit(0)).count() == 0 and mix(docs.limit(0), diagnose=True).count() == 0
 
 
 def test_boosting():
