@@ -15,10 +15,13 @@ Every window of `length` bytes that also starts anywhere else is found, and the
 
 The method alone, over whole documents, needs a round for each byte of the longest document and reads the whole
 transform in each; keys and cores keep it to 2 step rounds without losing a window. A core with more than hot_sequences
-different sequences is not sorted in one task: its windows are counted by digest, which every task can share.
+different sequences is too much for one task: its windows are parted again by longer cores, with an eighth of the step,
+and so on down to a step of 1, where a core is a whole window and has one sequence. What is sorted so is bounded at every
+size of the input, and no group of windows takes another way than this one.
 
 Cases: a null text counts as empty; texts shorter than the window keep all bytes; repeated rows are each other's copies,
-so both lose their bytes; an empty table gives an empty result; only the id and text columns are read.
+so both lose their bytes; null ids are handed through; an empty table gives an empty result; only the id and text columns
+are read. The kept text of a null text is null; a character stays in it if all its bytes stay.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from .common import Scratch, mix64
 from .shingles import _powers
 
 GRAM = 24
-BROADCAST_ROWS = 2_000_000
+#: Tables of at most so many rows of a few longs are broadcast (an eighth of it if rows hold lists), larger ones shuffled.
+BROADCAST_ROWS = 250_000
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BIG = 1 << 31
@@ -158,6 +162,23 @@ def repeated_windows(group: list[tuple[int, bytes, bytes, int, int]], length: in
     return out
 
 
+def finer(first: int, core: int, windows: int, left: bytes, right: bytes, step: int, new: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(core key, first window, windows, left margin, right margin) of a sequence's windows, parted by cores of step `new`.
+
+    A window has l bytes of the left margin; windows of one l // new share l // new * new of them, and as many bytes of the
+    right margin as all of them reach: these go into the core.
+    """
+    at = np.arange(windows)
+    part = (len(left) - at) // new
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts.tolist(), np.append(cuts, windows)[1:].tolist(), strict=True):
+        c = int(part[a])
+        inner = len(left) - c * new
+        reach = step - new - c * new
+        digest = xxhash.xxh3_64_intdigest(core.to_bytes(8, "little") + left[inner:] + b"|" + right[:reach], seed=c + 1)
+        yield digest, first + a, b - a, left[a:inner], right[reach : step - 1 - (len(left) - (b - 1))]
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
@@ -167,79 +188,100 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> DataFrame:
-    """doc (MD5 of the text), first, windows: runs of windows that start elsewhere too. docs: text."""
-    spark = docs.sparkSession
+def _small(table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(table) if table.count() <= bound else table
+
+
+class Columns:
+    """Rows gathered by column, put out as batches."""
+
+    def __init__(self, **kinds: pa.DataType):
+        self.kinds = kinds
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: dict[str, list] = {name: [] for name in self.kinds}
+
+    def add(self, *values) -> None:
+        for column, value in zip(self.held.values(), values, strict=True):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(self.held[n], kind) for n, kind in self.kinds.items()], list(self.kinds))
+        self.clear()
+        return made
+
+    def full(self) -> bool:
+        return len(next(iter(self.held.values()))) >= 10_000
+
+
+def _parts_batch() -> Columns:
+    return Columns(doc=pa.binary(), first=pa.int64(), core=pa.int64(), windows=pa.int64(), left=pa.binary(), right=pa.binary())
+
+
+_PARTS = "doc binary, first long, core long, windows long, left binary, right binary"
+
+
+def find_segments(docs: DataFrame, length: int) -> DataFrame:
+    """doc (MD5 of the text), first, windows, key, digest, inner: segments of all texts. docs: text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Columns(doc=pa.binary(), first=pa.int64(), windows=pa.int64(), key=pa.int64(), digest=pa.binary(), inner=pa.bool_())
         for batch in batches:
-            doc, first, windows, key, digest, inner = [], [], [], [], [], []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode()
                 mine = hashlib.md5(raw).digest() if len(raw) >= length else b""
                 for k, low, n, places in segments(raw, length):
-                    doc.append(mine)
-                    first.append(low)
-                    windows.append(n)
-                    key.append(_signed(k))
-                    digest.append(xxhash.xxh3_128_digest(raw[low : low + n - 1 + length]))
-                    inner.append(len(places) > 1)
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.binary()), "first": pa.array(first, pa.int64()), "windows": pa.array(windows, pa.int64()), "key": pa.array(key, pa.int64()), "digest": pa.array(digest, pa.binary()), "inner": pa.array(inner, pa.bool_())})
-
-    cuts = scratch.save(docs.mapInArrow(cut, "doc binary, first long, windows long, key long, digest binary, inner boolean"), "segments")
-    same = cuts.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
-    same = scratch.save(same, "same")
-    twice = same.where("n > 1").select("key", "digest")
-    whole = cuts.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, ["key", "digest"]).select("doc", "first", "windows")
-    whole = scratch.save(whole, "whole")
-    scratch.drop(cuts)
-    keys = same.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
-    keys = scratch.save(keys, "keys")
-    # too many keys to broadcast: all windows are parted by cores, which gives the same result
-    chosen = np.sort(np.array([r["key"] for r in keys.collect()], dtype=np.int64)) if keys.count() <= BROADCAST_ROWS else None
-    shared = spark.sparkContext.broadcast(chosen)
+                    out.add(mine, low, n, _signed(k), xxhash.xxh3_128_digest(raw[low : low + n - 1 + length]), len(places) > 1)
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
+
+    return docs.mapInArrow(cut, "doc binary, first long, windows long, key long, digest binary, inner boolean")
+
+
+def part_segments(docs: DataFrame, chosen: DataFrame, length: int, step: int) -> DataFrame:
+    """Parts of the chosen segments (doc, first, windows, key). The texts that have any meet their segments by digest."""
+    listed = chosen.groupBy("doc").agg(F.collect_set(F.struct("first", "windows", "key")).alias("segments"))
+    keyed = docs.select("text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("doc"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if shared.value is None else set(shared.value.tolist())
+        out = _parts_batch()
         for batch in batches:
-            doc, first, windows, key, left, right = [], [], [], [], [], []
-            for text in batch.column("text"):
-                raw = (text.as_py() or "").encode()
-                mine = None
-                for k, low, n, places in segments(raw, length):
-                    if keep is not None and _signed(k) not in keep:
-                        continue
-                    mine = mine or hashlib.md5(raw).digest()
-                    for c, a, w, x, y in parts(raw, k, low, n, places, length, step):
-                        doc.append(mine)
-                        first.append(a)
-                        windows.append(w)
-                        key.append(_signed(c))
-                        left.append(x)
-                        right.append(y)
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.binary()), "first": pa.array(first, pa.int64()), "core": pa.array(key, pa.int64()), "windows": pa.array(windows, pa.int64()), "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())})
-
-    rows = docs.mapInArrow(part, "doc binary, first long, core long, windows long, left binary, right binary")
-    rows = scratch.save(rows, "parts")
+            for doc, text, found in zip(batch.column("doc"), batch.column("text"), batch.column("segments"), strict=True):
+                raw, doc = text.as_py().encode(), doc.as_py()
+                for segment in found.as_py():
+                    low, n, key = segment["first"], segment["windows"], segment["key"] % 2**64
+                    places = low + np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8, n - 1 + length, low)) == np.uint64(key))
+                    for c, a, w, x, y in parts(raw, key, low, n, places, length, step):
+                        out.add(doc, a, _signed(c), w, x, y)
+                    if out.full():
+                        yield out.batch()
+        yield out.batch()
+
+    return keyed.join(_small(listed, BROADCAST_ROWS // 8), "doc").select("doc", "text", "segments").mapInArrow(part, _PARTS)
+
+
+def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, first, windows of runs that start elsewhere too; the rows of cores with too many sequences, None if there are none)."""
     sequences = rows.groupBy("core", "windows", "left", "right").agg(F.count("*").alias("n"))
     sequences = scratch.save(sequences, "sequences")
     cores = sequences.groupBy("core").agg(F.count("*").alias("ways"), F.sum("n").alias("all")).where("all > 1")
     cores = scratch.save(cores, "cores")
-    small = cores.count() <= BROADCAST_ROWS
-    met = sequences.join(F.broadcast(cores) if small else cores, "core")
+    few = cores.where(F.col("ways") <= hot_sequences).select("core")
+    met = sequences.join(_small(few), "core").select("core", "windows", "left", "right", "n")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
         names: list[int] = []
         number, symbols, last = -1, 0, None
-        out: dict[str, list] = {"core": [], "windows": [], "left": [], "right": [], "at": [], "run": []}
+        out = Columns(core=pa.int64(), windows=pa.int64(), left=pa.binary(), right=pa.binary(), at=pa.int64(), run=pa.int64())
 
         def flush() -> None:
             nonlocal held, names, number, symbols
             for (_, left, right, windows, _), name, flags in zip(held, names, repeated_windows(held, length, step) if held else [], strict=True):
                 for at, run in runs(flags):
-                    for column, value in zip(out.values(), (name, windows, left, right, at, run), strict=True):
-                        column.append(value)
+                    out.add(name, windows, left, right, at, run)
             held, names, number, symbols = [], [], -1, 0
 
         for batch in batches:
@@ -247,57 +289,79 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
                 if core != last:
                     if symbols > batch_symbols:
                         flush()
+                        if out.full():
+                            yield out.batch()
                     last, number = core, number + 1
                 held.append((number, left, right, windows, n))
                 names.append(core)
                 symbols += len(left) + len(right) + 1
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array(out["core"], pa.int64()), pa.array(out["windows"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary()), pa.array(out["at"], pa.int64()), pa.array(out["run"], pa.int64())], list(out))
+        yield out.batch()
 
     kind = "core long, windows long, left binary, right binary, at long, run long"
-    sorted_ = met.where(F.col("ways") <= hot_sequences).select("core", "windows", "left", "right", "n").repartition("core").sortWithinPartitions("core").mapInArrow(sort, kind)
-    found = scratch.save(sorted_, "found")
+    found = scratch.save(met.repartition("core").sortWithinPartitions("core").mapInArrow(sort, kind), "found")
     # both sides meet by two hashes of the sequence, at every size alike: margins stay out of the shuffle
     named = ("core", "windows", "left", "right")
     hashes = [F.xxhash64(*named).alias("h1"), F.xxhash64(F.lit("second"), *named).alias("h2")]
     sites = rows.select("doc", "first", *hashes).join(found.select("at", "run", *hashes), ["h1", "h2"])
     repeats = sites.select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows"))
-    repeats = repeats.unionByName(whole)
     hot = cores.where(F.col("ways") > hot_sequences).select("core")
-    if hot.limit(1).count():
-        hot_rows = rows.join(F.broadcast(hot) if small else hot, "core")
-
-        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            core_bytes = length - step + 1
-            for batch in batches:
-                doc, first, digest = [], [], []
-                for d, low, core, windows, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "first", "core", "windows", "left", "right")), strict=True):
-                    for i in range(windows):
-                        doc.append(d)
-                        first.append(low + i)
-                        digest.append(xxhash.xxh3_128_digest(left[i:] + core.to_bytes(8, "little", signed=True) + right[: length - core_bytes - len(left) + i]))
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.binary()), "first": pa.array(first, pa.int64()), "digest": pa.array(digest, pa.binary())})
-
-        each = scratch.save(hot_rows.mapInArrow(single, "doc binary, first long, digest binary"), "single")
-        again = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        repeats = repeats.unionByName(each.join(again, "digest").select("doc", "first", F.lit(1).cast("long").alias("windows")))
-    return repeats
+    return repeats, rows.join(_small(hot), "core", "left_semi") if hot.limit(1).count() else None
+
+
+def part_again(rows: DataFrame, step: int, new: int) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _parts_batch()
+        for batch in batches:
+            for doc, first, core, windows, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "first", "core", "windows", "left", "right")), strict=True):
+                for c, a, w, x, y in finer(first, core % 2**64, windows, left, right, step, new):
+                    out.add(doc, a, _signed(c), w, x, y)
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
+
+    return rows.select("doc", "first", "core", "windows", "left", "right").mapInArrow(part, _PARTS)
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> DataFrame:
+    """doc (MD5 of the text), first, windows: runs of windows that start elsewhere too. docs: text."""
+    cuts = scratch.save(find_segments(docs, length), "segments")
+    same = cuts.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
+    same = scratch.save(same, "same")
+    # a sequence of weight over 1 repeats as a whole
+    twice = same.where("n > 1").select("key", "digest")
+    repeats = scratch.save(cuts.join(_small(twice), ["key", "digest"], "left_semi").select("doc", "first", "windows"), "whole")
+    keys = same.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
+    keys = scratch.save(keys, "keys")
+    chosen = cuts.join(_small(keys), "key", "left_semi").select("doc", "first", "windows", "key")
+    rows: DataFrame | None = part_segments(docs, chosen, length, step)
+    while True:
+        rows = scratch.save(rows, "parts")
+        found, rows = sort_parts(rows, scratch, length, step, hot_sequences if step > 1 else 1 << 62, batch_symbols)
+        repeats = repeats.unionByName(found)
+        if rows is None:
+            return repeats
+        new = max(1, step // 8)
+        while step % new:
+            new -= 1
+        rows, step = part_again(rows, step, new), new
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: str = "doc_id", text_col: str = "text", hot_sequences: int = 20_000, batch_symbols: int = 60_000, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row; with keep_text also kept (the bytes that stay)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row; with keep_text also kept (the bytes that stay)
+    and text (the characters that do)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     repeats = find_repeats(docs.select("text"), scratch, length, step, hot_sequences, batch_symbols)
     spans = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "windows"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     keyed = docs.withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
-    with_spans = keyed.join(F.broadcast(spans) if spans.count() <= BROADCAST_ROWS // 16 else spans, "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
+    with_spans = keyed.join(_small(spans, BROADCAST_ROWS // 8), "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans_, digests, stay = [], [], [], [], []
+            sizes, removed, spans_, digests, stay, texts = [], [], [], [], [], []
             for text, first, windows in zip(batch.column("text"), batch.column("first"), batch.column("windows"), strict=True):
                 raw = (text.as_py() or "").encode()
                 pieces, at, gone, n = [], 0, 0, 0
@@ -318,8 +382,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
                 spans_.append(n)
                 digests.append(hashlib.sha256(left).hexdigest())
                 stay.append(left)
+                texts.append(None if not text.is_valid else "".join([x.decode("utf-8", "ignore") for x in pieces]))
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(stay, pa.binary())] if keep_text else []), names + (["kept"] if keep_text else []))
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(stay, pa.binary()), pa.array(texts, pa.string())] if keep_text else []), names + (["kept", "text"] if keep_text else []))
 
-    return with_spans.mapInArrow(kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    return with_spans.mapInArrow(kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, text string" if keep_text else ""))
