@@ -6,7 +6,12 @@ meet only through these prefixes: sets that share enough of them come to the gro
 are stored in a trie whose levels hold 16, 32, 64, ... shingles. A probing set walks it level by level; the overlap with
 a path is computed once for all sets below it, and a subtree is pruned when its overlap and the remaining lengths can no
 longer reach what its smallest set needs, or when all its sets are in the probe's component already. Groups put out
-the links of a spanning forest, never all pairs; large groups are cut into chunks, each pair of chunks one bounded block.
+the links of a spanning forest, never all pairs.
+
+A group of more than `chunk` sets is joined in two steps. First each chunk is joined within itself and with the group's
+smallest set, which a group of copies is one component after. Then the sets outside of the group's largest component, few
+as a rule, are joined with all others, a chunk of the one and a chunk of the other at a time; pairs of one component are
+passed over. So texts of a group of near copies are copied a bounded number of times, however large the group is.
 
 Documents with equal sets are one node (the smallest doc_id) before the join.
 
@@ -31,7 +36,7 @@ from .shingles import set_digest, shingle_set
 
 HOT = 1 << 62
 #: Tables of at most so many rows of two longs are broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 250_000
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -116,9 +121,14 @@ class Trie:
         return alive[overlap >= least_overlap(self.sizes[alive], n, percent)]
 
 
-def join_block(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the block's link graph. side: 0 or 1; pairs within one side are passed over if both occur."""
-    trie, root, links = Trie(sets), np.arange(len(sets)), []
+def join_block(sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the block's link graph.
+
+    side: 0 or 1; pairs within one side are passed over if both occur. known: labels of components that are known already,
+    whose pairs are passed over.
+    """
+    trie, links = Trie(sets), []
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     two = len(np.unique(side)) > 1
     everything = np.arange(len(sets))
     for i, probe in enumerate(sets):
@@ -214,43 +224,66 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     usable = sketches.where("digest is not null and doc_id is not null")
     nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "nodes")
     members = scratch.save(_members(nodes, percent, pair_sets, scratch), "members")
-    large = members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1")
+    large = scratch.save(members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1"), "large")
+    own = lambda chunks: F.pmod(F.xxhash64("digest"), chunks).cast("int")
+    none, zero = F.lit(None).cast("long"), F.lit(0)
     chunks = F.coalesce("chunks", F.lit(1))
-    placed = members.join(large, "leader", "left").withColumn("own", F.pmod(F.xxhash64("digest"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("node", "digest", "leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side")).alias("blocks"))
-    blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), "blocks")
-    payload = docs.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS // 8 else blocks, "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
-    payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    everywhere = F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(zero, chunks - 1)).otherwise(F.array(own(chunks))))
+    placed = members.join(_small(large), "leader", "left").select("node", "digest", "leader", everywhere.alias("i"))
+    placed = placed.select("node", "digest", "leader", "i", F.col("i").alias("j"), zero.alias("side"), none.alias("of"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, sides, seen = None, [], [], [], set()
+        key, ids, sets, sides, known, seen = None, [], [], [], [], set()
         u, v = [], []
 
         def flush() -> None:
             if len(ids) > 1:
-                for a, b in join_block(sets, np.array(sides), percent):
+                for a, b in join_block(sets, np.array(sides), percent, np.array(known) if known[0] is not None else None):
                     u.append(ids[a])
                     v.append(ids[b])
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("leader", "i", "j", "doc_id", "digest", "text", "side")]
+            columns = [batch.column(c) for c in ("leader", "i", "j", "doc_id", "digest", "text", "side", "of")]
             for row in range(batch.num_rows):
-                leader, i, j, doc, digest, text, side = (c[row].as_py() for c in columns)
+                leader, i, j, doc, digest, text, side, of = (c[row].as_py() for c in columns)
                 if (leader, i, j) != key:
                     flush()
-                    key, ids, sets, sides, seen = (leader, i, j), [], [], [], set()
+                    key, ids, sets, sides, known, seen = (leader, i, j), [], [], [], [], set()
                 hashes = shingle_set(text, words)
-                if digest in seen or set_digest(hashes) != digest:
+                if (digest, side) in seen or set_digest(hashes) != digest:
                     continue  # another text under a repeated id, or a repeated row
-                seen.add(digest)
+                seen.add((digest, side))
                 ids.append(doc)
                 sets.append(shared.value.keys(hashes))
                 sides.append(side)
+                known.append(of)
         flush()
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    links = scratch.save(payload.mapInArrow(joined, "u long, v long"), "links")
+    def links_of(placed: DataFrame, name: str) -> DataFrame:
+        """placed: node, digest, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
+        blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
+        blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), f"{name}-blocks")
+        payload = docs.join(_small(blocks, BROADCAST_ROWS // 8), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
+        payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+        return scratch.save(payload.mapInArrow(joined, "u long, v long"), name)
+
+    links = links_of(placed, "links")
+    if large.limit(1).count():
+        labels = components(links, scratch)
+        inside = members.join(_small(large), "leader").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node"))
+        inside = scratch.save(inside.select("leader", "node", "digest", "chunks", "of"), "inside")
+        main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("of", F.struct("n", "of")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+        main = scratch.save(main.where("others > 0").select("leader", "main", F.ceil(F.col("others") / F.lit(chunk)).cast("int").alias("rest")), "main")
+        parted = inside.join(_small(main), "leader")
+        apart = F.col("of") != F.col("main")
+        # blocks of chunk i of the main component and chunk j of the others, and of chunks of the others alone (i below 0)
+        others = parted.where(apart).withColumn("mine", own(F.col("rest")))
+        first = parted.where(~apart).select("node", "digest", "leader", own(F.col("chunks")).alias("i"), F.explode(F.sequence(zero, F.col("rest") - 1)).alias("j"), zero.alias("side"), "of")
+        second = others.select("node", "digest", "leader", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "of")
+        third = others.withColumn("other", F.explode(F.sequence(zero, F.col("rest") - 1))).select("node", "digest", "leader", (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "of")
+        more = links_of(first.unionByName(second).unionByName(third), "more")
+        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     again = usable.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two")
     repeated = again.join(usable.select("doc_id", "digest").distinct(), "doc_id").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     parts = components(links.unionByName(repeated), scratch)
