@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 2_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -47,9 +48,16 @@ class Scratch:
         Scratch._all.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """df, computed once. Rows go to Python workers in batches of at most BATCH_ROWS meanwhile, since texts are long."""
         self._made += 1
         path = f"{self.root}/{self._made}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(key, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

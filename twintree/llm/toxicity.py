@@ -7,7 +7,8 @@ signs are undone). A training text's own counts are left out when its features a
 flatter the trees; calibration uses margins of trees that have not seen the row.
 
 Labels are taken only from rows whose crc32 of the id, as text, is not divisible by 5. The lexicon, the trees and the
-calibration are fitted on at most sample_rows of them, chosen by a hash of the id; scores are computed for all rows.
+calibration are fitted on at most sample_rows of them, chosen by a hash of the id, and the lexicon has at most lexicon_parts
+words and beginnings; scores are computed for all rows and whole texts.
 
 Cases: a null text is scored as an empty one; a null id cannot be labelled or held out; null labels are passed over, and
 an id labelled more than once is toxic if any label says so; without labels of both kinds the score is their mean, or 0;
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic, fit_isotonic, fit_trees
 from .bpe import text_slices
+from .common import Scratch
 
 # Insults, second-person words, and signs that stand for letters.
 INSULTS = frozenset("idiot moron loser scum trash stupid pathetic worthless disgusting clown dumb imbecile filth bastard".split())
@@ -121,11 +123,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, folds: int = 4) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, folds: int = 4, lexicon_parts: int = 50_000) -> ToxicityModel:
+    """sample_rows bounds the labelled rows that are learned from, lexicon_parts the lexicon (parts of most toxic texts first)."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id").select("text", "toxic")
+    sample = scratch.save(sample, "sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -151,7 +156,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not toxic or not clean:
         return ToxicityModel(Lexicon(0, 0), None, None, float(toxic > 0))
     found = counts.where(F.col("part") != "").where((F.col("t") >= 3) & (F.col("t") * F.lit(clean) > 2 * F.col("c") * F.lit(toxic)))
-    lexicon = Lexicon(toxic, clean, {r["part"]: (r["t"], r["c"]) for r in found.orderBy(F.desc("t"), "part").limit(50_000).collect()})
+    lexicon = Lexicon(toxic, clean, {r["part"]: (r["t"], r["c"]) for r in found.orderBy(F.desc("t"), "part").limit(lexicon_parts).collect()})
     shared = spark.sparkContext.broadcast(lexicon)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
