@@ -47,7 +47,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_text=True).drop("kept")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +141,87 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 """
 
-ORACLES = {"op4_jaccard_join": _JACCARD_SQL, "op1_url_filter": _URL_SQL, "op2_topk_search": _TOPK_SQL}
+_SUFFIX_SQL = r"""
+WITH raw AS MATERIALIZED (
+  SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM raw WHERE n >= 400)
+), repeated AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM repeated
+), spans AS MATERIALIZED (
+  SELECT doc_id, min(i) AS low, max(i) + 400 AS high FROM runs GROUP BY doc_id, r
+), pieces AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS a, low AS b FROM spans
+  UNION ALL SELECT raw.doc_id, coalesce(max(high), 0), n FROM raw LEFT JOIN spans ON raw.doc_id = spans.doc_id GROUP BY raw.doc_id, n
+), cut AS (
+  SELECT p.doc_id, a, substr(h, 2 * a + 1, 2 * (b - a)) AS k FROM pieces p JOIN raw ON p.doc_id = raw.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(k, '' ORDER BY a) AS k,
+         string_agg(regexp_replace(regexp_replace(k, '^(?:[89AB][0-9A-F])+', ''), '(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$', ''), '' ORDER BY a) AS whole
+  FROM cut GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(high - low)::BIGINT AS removed, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT r.doc_id, r.n AS n_bytes, coalesce(s.removed, 0)::BIGINT AS n_removed, coalesce(s.spans, 0)::BIGINT AS n_spans, sha256(unhex(k.k)) AS kept_sha256,
+       CASE WHEN r.text IS NOT NULL THEN decode(unhex(k.whole)) END AS text
+FROM raw r JOIN kept k ON r.doc_id = k.doc_id LEFT JOIN sums s ON r.doc_id = s.doc_id
+"""
+
+_FOREST_SQL = """
+WITH RECURSIVE whole AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM whole a JOIN whole b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.v FROM reach r JOIN pairs p ON r.other = p.u
+), parts AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT p.vec_id, (SELECT count(*) FROM pairs WHERE u = p.vec_id)::BIGINT AS n_links, component_id, p.vec_id = component_id AS kept FROM parts p
+"""
+
+# Bytes are put into shards by the same binary search, one step of the walk (a shard) or of the search a row.
+_SHARD_SQL = """
+WITH RECURSIVE bytes(value) AS (SELECT unnest(range(256))),
+table_steps(value, crc, k) AS (
+  SELECT value, value::UBIGINT, 0 FROM bytes UNION ALL SELECT value, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END, k + 1 FROM table_steps WHERE k < 8
+), tables AS (SELECT list(crc ORDER BY value) AS t FROM table_steps WHERE k = 8),
+sized AS MATERIALIZED (
+  SELECT doc_id, text, (coalesce(strlen(text), 0) + 8)::BIGINT AS size, coalesce(sha256(text), 'null') AS digest FROM documents
+), crcs AS MATERIALIZED (
+  SELECT text, xor(list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::UBIGINT), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS crc
+  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), tables
+), groups AS MATERIALIZED (
+  SELECT digest, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY digest) AS at, sum(sum(size)) OVER (ORDER BY digest)::BIGINT AS until FROM sized GROUP BY digest
+), search(low, high, capacity, shard, held, done) AS (
+  SELECT greatest(max(bytes), (sum(bytes) + 23) // 24)::BIGINT, sum(bytes)::BIGINT, 0::BIGINT, 0, 0::BIGINT, false FROM groups
+  UNION ALL
+  SELECT CASE WHEN finished AND NOT fits THEN tried + 1 ELSE low END::BIGINT, CASE WHEN finished AND fits THEN tried ELSE high END::BIGINT,
+         CASE WHEN finished THEN 0 ELSE tried END::BIGINT, CASE WHEN finished THEN 0 ELSE shard + 1 END, CASE WHEN finished THEN 0 ELSE reached END::BIGINT,
+         finished AND CASE WHEN fits THEN tried ELSE high END <= CASE WHEN fits THEN low ELSE tried + 1 END
+  FROM (SELECT *, shard = 23 OR reached = total AS finished, reached = total AS fits
+        FROM (SELECT s.*, CASE WHEN capacity = 0 THEN (low + high) // 2 ELSE capacity END AS tried, (SELECT max(until) FROM groups) AS total,
+                     (SELECT coalesce(max(until), s.held) FROM groups g WHERE g.until <= s.held + CASE WHEN s.capacity = 0 THEN (s.low + s.high) // 2 ELSE s.capacity END) AS reached
+              FROM search s WHERE NOT done))
+), best AS (SELECT min(high) AS capacity FROM search WHERE done),
+walk(shard, held, reached) AS (
+  SELECT 0, 0::BIGINT, (SELECT max(until) FROM groups, best WHERE until <= capacity)
+  UNION ALL
+  SELECT shard + 1, reached, (SELECT max(until) FROM groups g, best WHERE g.until <= w.reached + capacity) FROM walk w WHERE reached < (SELECT max(until) FROM groups)
+)
+SELECT s.doc_id, s.size, c.crc AS text_crc32, 'bytes' AS law, w.shard::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY w.shard ORDER BY ('0x' || substr(sha256(s.doc_id::VARCHAR), 1, 7))::BIGINT % 256, s.doc_id) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM sized s JOIN groups g ON s.digest = g.digest JOIN walk w ON g.until > w.held AND g.until <= w.reached LEFT JOIN crcs c ON s.text = c.text
+"""
+
+ORACLES = {
+    "op1_url_filter": _URL_SQL,
+    "op2_topk_search": _TOPK_SQL,
+    "op3_suffix_dedup": _SUFFIX_SQL,
+    "op4_jaccard_join": _JACCARD_SQL,
+    "op6_embedding_dedup": _FOREST_SQL,
+    "op10_sharding": _SHARD_SQL,
+}

@@ -97,8 +97,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, slot_buckets: int = 256) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row.
 
-    slot_buckets: rows of a shard are numbered in so many independent parts, whose offsets come from a table of
-    shards x slot_buckets counts (that bound is what makes its broadcast safe).
+    slot_buckets: rows of a shard are numbered in so many independent parts, by a digest of the id, whose offsets come from
+    a table of shards x slot_buckets counts (that bound is what makes its broadcast safe).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -117,7 +117,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     shard = F.lit(0)
     for start in starts:
         shard = shard + (F.col("digest") >= F.lit(start)).cast("int")
-    placed = sized.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(slot_buckets)).cast("int"))
+    placed = sized.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), 256), 1, 7), 16, 10).cast("long"), F.lit(slot_buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "row"))

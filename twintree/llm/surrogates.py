@@ -275,6 +275,8 @@ def _later_attempts(entities: DataFrame, key: str, scratch: Scratch) -> DataFram
         seeded = rows.withColumn("seed", seed_of(kind, F.col("canon"), attempt, key)).withColumn("width", width_of(attempt))
         return seeded.withColumn("drawn", new).select("kind", "canon", "entity", "attempt", canonical(kind, F.col("drawn")).alias("made"))
 
+    # few bytes but much work: without a number the rows would be put together in a task or two
+    entities = entities.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
     state = scratch.save(drawn(entities.select("kind", "canon", "entity", F.lit(0).alias("attempt"))), "attempts")
     for last in range(ATTEMPTS + 1):
         first = state.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
