@@ -17,7 +17,8 @@ The method alone, over whole documents, needs a round for each byte of the longe
 transform in each; keys and cores keep it to 2 step rounds without losing a window. A core with more than hot_sequences
 different sequences is too much for one task: its windows are parted again by longer cores, with an eighth of the step,
 and so on down to a step of 1, where a core is a whole window and has one sequence. What is sorted so is bounded at every
-size of the input, and no group of windows takes another way than this one.
+size of the input, and no group of windows takes another way than this one. Tables meet by joins that Spark plans; nothing
+is collected, and nothing is broadcast but what Spark itself finds small.
 
 Cases: a null text counts as empty; texts shorter than the window keep all bytes; repeated rows are each other's copies,
 so both lose their bytes; null ids are handed through; an empty table gives an empty result; only the id and text columns
@@ -39,8 +40,6 @@ from .common import Scratch, mix64
 from .shingles import _powers
 
 GRAM = 24
-#: Tables of at most so many rows of a few longs are broadcast (an eighth of it if rows hold lists), larger ones shuffled.
-BROADCAST_ROWS = 250_000
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BIG = 1 << 31
@@ -188,10 +187,6 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _small(table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(table) if table.count() <= bound else table
-
-
 class Columns:
     """Rows gathered by column, put out as batches."""
 
@@ -259,7 +254,7 @@ def part_segments(docs: DataFrame, chosen: DataFrame, length: int, step: int) ->
                         yield out.batch()
         yield out.batch()
 
-    return keyed.join(_small(listed, BROADCAST_ROWS // 8), "doc").select("doc", "text", "segments").mapInArrow(part, _PARTS)
+    return keyed.join(listed, "doc").select("doc", "text", "segments").mapInArrow(part, _PARTS)
 
 
 def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> tuple[DataFrame, DataFrame | None]:
@@ -269,7 +264,7 @@ def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_se
     cores = sequences.groupBy("core").agg(F.count("*").alias("ways"), F.sum("n").alias("all")).where("all > 1")
     cores = scratch.save(cores, "cores")
     few = cores.where(F.col("ways") <= hot_sequences).select("core")
-    met = sequences.join(_small(few), "core").select("core", "windows", "left", "right", "n")
+    met = sequences.join(few, "core").select("core", "windows", "left", "right", "n")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
@@ -306,7 +301,7 @@ def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_se
     sites = rows.select("doc", "first", *hashes).join(found.select("at", "run", *hashes), ["h1", "h2"])
     repeats = sites.select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows"))
     hot = cores.where(F.col("ways") > hot_sequences).select("core")
-    return repeats, rows.join(_small(hot), "core", "left_semi") if hot.limit(1).count() else None
+    return repeats, rows.join(hot, "core", "left_semi") if hot.limit(1).count() else None
 
 
 def part_again(rows: DataFrame, step: int, new: int) -> DataFrame:
@@ -330,10 +325,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
     same = scratch.save(same, "same")
     # a sequence of weight over 1 repeats as a whole
     twice = same.where("n > 1").select("key", "digest")
-    repeats = scratch.save(cuts.join(_small(twice), ["key", "digest"], "left_semi").select("doc", "first", "windows"), "whole")
+    repeats = scratch.save(cuts.join(twice, ["key", "digest"], "left_semi").select("doc", "first", "windows"), "whole")
     keys = same.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
     keys = scratch.save(keys, "keys")
-    chosen = cuts.join(_small(keys), "key", "left_semi").select("doc", "first", "windows", "key")
+    chosen = cuts.join(keys, "key", "left_semi").select("doc", "first", "windows", "key")
     rows: DataFrame | None = part_segments(docs, chosen, length, step)
     while True:
         rows = scratch.save(rows, "parts")
@@ -356,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
     spans = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "windows"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     keyed = docs.withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
-    with_spans = keyed.join(_small(spans, BROADCAST_ROWS // 8), "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
+    with_spans = keyed.join(spans, "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
