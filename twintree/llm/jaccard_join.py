@@ -35,8 +35,6 @@ from .graph import components
 from .shingles import set_digest, shingle_set
 
 HOT = 1 << 62
-#: Tables of at most so many rows of two longs are broadcast.
-BROADCAST_ROWS = 250_000
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -163,10 +161,6 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str, sample_rows: i
     return np.array([r["h"] for r in reversed(best)], dtype=np.int64).view(np.uint64)
 
 
-def _small(table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(table) if table.count() <= bound else table
-
-
 def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -> DataFrame:
     """leader, node, digest: groups in which every two sets that may link meet.
 
@@ -178,14 +172,14 @@ def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -
     tokens = scratch.save(postings.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"), "tokens")
     few = tokens.where(F.col("sets") <= pair_sets).select("token")
     many = tokens.where(F.col("sets") > pair_sets).select("token", "leader")
-    met = postings.join(_small(few), "token").groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
+    met = postings.join(few, "token").groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
     size = lambda x: x["size"]
     fits = lambda x, y: (x["node"] < y["node"]) & (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
     pairs = met.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: fits(F.col("a"), y))).alias("b"))
     pairs = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    common = scratch.save(postings.join(_small(many), "token"), "common")
+    common = scratch.save(postings.join(many, "token"), "common")
     extra = scratch.save(common.groupBy("digest").agg(F.count("*").alias("extra")), "extra")
-    known = _small(extra)
+    known = extra
     counted = pairs.withColumn("da", F.col("a.digest")).withColumn("db", F.col("b.digest"))
     counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
     reach = F.col("shared") + F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
@@ -229,7 +223,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     none, zero = F.lit(None).cast("long"), F.lit(0)
     chunks = F.coalesce("chunks", F.lit(1))
     everywhere = F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(zero, chunks - 1)).otherwise(F.array(own(chunks))))
-    placed = members.join(_small(large), "leader", "left").select("node", "digest", "leader", everywhere.alias("i"))
+    placed = members.join(large, "leader", "left").select("node", "digest", "leader", everywhere.alias("i"))
     placed = placed.select("node", "digest", "leader", "i", F.col("i").alias("j"), zero.alias("side"), none.alias("of"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,18 +258,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         """placed: node, digest, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
         blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
         blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), f"{name}-blocks")
-        payload = docs.join(_small(blocks, BROADCAST_ROWS // 8), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
+        payload = docs.join(blocks, "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
         payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
         return scratch.save(payload.mapInArrow(joined, "u long, v long"), name)
 
     links = links_of(placed, "links")
     if large.limit(1).count():
         labels = components(links, scratch)
-        inside = members.join(_small(large), "leader").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node"))
+        inside = members.join(large, "leader").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node"))
         inside = scratch.save(inside.select("leader", "node", "digest", "chunks", "of"), "inside")
         main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("of", F.struct("n", "of")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
         main = scratch.save(main.where("others > 0").select("leader", "main", F.ceil(F.col("others") / F.lit(chunk)).cast("int").alias("rest")), "main")
-        parted = inside.join(_small(main), "leader")
+        parted = inside.join(main, "leader")
         apart = F.col("of") != F.col("main")
         # blocks of chunk i of the main component and chunk j of the others, and of chunks of the others alone (i below 0)
         others = parted.where(apart).withColumn("mine", own(F.col("rest")))
@@ -295,14 +289,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that link to a smaller id: one row of each component stays, and all rows with a null id.
 
-    The ids that go are broadcast if they are at most BROADCAST_ROWS, else both sides are shuffled.
+    Of rows that repeat an id, the one whose text has the smallest SHA-256 stays (null last).
     """
     scratch = Scratch(docs.sparkSession, "keepone")
     found = scratch.save(jaccard_components(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    ids = found.where("doc_id is not null").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if ids["rows"] == ids["ids"]:
+    own = F.col(id_col).cast("long")
+    kept = docs.join(gone, own == F.col("__gone"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select(F.col("doc_id").alias("__again"))
+    again = scratch.save(again, "again")
+    if not again.limit(1).count():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    once = kept.join(again, own == F.col("__again"), "left_anti")
+    row = F.struct(F.sha2(F.col(text_col).cast("binary"), 256).isNull().alias("none"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"), F.struct(*docs.columns).alias("row"))
+    first = kept.join(again, own == F.col("__again"), "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(row).alias("__first"))
+    return once.unionByName(first.select("__first.row.*"))
