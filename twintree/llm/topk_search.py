@@ -7,7 +7,9 @@ whose coordinates, in the query's heaviest dimensions, lie in the feasible inter
 rows that are long enough. What is left is verified by exact integer products. Pruning only passes over rows whose score
 is below the bound, so the result is exact.
 
-Cases: a vector that is null, empty or holds a null, NaN or infinite component takes no part, nor does a row with a null
+A block of queries is sent only to buckets whose longest vector can reach the bound of one of its queries.
+
+Cases: scores are exact integers; one beyond a long is put at the long's end; a vector that is null, empty or holds a null, NaN or infinite component takes no part, nor does a row with a null
 id; vectors of another dimension are not compared; rows with the query's id are its own and are left out; repeated other
 rows count one by one; a query repeated with the same vector is answered once; ties go to the smaller id; fewer
 candidates than k give fewer rows.
@@ -29,6 +31,8 @@ EXACT = float(2**53)
 #: From this local cosine threshold on, coordinate pruning is taken.
 COORDINATE_FROM = 0.5
 FOCUS = 6
+#: The table of buckets is broadcast if it has no more rows.
+BROADCAST_BUCKETS = 100_000
 
 
 def valid_vector(vector: Column) -> Column:
@@ -102,7 +106,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     scratch = Scratch(spark, "topk")
 
     def whole(df: DataFrame) -> DataFrame:
-        ints = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
+        # a double from 2**53 on is whole already, and floor() would end at the longest long
+        down = lambda y: F.when(F.abs(y) < F.lit(EXACT), F.floor(y).cast("double")).otherwise(y)
+        ints = F.transform(F.col(vector_col).cast("array<double>"), lambda x: down(x * F.lit(float(scale))))
         found = df.where(valid_vector(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), ints.alias("ints"))
         return found.withColumn("dim", F.size("ints")).withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda s, x: s + x * x)))
 
@@ -126,13 +132,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                     for i, q in zip(own, query, strict=True):
                         scores = shared.value[dim].best(i, q, -np.inf, k)[1] if dim in shared.value else ()
                         bounds.append(float(scores[-1]) if len(scores) == k else -np.inf)
-                    yield pd.DataFrame({"dim": [dim], "own": [own.astype(np.int64).tobytes()], "vectors": [query.tobytes()], "bounds": [np.array(bounds).tobytes()]})
+                    lengths = np.sqrt((query * query).sum(axis=1))
+                    # what the longest vector of a bucket must have; a bound of 0 or less can be met by any
+                    needs = np.where(np.array(bounds) > 0, np.array(bounds) / np.maximum(lengths, 1e-300), 0.0) * (1 - 1e-9)
+                    yield pd.DataFrame({"dim": [dim], "need": [float(needs.min())], "own": [own.astype(np.int64).tobytes()], "vectors": [query.tobytes()], "bounds": [np.array(bounds).tobytes()]})
 
     asked = whole(queries).dropDuplicates(["id", "ints"])
-    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(blocks, "dim int, own binary, vectors binary, bounds binary"), "queries")
+    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(blocks, "dim int, need double, own binary, vectors binary, bounds binary"), "queries")
     none = {c: F.lit(None).cast(kind) for c, kind in (("id", "long"), ("ints", "array<double>"), ("own", "binary"), ("vectors", "binary"), ("bounds", "binary"))}
     left = laid.select("bucket", "dim", F.lit(0).alias("kind"), "id", "ints", none["own"].alias("own"), none["vectors"].alias("vectors"), none["bounds"].alias("bounds"))
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "dim", F.lit(1).alias("kind"), none["id"].alias("id"), none["ints"].alias("ints"), "own", "vectors", "bounds")
+    longest = laid.groupBy("bucket", "dim").agg(F.max("norm").alias("longest"))  # one row for bucket_rows vectors
+    reached = packed.join(F.broadcast(longest) if buckets <= BROADCAST_BUCKETS else longest, "dim").where(F.col("longest") >= F.col("need"))
+    right = reached.select("bucket", "dim", F.lit(1).alias("kind"), none["id"].alias("id"), none["ints"].alias("ints"), "own", "vectors", "bounds")
 
     def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A bucket's rows come first, then block after block of queries."""
