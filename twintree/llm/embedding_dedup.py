@@ -1,8 +1,8 @@
 """Operator 6: near-duplicate vectors by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample: every node halves its sample along a random direction, down to leaves of about
-leaf_rows rows of the whole table. Every vector then walks down every tree; near a split (within spill of the threshold)
-it takes both branches. Vectors of one label in one leaf are compared, every pair in the first leaf that both share, so
+leaf_rows rows of the whole table. Every vector then walks down every tree; near a split (within the level's spill, which
+goes by the spread of the rows around the split) it takes both branches. Vectors of one label in one leaf are compared, every pair in the first leaf that both share, so
 that its link is counted once; links join the components.
 
 Rows with the same label and the same vector are one node with a weight before they meet the trees. A leaf with more
@@ -30,39 +30,53 @@ from .topk_search import valid_vector
 
 @dataclass
 class Tree:
-    """A complete binary tree: direction by depth, threshold by node; leaves are numbered from first."""
+    """A complete binary tree: direction and spill by depth, threshold by node; leaves are numbered from first."""
 
     directions: np.ndarray
     thresholds: np.ndarray
+    spills: np.ndarray
     first: int
 
 
-def grow(sample: np.ndarray, depth: int, seed: int, first: int) -> Tree:
+#: A node with fewer sampled rows splits where all sampled rows of its depth do.
+_LEAST_ROWS = 8
+
+
+def grow(sample: np.ndarray, depth: int, seed: int, first: int, overlap: float) -> Tree:
+    """overlap: the share of rows so near to a split that they take both branches."""
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((depth, sample.shape[1]))
     directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-300)
-    thresholds = np.zeros(2**depth)
+    thresholds, spills = np.zeros(2**depth), np.zeros(depth)
     node = np.ones(len(sample), dtype=np.int64)
     for d in range(depth):
         along = sample @ directions[d]
-        for n in range(2**d, 2 ** (d + 1)):
-            here = node == n
-            thresholds[n] = np.median(along[here]) if here.any() else 0.0
+        order = np.lexsort((along, node))
+        low, high = np.searchsorted(node[order], np.arange(2**d, 2 ** (d + 1))), np.searchsorted(node[order], np.arange(2**d, 2 ** (d + 1)), side="right")
+        ranked = along[order]
+        middle = np.minimum((low + high) // 2, len(sample) - 1)
+        thresholds[2**d : 2 ** (d + 1)] = np.where(high - low >= _LEAST_ROWS, ranked[middle], np.median(along))
+        spills[d] = np.quantile(np.abs(along - thresholds[node]), overlap)
         node = 2 * node + (along > thresholds[node])
-    return Tree(directions, thresholds, first)
+    return Tree(directions, thresholds, spills, first)
 
 
-def leaves_of(tree: Tree, units: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+def leaves_of(tree: Tree, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every leaf that a row comes to."""
     row, node = np.arange(len(units)), np.ones(len(units), dtype=np.int64)
     depth = len(tree.directions)
     for d in range(depth):
         off = (units @ tree.directions[d])[row] - tree.thresholds[node]
-        right, left = off > -spill, off <= spill
+        right, left = off > -tree.spills[d], off <= tree.spills[d]
         row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
     return row, node - 2**depth + tree.first
 
 
+def plan_forest(depth: int, overlap: float, max_copies: float) -> float:
+    """The overlap at each level at which a row comes to max_copies leaves of a tree at most, on average."""
+    return min(overlap, max_copies ** (1 / depth) - 1) if depth else 0.0
+
+
 def _units(column: pd.Series) -> np.ndarray:
     x = np.stack(column.to_numpy()).astype(np.float64)
     x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
@@ -93,8 +107,12 @@ def compare_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "links": linked @ weight, "root": root})[lambda x: (x["links"] > 0) | (x["root"] != x["node"])]
 
 
-def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, leaf_rows: int = 2048, spill: float = 0.04, sample_rows: int = 20_000, block_rows: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per input row. sample_rows bounds what the trees are fitted on."""
+def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, leaf_rows: int = 2048, overlap: float = 0.25, max_copies: float = 4.0, sample_rows: int = 20_000, block_rows: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per input row. sample_rows bounds what the trees are fitted on.
+
+    A row comes to trees x max_copies leaves on average at most, whatever the table's size: overlap is the share of rows that
+    take both branches of a split, less where the trees are so deep that this would give more copies.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "forest")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
@@ -109,7 +127,7 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, le
     for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("dim", "vector").collect():
         sample.setdefault(r["dim"], []).append(r["vector"])
     for dim, found in sample.items():
-        forests[dim] = [grow(_units(pd.Series(found)), depth, seed + t, t * 2**depth) for t in range(trees)]
+        forests[dim] = [grow(_units(pd.Series(found)), depth, seed + t, t * 2**depth, plan_forest(depth, overlap, max_copies)) for t in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
 
     def placed(batches):
@@ -117,8 +135,8 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, le
             for dim, part in batch.groupby("dim"):
                 units = _units(part["vector"])
                 # a dimension that no sampled vector has gets one leaf for each tree
-                forest = shared.value.get(dim) or [Tree(np.zeros((0, int(dim))), np.zeros(1), 0)]
-                found = [leaves_of(tree, units, spill) for tree in forest]
+                forest = shared.value.get(dim) or [Tree(np.zeros((0, int(dim))), np.zeros(1), np.zeros(0), 0)]
+                found = [leaves_of(tree, units) for tree in forest]
                 row, leaf = np.concatenate([r for r, _ in found]), np.concatenate([x for _, x in found])
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
