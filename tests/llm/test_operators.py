@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from twintree.llm import queries as Q
 from twintree.llm.boosting import fit_isotonic, fit_trees
 from twintree.llm.bpe import encode_documents
-from twintree.llm.embedding_dedup import forest_links
+from twintree.llm.embedding_dedup import forest_links, grow, leaves_of, plan_forest
 from twintree.llm.graph import components, local_roots
 from twintree.llm.common import Scratch
 from twintree.llm.jaccard_join import jaccard_components, keep_one
@@ -134,6 +134,46 @@ def test_forest_finds_links(spark):
     assert forest_links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [5, 10, 16])
+def test_forest_recall_with_production_parameters(depth):
+    """Trees over 64 dimensions as deep as for 65 thousand to 134 million vectors: pairs just above the threshold meet, copies are bounded."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(depth)
+    sample, a = unit(rng.standard_normal((20_000, 64))), unit(rng.standard_normal((500, 64)))
+    aside = rng.standard_normal((500, 64))
+    aside = unit(aside - (aside * a).sum(axis=1, keepdims=True) * a)
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * aside
+    met, copies = np.zeros(500, dtype=bool), 0
+    for t in range(8):
+        tree = grow(sample, depth, 7 + t, 0, plan_forest(depth, 0.25, 4.0))
+        (r1, l1), (r2, l2) = leaves_of(tree, a), leaves_of(tree, b)
+        copies += len(r1)
+        met[[r for r, _ in set(zip(r1.tolist(), l1.tolist())) & set(zip(r2.tolist(), l2.tolist()))]] = True
+    assert met.mean() >= 0.95 and copies <= 8 * 4 * 500 * 1.1
+
+
+def test_topk_awkward(spark):
+    """Clashing columns, ties, large components, repeated queries, fewer rows than k."""
+    rows = [(i, [float(i % 3), 1.0], "q", 1, 2.0) for i in range(8)] + [(100, [1e300, 0.0], "q", 1, 2.0), (101, [-1e300, 0.0], "q", 1, 2.0), (102, [9.5e15, 1.0], "q", 1, 2.0), (1, [1.0, 1.0], "q", 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int, score double")
+    got: dict[int, list] = {}
+    for r in top_k(df, df.where("vec_id in (0, 1, 102)"), k=30, bucket_rows=4, seed_rows=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ints = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v, *_ in rows]
+    for q in (0, 1, 102):
+        mine = next(v for i, v in ints if i == q)
+        clamped = lambda v: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(v, mine, strict=True))))  # noqa: B023,E731
+        assert got[q] == sorted(((i, clamped(v)) for i, v in ints if i != q), key=lambda x: (-x[1], x[0]))
+
+
+def test_forest_awkward(spark):
+    """Clashing columns, repeated ids, labels of another type; one dimension that the sample lacks."""
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (4, [0.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (5, [1.0, 0.0, 0.0], "a"), (6, [2.0, 0.0, 0.0], "a")]
+    df = spark.createDataFrame([(*r, "x", 5, False) for r in rows], "vec_id long, embedding array<double>, label string, component_id string, n_links int, kept boolean")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in forest_links(df).collect())
+    assert got == [(-1, 0, -1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)]
@@ -201,6 +241,25 @@ def test_jaccard_join(docs, texts, words, percent, chunk, pair_sets):
     assert sorted(kept) == [i for i in ids if root[i] == i]
 
 
+def test_jaccard_join_of_a_large_group(spark):
+    """A group of copies many chunks wide, with members that link to few others, and its texts are not copied for every pair."""
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        mine = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 5])):
+            mine[rng.randrange(100)] = f"c{rng.randrange(10_000)}"
+        rows.append((i, " ".join(mine)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [sets_of(t, 4) for _, t in rows]
+    links = [(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    root = local_roots(300, np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    for chunk in (16, 300):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df, chunk=chunk, hot_least=3, pair_sets=8).collect()}
+        assert got == dict(enumerate(root.tolist()))
+
+
 def test_jaccard_join_awkward_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "p q r s t u"), (2, "p q r s t u"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_components(rows).collect())
@@ -422,6 +481,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_documents(docs.limit(0), fit_toxicity(docs.limit(0), marks.limit(0))).count() == 0
 
 
+def test_toxicity_awkward(spark):
+    """Long texts, clashing columns, repeated ids; labels of one kind only."""
+    long = "plain words " * 100_000
+    rows = [(i, f"good text number {i}", 0.1, "y") for i in range(40)] + [(40, long, 0.1, "y"), (40, "again", 0.1, "y"), (41, None, 0.1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([(i, 0, "c") for i in range(40)], "doc_id long, toxic int, text string")
+    got = score_documents(docs, fit_toxicity(docs, labels)).collect()
+    assert len(got) == 43 and {(r["score"], r["predicted"]) for r in got} == {(0.0, 0)} and got[0].__fields__ == ["doc_id", "text", "score", "predicted"]
+    both = labels.unionByName(spark.createDataFrame([(i, 1, "c") for i in range(40, 42)], labels.schema))
+    assert all(0 <= r["score"] <= 1 for r in score_documents(docs, fit_toxicity(docs, both)).collect())
+
+
 @pytest.mark.parametrize("text", ["ТЫ ДУРАК! ", "ÉTÉ À Ñandú ", "ΕΣΥ εισαι ", "YOU are "])
 def test_capitals_count_alike_at_every_length(text):
     at = FEATURES.index("capitals")
