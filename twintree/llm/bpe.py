@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pack_bytes, pack_ints, unpack_bytes, unpack_ints
+from .common import give_back, lean, pack_bytes, pack_ints, unpack_bytes, unpack_ints
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -116,10 +116,11 @@ class Chunk:
         code = np.zeros(len(words), dtype=np.int32)
         code[repeated] = np.arange(1, len(repeated) + 1)
         # words are numbered by first use, so a new one is larger than all before it
-        new = found > np.concatenate([[-1], np.maximum.accumulate(found)])[: len(found)]
-        codes = np.where(new, 0, code[found])
+        new = found > np.concatenate([np.array([-1], np.int32), np.maximum.accumulate(found)])[: len(found)]
+        codes = np.where(new, np.int32(0), code[found])
+        del found
         ends = np.cumsum([0, *map(len, self.words)])
-        firsts = np.concatenate([[0], np.cumsum(new)])[ends]
+        firsts = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])[ends]
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int32, count=len(words))
         key = -1 - abs(name)
         yield _padded({"__key": pa.array([key]), "__chunk": pa.array([name]), "__first": pa.array([CHUNK], pa.int32()), "__codes": pa.array([pack_ints(repeated)], pa.binary()), "__words": pa.array([pack_ints(bucket)], pa.binary())}, 1, schema)
@@ -166,10 +167,11 @@ def chunk_words_of(docs: DataFrame, text_col: str, chunk_words: int, chunk_bytes
                 if len(chunk.index) > chunk_words or size > chunk_bytes:
                     yield from chunk.batches(first + made, buckets, schema)
                     made, chunk, size = made + 1, Chunk(), 0
+                    give_back()
         if chunk.rows:
             yield from chunk.batches(first + made, buckets, schema)
 
-    return docs.select(*names, text_col).mapInArrow(chunked, ", ".join([_KINDS, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
+    return docs.select(*names, text_col).mapInArrow(lean(chunked), ", ".join([_KINDS, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
 
 
 def encode_buckets(rows: DataFrame, model: str) -> DataFrame:
@@ -196,7 +198,7 @@ def encode_buckets(rows: DataFrame, model: str) -> DataFrame:
                 made = {"__codes": pa.array(counts, pa.binary()), "__words": pa.array(ids, pa.binary())}
                 yield pa.RecordBatch.from_arrays([made.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
 
-    return rows.repartition("__key").sortWithinPartitions("__key").mapInArrow(encoded, rows.schema)
+    return rows.repartition("__key").sortWithinPartitions("__key").mapInArrow(lean(encoded), rows.schema)
 
 
 class Table:
@@ -280,4 +282,4 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_pydict(out)
 
     fields = [f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(f"{c} {OUTPUTS[c]}" for c in OUTPUTS if c in keep_output)]
-    return met.mapInArrow(put_together, ", ".join(fields)).withColumnRenamed(id_col, "doc_id")
+    return met.mapInArrow(lean(put_together), ", ".join(fields)).withColumnRenamed(id_col, "doc_id")

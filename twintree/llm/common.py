@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self._made = 0
+        self._held: set[str] = set()
         Scratch._all.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -60,11 +64,20 @@ class Scratch:
             conf.set(key, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
+        self._held.add(path)
         return kept
 
-    def drop(self, kept: DataFrame) -> None:
-        """Removes a saved table that no later plan reads."""
-        self._delete(kept._scratch_path)
+    def drop(self, *saved: DataFrame) -> None:
+        """Removes saved tables that no later plan reads."""
+        for one in saved:
+            self._delete(one._scratch_path)
+            self._held.discard(one._scratch_path)
+
+    def keep_only(self, *saved: DataFrame) -> None:
+        """Removes all saved tables but these."""
+        for path in self._held - {one._scratch_path for one in saved}:
+            self._delete(path)
+        self._held = {one._scratch_path for one in saved}
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
@@ -84,6 +97,28 @@ def _forget_all() -> None:
 atexit.register(_forget_all)
 
 
+def give_back() -> None:
+    """Hands free memory back to the system: Python workers live on after a task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow or mapInPandas that gives its memory back when its task ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 

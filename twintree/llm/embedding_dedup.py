@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .graph import components, local_roots
 from .topk_search import valid_vector
 
@@ -145,7 +145,7 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, le
 
     label_type = nodes.schema["label"].dataType.simpleString()
     kind = nodes.schema["vector"].dataType.simpleString()
-    leaves = nodes.select("node", "weight", "label", "dim", "vector").mapInPandas(placed, f"node long, weight long, label {label_type}, dim int, vector {kind}, leaves array<int>")
+    leaves = nodes.select("node", "weight", "label", "dim", "vector").mapInPandas(lean(placed), f"node long, weight long, label {label_type}, dim int, vector {kind}, leaves array<int>")
     leaves = scratch.save(leaves, "leaves")
     cells = leaves.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("chunks"))
     cells = scratch.save(cells.where("chunks > 1"), "cells")

@@ -15,6 +15,8 @@ passed over. So texts of a group of near copies are copied a bounded number of t
 
 Documents with equal sets are one node (the smallest doc_id) before the join.
 
+Joins that move texts or postings are merge joins at every size, so that what is measured on little data holds on much.
+
 Cases: null and empty texts and texts without words have no shingles and link with nothing; a text of fewer words than
 the shingle is one shingle; rows with a null id take no part and have a null component; rows that repeat an id are one
 node and so one component; an empty table gives an empty result; only the id and text columns are read.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .graph import components
 from .shingles import set_digest, shingle_set
 
@@ -156,7 +158,7 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str, sample_rows: i
                     held = Counter()
         yield pa.RecordBatch.from_pydict({"h": pa.array(list(held), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
 
-    found = sample.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = sample.mapInArrow(lean(counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     best = found.orderBy(F.desc("n"), "h").limit(most).collect()
     return np.array([r["h"] for r in reversed(best)], dtype=np.int64).view(np.uint64)
 
@@ -170,16 +172,16 @@ def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -
     """
     postings = nodes.select("node", "digest", "size", F.explode("prefix").alias("token"))
     tokens = scratch.save(postings.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"), "tokens")
-    few = tokens.where(F.col("sets") <= pair_sets).select("token")
-    many = tokens.where(F.col("sets") > pair_sets).select("token", "leader")
-    met = postings.join(few, "token").groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
+    # only shingles of several sets come out of this join, a small part of all
+    hits = scratch.save(postings.join(tokens.hint("merge"), "token"), "hits")
+    met = hits.where(F.col("sets") <= pair_sets).groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
     size = lambda x: x["size"]
     fits = lambda x, y: (x["node"] < y["node"]) & (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
     pairs = met.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: fits(F.col("a"), y))).alias("b"))
     pairs = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    common = scratch.save(postings.join(many, "token"), "common")
+    common = hits.where(F.col("sets") > pair_sets)
     extra = scratch.save(common.groupBy("digest").agg(F.count("*").alias("extra")), "extra")
-    known = extra
+    known = extra.hint("merge")
     counted = pairs.withColumn("da", F.col("a.digest")).withColumn("db", F.col("b.digest"))
     counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
     reach = F.col("shared") + F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
@@ -191,14 +193,14 @@ def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -
     return ends.unionByName(common.select("leader", "node", "digest")).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
     sample_rows, hot_least and hot_most bound the list of frequent shingles, which is broadcast; chunk bounds a block;
     pair_sets is the largest group of a shingle that is taken apart into pairs.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(Order(frequent_shingles(docs, words, "text", sample_rows, hot_least, hot_most)))
 
@@ -214,10 +216,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
             lists = pa.ListArray.from_arrays(ends, np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "prefix"])
 
-    sketches = scratch.save(docs.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, prefix array<long>"), "sketches")
+    sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, prefix array<long>"), "sketches")
     usable = sketches.where("digest is not null and doc_id is not null")
     nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "nodes")
     members = scratch.save(_members(nodes, percent, pair_sets, scratch), "members")
+    scratch.keep_only(sketches, nodes, members)
     large = scratch.save(members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1"), "large")
     own = lambda chunks: F.pmod(F.xxhash64("digest"), chunks).cast("int")
     none, zero = F.lit(None).cast("long"), F.lit(0)
@@ -258,9 +261,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         """placed: node, digest, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
         blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
         blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), f"{name}-blocks")
-        payload = docs.join(blocks, "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
+        payload = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
         payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-        return scratch.save(payload.mapInArrow(joined, "u long, v long"), name)
+        found = scratch.save(payload.mapInArrow(lean(joined), "u long, v long"), name)
+        scratch.drop(blocks)
+        return found
 
     links = links_of(placed, "links")
     if large.limit(1).count():
@@ -282,7 +287,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     repeated = again.join(usable.select("doc_id", "digest").distinct(), "doc_id").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     parts = components(links.unionByName(repeated), scratch)
     named = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(scratch.save(named, "named"), "digest", "left")
+    named = scratch.save(named, "named")
+    scratch.keep_only(sketches, named)
+    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
 
 
@@ -292,7 +299,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     Of rows that repeat an id, the one whose text has the smallest SHA-256 stays (null last).
     """
     scratch = Scratch(docs.sparkSession, "keepone")
-    found = scratch.save(jaccard_components(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "components")
+    found = scratch.save(jaccard_components(docs, words, percent, id_col, text_col, scratch=scratch).select("doc_id", "component_id"), "components")
+    scratch.keep_only(found)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     own = F.col(id_col).cast("long")
     kept = docs.join(gone, own == F.col("__gone"), "left_anti")

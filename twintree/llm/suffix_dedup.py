@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, lean, mix64
 from .shingles import _powers
 
 GRAM = 24
@@ -232,7 +232,7 @@ def find_segments(docs: DataFrame, length: int) -> DataFrame:
                     yield out.batch()
         yield out.batch()
 
-    return docs.mapInArrow(cut, "doc binary, first long, windows long, key long, digest binary, inner boolean")
+    return docs.mapInArrow(lean(cut), "doc binary, first long, windows long, key long, digest binary, inner boolean")
 
 
 def part_segments(docs: DataFrame, chosen: DataFrame, length: int, step: int) -> DataFrame:
@@ -254,7 +254,7 @@ def part_segments(docs: DataFrame, chosen: DataFrame, length: int, step: int) ->
                         yield out.batch()
         yield out.batch()
 
-    return keyed.join(listed, "doc").select("doc", "text", "segments").mapInArrow(part, _PARTS)
+    return keyed.join(listed, "doc").select("doc", "text", "segments").mapInArrow(lean(part), _PARTS)
 
 
 def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> tuple[DataFrame, DataFrame | None]:
@@ -294,12 +294,13 @@ def sort_parts(rows: DataFrame, scratch: Scratch, length: int, step: int, hot_se
         yield out.batch()
 
     kind = "core long, windows long, left binary, right binary, at long, run long"
-    found = scratch.save(met.repartition("core").sortWithinPartitions("core").mapInArrow(sort, kind), "found")
+    found = scratch.save(met.repartition("core").sortWithinPartitions("core").mapInArrow(lean(sort), kind), "found")
     # both sides meet by two hashes of the sequence, at every size alike: margins stay out of the shuffle
     named = ("core", "windows", "left", "right")
     hashes = [F.xxhash64(*named).alias("h1"), F.xxhash64(F.lit("second"), *named).alias("h2")]
     sites = rows.select("doc", "first", *hashes).join(found.select("at", "run", *hashes), ["h1", "h2"])
-    repeats = sites.select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows"))
+    repeats = scratch.save(sites.select("doc", (F.col("first") + F.col("at")).alias("first"), F.col("run").alias("windows")), "repeats")
+    scratch.drop(sequences, found)
     hot = cores.where(F.col("ways") > hot_sequences).select("core")
     return repeats, rows.join(hot, "core", "left_semi") if hot.limit(1).count() else None
 
@@ -315,7 +316,7 @@ def part_again(rows: DataFrame, step: int, new: int) -> DataFrame:
                     yield out.batch()
         yield out.batch()
 
-    return rows.select("doc", "first", "core", "windows", "left", "right").mapInArrow(part, _PARTS)
+    return rows.select("doc", "first", "core", "windows", "left", "right").mapInArrow(lean(part), _PARTS)
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_sequences: int, batch_symbols: int) -> DataFrame:
@@ -329,9 +330,9 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
     keys = same.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
     keys = scratch.save(keys, "keys")
     chosen = cuts.join(keys, "key", "left_semi").select("doc", "first", "windows", "key")
-    rows: DataFrame | None = part_segments(docs, chosen, length, step)
+    rows: DataFrame | None = scratch.save(part_segments(docs, chosen, length, step), "parts")
+    scratch.keep_only(repeats, rows)
     while True:
-        rows = scratch.save(rows, "parts")
         found, rows = sort_parts(rows, scratch, length, step, hot_sequences if step > 1 else 1 << 62, batch_symbols)
         repeats = repeats.unionByName(found)
         if rows is None:
@@ -339,7 +340,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
         new = max(1, step // 8)
         while step % new:
             new -= 1
-        rows, step = part_again(rows, step, new), new
+        rows, step = scratch.save(part_again(rows, step, new), "parts"), new
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: str = "doc_id", text_col: str = "text", hot_sequences: int = 20_000, batch_symbols: int = 60_000, keep_text: bool = False) -> DataFrame:
@@ -350,6 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
     repeats = find_repeats(docs.select("text"), scratch, length, step, hot_sequences, batch_symbols)
     spans = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "windows"))).alias("spans"))
     spans = scratch.save(spans, "spans")
+    scratch.keep_only(spans)
     keyed = docs.withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
     with_spans = keyed.join(spans, "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -382,4 +384,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(stay, pa.binary()), pa.array(texts, pa.string())] if keep_text else []), names + (["kept", "text"] if keep_text else []))
 
-    return with_spans.mapInArrow(kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, text string" if keep_text else ""))
+    return with_spans.mapInArrow(lean(kept), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, text string" if keep_text else ""))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, lean
 
 EXACT = float(2**53)
 #: From this local cosine threshold on, coordinate pruning is taken.
@@ -138,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                     yield pd.DataFrame({"dim": [dim], "need": [float(needs.min())], "own": [own.astype(np.int64).tobytes()], "vectors": [query.tobytes()], "bounds": [np.array(bounds).tobytes()]})
 
     asked = whole(queries).dropDuplicates(["id", "ints"])
-    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(blocks, "dim int, need double, own binary, vectors binary, bounds binary"), "queries")
+    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(lean(blocks), "dim int, need double, own binary, vectors binary, bounds binary"), "queries")
     none = {c: F.lit(None).cast(kind) for c, kind in (("id", "long"), ("ints", "array<double>"), ("own", "binary"), ("vectors", "binary"), ("bounds", "binary"))}
     left = laid.select("bucket", "dim", F.lit(0).alias("kind"), "id", "ints", none["own"].alias("own"), none["vectors"].alias("vectors"), none["bounds"].alias("bounds"))
     longest = laid.groupBy("bucket", "dim").agg(F.max("norm").alias("longest"))  # one row for bucket_rows vectors
@@ -167,6 +167,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                     yield pd.concat(out)
 
     met = left.unionByName(right).repartition(buckets, "bucket").sortWithinPartitions("bucket", "dim", "kind")
-    found = met.mapInPandas(retrieve, "query_id long, query long, vec_id long, score long")
+    found = met.mapInPandas(lean(retrieve), "query_id long, query long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic, fit_isotonic, fit_trees
 from .bpe import text_slices
-from .common import Scratch
+from .common import Scratch, lean
 
 # Insults, second-person words, and signs that stand for letters.
 INSULTS = frozenset("idiot moron loser scum trash stupid pathetic worthless disgusting clown dumb imbecile filth bastard".split())
@@ -149,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         parts = list(held[0].keys() | held[1].keys())
         return pa.RecordBatch.from_pydict({"part": pa.array([*parts, ""], pa.string()), "t": pa.array([*[held[1][p] for p in parts], rows[1]], pa.int64()), "c": pa.array([*[held[0][p] for p in parts], rows[0]], pa.int64())})
 
-    counts = sample.mapInArrow(counted, "part string, t long, c long").groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.mapInArrow(lean(counted), "part string, t long, c long").groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # only parts of enough toxic texts, and at least twice as common there as elsewhere, can come into the lexicon
     total = counts.where("part = ''").first()
     toxic, clean = (int(total["t"]), int(total["c"])) if total else (0, 0)
@@ -176,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                     marks.append(label)
             yield pa.RecordBatch.from_pydict({"x": pa.array(made, pa.list_(pa.float64())), "y": pa.array(marks, pa.int32())})
 
-    rows = sample.mapInArrow(left_out, "x array<double>, y int").collect()
+    rows = sample.mapInArrow(lean(left_out), "x array<double>, y int").collect()
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["x"], rows[i]["y"]))
     x, y = np.array([rows[i]["x"] for i in order]), np.array([rows[i]["y"] for i in order], dtype=np.float64)
     fold = np.random.default_rng(11).integers(0, folds, len(y))
@@ -210,4 +210,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(lean(scored), schema)
