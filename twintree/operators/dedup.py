@@ -33,13 +33,16 @@ def dedup_candidates(files: DataFrame) -> DataFrame:
 def keepers(candidates: DataFrame) -> DataFrame:
     """One file of each group: fewest extents, most files at its place, oldest, nearest the mean place, then by place and path."""
     choice = F.struct("n_extents", (-F.col("occurrences")).alias("o"), "ctime", F.abs(F.col("avg_phys") - F.col("phys")).alias("d"), "phys", components(F.col("path")).alias("c"), "path", "file_size")
-    return candidates.groupBy("hash").agg(F.min(choice).alias("k"), F.first("avg_phys").alias("avg_phys"), F.first("n").alias("n")).select("hash", F.col("k.path").alias("keeper"), F.col("k.phys").alias("keeper_phys"), F.col("k.file_size").alias("file_size"), "avg_phys", "n")
+    return candidates.groupBy("hash").agg(F.min(choice).alias("k"), F.first("avg_phys").alias("avg_phys"), F.first("n").alias("n")).select("hash", F.col("k.path").alias("keeper"), F.col("k.phys").alias("keeper_phys"), F.col("k.file_size").alias("file_size"), "avg_phys", "n", F.col("k.ctime").alias("keeper_ctime"))
 
 
 def dedup_groups(candidates: DataFrame, aggressive: bool = False) -> DataFrame:
-    """hash, keeper, file_size, avg_phys, n_dups, dup: one row per file to dedupe, those at the keeper's place left out unless aggressive."""
-    kept = keepers(candidates).select("hash", "keeper", "keeper_phys", "avg_phys")
-    rows = candidates.select("hash", "path", "phys", "file_size").join(kept, "hash").where(F.col("path") != F.col("keeper"))
+    """hash, path, phys, file_size, ctime, keeper, keeper_phys, keeper_ctime, avg_phys: one row per file to dedupe.
+
+    Files at the keeper's place are left out unless aggressive.
+    """
+    kept = keepers(candidates).select("hash", "keeper", "keeper_phys", "keeper_ctime", "avg_phys")
+    rows = candidates.select("hash", "path", "phys", "file_size", "ctime").join(kept, "hash").where(F.col("path") != F.col("keeper"))
     return rows if aggressive else rows.where("phys <> keeper_phys")
 
 
@@ -106,7 +109,7 @@ def batches(plan: DataFrame, budget: int = 512 << 20, shards: int = 1) -> DataFr
     The fold is sequential. One shard packs as a single sequence; more shards cut the order into ranges of avg_phys that
     are packed apart, each with its own last batch. The groups stream by: a task holds no more than a batch.
     """
-    spread = plan.repartitionByRange(shards, "avg_phys", "hash") if shards > 1 else plan.coalesce(1)
+    spread = plan.repartitionByRange(shards, "avg_phys", "hash") if shards > 1 else plan.repartition(1)
     ordered = spread.sortWithinPartitions("avg_phys", "hash").select("hash", "file_size", "n_dups", F.spark_partition_id().alias("shard"))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, is_below, relative_to
 from ..functions.scalars import icon
+from ..plans.lineage import cut
 
 UNIQ, SUPR, DUPS = 0, 1, 2
 
@@ -22,33 +22,38 @@ def nodes_of(files: DataFrame, dirs: DataFrame) -> DataFrame:
     return both.select("path", F.coalesce("is_file", F.lit(False)).alias("is_file"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "file_hash", "dir_hash", F.when(F.col("is_file"), F.col("fsize")).otherwise(F.col("dsize")).alias("size"))
 
 
+def _above(rel: Column) -> Column:
+    """The relative paths above a relative path, the root ("") first."""
+    return F.transform(ancestors(F.concat(F.lit("/"), rel)), lambda a: F.substr(a, F.lit(2)))
+
+
 def tree_diff(nodes: DataFrame, roots: Sequence[str]) -> DataFrame:
     """root, rel, path, is_file, is_dir, size, stat.
 
     stat is DUPS where another root has an equal node at the same relative path (files by file hash if both have one, else
-    by directory hash), SUPR for directories whose childless nodes are all equal to some root's, else UNIQ. Coverage may
-    come from several roots. The join is on the relative path, with at most one row for each root on either side.
+    by directory hash), SUPR for directories below which all files are equal to some root's, else UNIQ. Coverage may come
+    from several roots. Nodes of one relative path come together once: one for each root at most.
     """
-    own = reduce(DataFrame.unionByName, [nodes.where(is_below(F.col("path"), r)).select(F.lit(r).alias("root"), relative_to(F.col("path"), r).alias("rel"), "*") for r in roots])
-    other = own.select(F.col("root").alias("r2"), F.col("rel").alias("rel2"), F.col("file_hash").alias("f2"), F.col("dir_hash").alias("d2"))
-    pair = own.join(other, (F.col("rel") == F.col("rel2")) & (F.col("root") != F.col("r2")))
-    both_files = F.col("file_hash").isNotNull() & F.col("f2").isNotNull()
-    same = F.when(both_files, F.col("file_hash") == F.col("f2")).otherwise(F.coalesce(F.col("dir_hash") == F.col("d2"), F.lit(False)))
-    equal = pair.where(same).select("root", "rel").distinct().withColumn("eq", F.lit(True))
-    marked = own.join(equal, ["root", "rel"], "left").withColumn("eq", F.coalesce("eq", F.lit(False)))
-    up = F.transform(ancestors(F.concat(F.lit("/"), F.col("rel"))), lambda a: F.substr(a, F.lit(2)))
-    inner = marked.where("rel <> ''").select("root", F.explode(up).alias("rel"), "eq", F.col("rel").alias("leaf"), "is_dir")
-    parents = inner.select("root", "rel").distinct()
-    childless = marked.where("rel <> ''").join(parents, ["root", "rel"], "left_anti").select("root", F.explode(up).alias("rel"), (F.col("eq") | F.col("is_dir")).alias("ok"))
-    covered = childless.groupBy("root", "rel").agg(F.every("ok").alias("covered"))
+    listed = F.array(*[F.struct(F.lit(r).alias("root"), is_below(F.col("path"), r).alias("inside"), relative_to(F.col("path"), r).alias("rel")) for r in roots])
+    own = nodes.withColumn("at", F.explode(F.filter(listed, lambda x: x["inside"]))).select("at.root", "at.rel", "path", "is_file", "is_dir", "file_hash", "dir_hash", "size")
+    together = own.groupBy("rel").agg(F.collect_list(F.struct("root", "path", "is_file", "is_dir", "file_hash", "dir_hash", "size")).alias("all"))
+
+    def same(x: Column, y: Column) -> Column:
+        both = x["file_hash"].isNotNull() & y["file_hash"].isNotNull()
+        return F.when(both, x["file_hash"] == y["file_hash"]).otherwise(F.coalesce(x["dir_hash"] == y["dir_hash"], F.lit(False)))
+
+    told = F.transform("all", lambda x: F.struct(x.alias("node"), F.exists("all", lambda y: (x["root"] != y["root"]) & same(x, y)).alias("eq")))
+    marked = cut(together.select("rel", F.explode(told).alias("t")).select("t.node.root", "rel", "t.node.path", "t.node.is_file", "t.node.is_dir", "t.node.size", "t.eq"))
+    # directories without files below them cover nothing and lack nothing
+    leaves = marked.where("not is_dir and rel <> ''").select("root", F.explode(_above(F.col("rel"))).alias("rel"), "eq")
+    covered = leaves.groupBy("root", "rel").agg(F.every("eq").alias("covered"))
     stat = F.when(F.col("eq"), DUPS).when(F.col("is_dir") & F.coalesce("covered", F.lit(True)), SUPR).otherwise(UNIQ)
-    return marked.join(covered, ["root", "rel"], "left").select("root", "rel", "path", "is_file", "is_dir", "size", stat.alias("stat"))
+    return cut(marked.join(covered, ["root", "rel"], "left").select("root", "rel", "path", "is_file", "is_dir", "size", stat.alias("stat")))
 
 
 def displayed(diff: DataFrame) -> DataFrame:
     """Nodes that a report lists: not below a DUPS node; with label and size (0 if unknown)."""
-    up = F.transform(ancestors(F.concat(F.lit("/"), F.col("rel"))), lambda a: F.substr(a, F.lit(2)))
-    tops = diff.where(F.col("stat") == DUPS).select("root", F.col("rel").alias("above"))
-    hidden = diff.where("rel <> ''").select("root", "rel", F.explode(up).alias("above")).join(tops, ["root", "above"], "left_semi").select("root", "rel").distinct()
+    tops = diff.where((F.col("stat") == DUPS) & F.col("is_dir")).select("root", F.col("rel").alias("above"))
+    hidden = diff.where("rel <> ''").select("root", "rel", F.explode(_above(F.col("rel"))).alias("above")).join(tops, ["root", "above"], "left_semi").select("root", "rel").distinct()
     label = F.when(F.col("stat") == DUPS, "DUPS").when(F.col("stat") == SUPR, "SUPR").otherwise("UNIQ")
     return diff.join(hidden, ["root", "rel"], "left_anti").select("root", "rel", "stat", label.alias("label"), icon(F.col("is_file"), F.col("is_dir")).alias("icon"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))

@@ -1,9 +1,13 @@
 """Sizes and hashes of directories.
 
-Two plans give the same partition of directories. `roll_up` goes level by level from the deepest (its hashes equal those
-of the same sums in SQL); `flat_signatures` does one shuffle over exploded ancestors, for deep forests. A directory with
-any child that has no hash has neither hash nor size. An archive stands in its parent with its file's hash and size and
-publishes the directory hash of its members besides.
+A directory's hash is made from an order-free sum over its children (or leaves): each contributes SHA-256 of its name and
+hash, cut into eight numbers of 28 bits, and the hash is SHA-256 of the number of children and the eight sums. So a
+directory of any width is aggregated before the shuffle, and none is ever gathered in one place. Equal directories have
+equal hashes; different ones would need equal sums of 224 bits.
+
+Two plans give the same partition of directories: `roll_up` goes level by level from the deepest, `flat_signatures` does one
+shuffle over exploded ancestors, for deep forests. A directory with any child that has no hash has neither hash nor size.
+An archive stands in its parent with its file's hash and size and publishes the directory hash of its members besides.
 """
 
 from __future__ import annotations
@@ -14,33 +18,31 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, depth_of, name_of, parent_path
 from ..plans.lineage import cut
 
-#: Directories with more children are hashed in 256 parts, so that no task gathers all of them.
-WIDE = 100_000
+PIECES, DIGITS = 8, 7
 
 
-def _digest(children: Column) -> Column:
-    """SHA-256 of name and hash of all children, ordered by hash, then name."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda x: F.concat(x["name"], x["h"])), "").cast("binary"), 256)
+def _sums(digest: str) -> list[Column]:
+    """Aggregates: the sums of the pieces of each row's SHA-256."""
+    return [F.sum(F.conv(F.substring(digest, 1 + DIGITS * k, DIGITS), 16, 10).cast("long")).alias(f"s{k}") for k in range(PIECES)]
 
 
-def _level(children: DataFrame, wide: int) -> DataFrame:
+def _digest(count: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.col(count), *[F.col(f"s{k}") for k in range(PIECES)]), 256)
+
+
+def _level(children: DataFrame) -> DataFrame:
     """path, dir_size, dir_hash of the parents of children (parent_path, name, h, size)."""
-    sums = children.groupBy("parent_path").agg(F.count("*").alias("n"), F.count("h").alias("hashed"), F.sum("size").cast("long").alias("dir_size"))
-    complete = sums.where("n = hashed")
-    whole = children.join(complete.select("parent_path", "n"), "parent_path")
-    listed = whole.where(F.col("n") <= wide).groupBy("parent_path").agg(_digest(F.collect_list(F.struct("h", "name"))).alias("dir_hash"))
-    part = F.substring(F.sha2(F.concat_ws("/", "name", "h"), 256), 1, 2)
-    parted = whole.where(F.col("n") > wide).withColumn("part", part).groupBy("parent_path", "part").agg(_digest(F.collect_list(F.struct("h", "name"))).alias("h"))
-    wide_ones = parted.groupBy("parent_path").agg(_digest(F.collect_list(F.struct("h", F.col("part").alias("name")))).alias("dir_hash"))
-    hashes = listed.unionByName(wide_ones)
-    return sums.join(hashes, "parent_path", "left").select(F.col("parent_path").alias("path"), F.when(F.col("n") == F.col("hashed"), F.col("dir_size")).alias("dir_size"), "dir_hash")
-
-
-def roll_up(files: DataFrame, max_depth: int | None = None, wide: int = WIDE, archives: bool = False) -> DataFrame:
+    told = children.select("parent_path", "size", F.sha2(F.concat("name", "h").cast("binary"), 256).alias("digest"))
+    sums = told.groupBy("parent_path").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("size").cast("long").alias("dir_size"), *_sums("digest"))
+    whole = F.col("n") == F.col("hashed")
+    return sums.select(F.col("parent_path").alias("path"), F.when(whole, F.col("dir_size")).alias("dir_size"), F.when(whole, _digest("n")).alias("dir_hash"))
+
+
+def roll_up(files: DataFrame, max_depth: int | None = None, archives: bool = False) -> DataFrame:
     """path, parent_path, name, depth, dir_size, dir_hash of all directories above files.
 
     files: path, file_size, file_hash. max_depth: of the files, if it is known. archives: some paths are files and have
-    members below them. Every level is checkpointed in the shared folder, since the next one reads it several times.
+    members below them. Every level is kept in the shared folder, since the next one and the result read it.
     """
     leaves = files.select("path", parent_path(F.col("path")).alias("parent_path"), name_of(F.col("path")).alias("name"), depth_of(F.col("path")).alias("depth"), F.col("file_hash").alias("h"), F.col("file_size").alias("size"))
     if max_depth is None:
@@ -51,7 +53,7 @@ def roll_up(files: DataFrame, max_depth: int | None = None, wide: int = WIDE, ar
         if below is not None:
             # an archive's directory row gives way to its file row
             here = here.unionByName(below.join(here.select("path"), "path", "left_anti") if archives else below)
-        dirs = _level(cut(here), wide)
+        dirs = cut(_level(here))
         path = F.col("path")
         done.append(dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.lit(depth - 1).alias("depth"), "dir_size", "dir_hash"))
         below = dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.col("dir_hash").alias("h"), F.col("dir_size").alias("size"))
@@ -66,17 +68,15 @@ def roll_up(files: DataFrame, max_depth: int | None = None, wide: int = WIDE, ar
 def flat_signatures(files: DataFrame) -> DataFrame:
     """path, dir_size, signature: equal signatures for directories with equal relative paths and contents.
 
-    Directories with an unhashed leaf are dropped by a partial aggregate before anything is gathered. Leaves inside an
-    archive count up to the archive only.
+    Leaves inside an archive count up to the archive only.
     """
     path = F.col("path")
     inner = F.col("archive_path") if "archive_path" in files.columns else F.lit(None).cast("string")
     up = F.when(inner.isNull(), ancestors(path)).otherwise(F.filter(ancestors(path), lambda a: (a == inner) | a.startswith(F.concat(inner, F.lit("/")))))
     rows = files.select("path", "file_hash", "file_size", F.explode(up).alias("dir"))
-    complete = rows.groupBy("dir").agg(F.every(F.col("file_hash").isNotNull()).alias("ok"), F.sum("file_size").cast("long").alias("dir_size")).where("ok")
-    kept = rows.join(complete.select("dir"), "dir").select("dir", F.struct(F.substr(path, F.length("dir") + 2).alias("rel"), "file_hash").alias("leaf"))
-    signed = kept.groupBy("dir").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("leaf")), lambda x: F.concat(x["rel"], F.lit("\0"), x["file_hash"])), "\0").cast("binary"), 256).alias("signature"))
-    return complete.join(signed, "dir").select(F.col("dir").alias("path"), "dir_size", "signature")
+    told = rows.select("dir", "file_size", F.sha2(F.concat(F.substr(path, F.length("dir") + 2), F.lit("\0"), "file_hash").cast("binary"), 256).alias("digest"))
+    sums = told.groupBy("dir").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("file_size").cast("long").alias("dir_size"), *_sums("digest"))
+    return sums.where("n = hashed").select(F.col("dir").alias("path"), "dir_size", _digest("n").alias("signature"))
 
 
 def directory_sizes(files: DataFrame) -> DataFrame:

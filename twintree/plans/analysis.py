@@ -12,10 +12,13 @@ from .lineage import cut
 
 
 class Analysis:
-    """Lazy stages over entries; archive_members are entries that are hashed already (they close the set of sizes)."""
+    """Lazy stages over entries; archive_members are entries that are hashed already (they close the set of sizes).
 
-    def __init__(self, entries: DataFrame, options: Options = Options(), archive_members: DataFrame | None = None, max_depth: int | None = None):
-        self.entries, self.options, self.archive_members, self.max_depth = entries, options, archive_members, max_depth
+    prepared: the hashed files, archive members among them, if they are known already.
+    """
+
+    def __init__(self, entries: DataFrame, options: Options = Options(), archive_members: DataFrame | None = None, max_depth: int | None = None, prepared: DataFrame | None = None):
+        self.entries, self.options, self.archive_members, self.max_depth, self.prepared = entries, options, archive_members, max_depth, prepared
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -23,6 +26,8 @@ class Analysis:
 
     @cached_property
     def files(self) -> DataFrame:
+        if self.prepared is not None:
+            return self.prepared
         hashed = candidates.content_hashes(self.candidates)
         if self.archive_members is not None:
             hashed = hashed.unionByName(self.archive_members, allowMissingColumns=True)
@@ -30,7 +35,7 @@ class Analysis:
 
     @cached_property
     def dirs(self) -> DataFrame:
-        return cut(directories.roll_up(self.files, self.max_depth, archives=self.archive_members is not None))
+        return cut(directories.roll_up(self.files, self.max_depth, archives=self.archive_members is not None or (self.prepared is not None and "in_archive" in self.prepared.columns)))
 
     @cached_property
     def members(self) -> DataFrame:

@@ -1,15 +1,44 @@
-"""Cutting plans: a checkpoint in the folder that driver and executors share."""
+"""Cutting plans: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; local runs without one get a temporary folder, clusters an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="twintree-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint folder; local runs without one get a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twintree-"))
-    return df.checkpoint()
+    """df, computed once and kept as Parquet, so that later plans prune columns, push filters down and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    _MADE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget() -> None:
+    for spark, path in _MADE:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM is already gone; the cluster's own retention cleans the folder
+            return
+
+
+atexit.register(_forget)
