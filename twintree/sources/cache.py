@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_below
+from ..functions.scalars import decode_hash
 
 COLUMNS = ("path", "ctime", "file_size", "file_hash", "phys", "n_extents", "is_file", "is_dir", "in_archive", "archive_path", "failure")
 
@@ -17,6 +18,20 @@ def store(entries: DataFrame, path: str) -> None:
     entries.select(*kept).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def load_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of an old cache: a JSON array of records whose hashes are base64.
+
+    These hashes are of another function than this engine's, so such a cache serves reports without a scan only; hashes of
+    a still older kind (over 44 characters) are null.
+    """
+    schema = "path string, ctime long, file_size long, file_hash string, was_file boolean, was_dir boolean, phys long, n_extends int, upgrade boolean, dedup_state boolean"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.where("path is not null").select(
+        "path", "ctime", "file_size", decode_hash(F.col("file_hash")).alias("file_hash"), "phys", F.col("n_extends").alias("n_extents"),
+        F.coalesce("was_file", F.lit(True)).alias("is_file"), F.coalesce("was_dir", F.lit(False)).alias("is_dir"),
+    )
+
+
 def load(spark: SparkSession, path: str, roots: Sequence[str] = ()) -> DataFrame:
     """Cached entries, below roots if any are given: the whole input of an analysis without a scan."""
     rows = spark.read.parquet(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
+import json
 import os
 import stat
+import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +18,35 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.paths import depth_of, name_of, parent_path
 
 SCHEMA = "path string, file_size long, ctime long, phys long, n_extents int"
+EXTENT_SCHEMA = "path string, logical long, physical long, length long, flags int"
+
+# Fixed values of the kernel's extent map call: request, header, one extent, and flags.
+FIEMAP = 0xC020660B
+FIEMAP_HEAD, FIEMAP_EXTENT = "=QQIIII", "=QQQQQIIII"
+FIEMAP_SYNC, EXTENT_LAST, EXTENT_UNKNOWN = 0x1, 0x1, 0x2
+#: Extents asked for at a time.
+EXTENTS_AT_ONCE = 128
+
+
+def extents_of(path: str) -> list[tuple[int, int, int, int]] | None:
+    """(logical, physical, length, flags) of a file's extents; None where the file system does not tell them."""
+    found: list[tuple[int, int, int, int]] = []
+    head, one = struct.calcsize(FIEMAP_HEAD), struct.calcsize(FIEMAP_EXTENT)
+    try:
+        with open(path, "rb") as f:
+            start = 0
+            while True:
+                asked = bytearray(struct.pack(FIEMAP_HEAD, start, 2**64 - 1 - start, FIEMAP_SYNC, 0, EXTENTS_AT_ONCE, 0) + bytes(one * EXTENTS_AT_ONCE))
+                fcntl.ioctl(f.fileno(), FIEMAP, asked)
+                mapped = struct.unpack_from(FIEMAP_HEAD, asked)[3]
+                for k in range(mapped):
+                    logical, physical, length, _, _, flags, *_ = struct.unpack_from(FIEMAP_EXTENT, asked, head + one * k)
+                    found.append((logical, physical, length, flags))
+                if not mapped or found[-1][3] & EXTENT_LAST:
+                    return found
+                start = found[-1][0] + found[-1][2]
+    except OSError:
+        return None
 
 
 class Subtree(InputPartition):
@@ -23,10 +55,11 @@ class Subtree(InputPartition):
 
 
 class FileTree(DataSource):
-    """spark.read.format("twintree").option("paths", "/a:/b"): regular files with sizes and change times in seconds.
+    """spark.read.format("twintree").option("paths", '["/a", "/b"]'): regular files with sizes and change times in seconds.
 
-    One partition for each directory below a root. Symbolic links and names that are no UTF-8 are passed over, so
-    directories without files do not show. Extents are not asked for: phys is 0, which means unknown.
+    paths is a JSON list. One partition for each directory below a root. Symbolic links and names that are no UTF-8 are
+    passed over, so directories without files do not show. With the option extents (true) every file's first physical
+    place and number of extents are asked for; else, and where the file system does not tell, they are 0: unknown.
     """
 
     @classmethod
@@ -37,12 +70,12 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> "FileTreeReader":
-        return FileTreeReader([p for p in self.options.get("paths", "").split(":") if p])
+        return FileTreeReader(json.loads(self.options.get("paths", "[]")), self.options.get("extents", "false").lower() == "true")
 
 
 class FileTreeReader(DataSourceReader):
-    def __init__(self, paths: Sequence[str]):
-        self.paths = paths
+    def __init__(self, paths: Sequence[str], extents: bool = False):
+        self.paths, self.extents = paths, extents
 
     def partitions(self) -> list[Subtree]:
         found: list[Subtree] = []
@@ -64,22 +97,39 @@ class FileTreeReader(DataSourceReader):
             if not part.deep:
                 dirs.clear()
 
-    @staticmethod
-    def _row(path: str) -> Iterator[tuple]:
+    def _row(self, path: str) -> Iterator[tuple]:
         try:
             path.encode("utf-8")
             seen = os.lstat(path)
         except (OSError, UnicodeEncodeError):
             return
         if stat.S_ISREG(seen.st_mode):
-            yield path, seen.st_size, int(seen.st_ctime), 0, 0
+            known = [e for e in (extents_of(path) if self.extents else None) or [] if not e[3] & EXTENT_UNKNOWN]
+            yield path, seen.st_size, int(seen.st_ctime), known[0][1] if known else 0, len(known)
 
 
-def scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def extents(entries: DataFrame) -> DataFrame:
+    """path, logical, physical, length, flags: all extents of the entries' files, as the file system tells them."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(p, *e) for p in frame["path"] for e in extents_of(p) or ()], columns=["path", "logical", "physical", "length", "flags"])
+
+    return entries.where("is_file").select("path").mapInPandas(rows, EXTENT_SCHEMA)
+
+
+def with_extents(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """entries with phys and n_extents from a table of extents (path, logical, physical), wherever that comes from."""
+    first = found.groupBy("path").agg(F.min_by("physical", "logical").alias("__phys"), F.count("*").cast("int").alias("__n"))
+    joined = entries.join(first, "path", "left")
+    return joined.withColumns({"phys": F.coalesce("__phys", F.lit(0).cast("long")), "n_extents": F.coalesce("__n", F.lit(0))}).select(*entries.columns)
+
+
+def scan(spark: SparkSession, paths: Sequence[str], extents: bool = False) -> DataFrame:
     """Entries of real paths; the folders must be visible to all executors."""
     spark.dataSource.register(FileTree)
     real = list(dict.fromkeys(os.path.realpath(p) for p in paths))
-    rows = spark.read.format("twintree").option("paths", ":".join(real)).load().dropDuplicates(["path"])
+    rows = spark.read.format("twintree").option("paths", json.dumps(real)).option("extents", str(extents)).load().dropDuplicates(["path"])
     path = F.col("path")
     return rows.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), depth_of(path).alias("depth"), F.lit(True).alias("is_file"), F.lit(False).alias("is_dir"), "file_size", "ctime", "phys", "n_extents")
 
