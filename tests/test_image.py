@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pytest
 
-from twintree.functions.scalars import crc32c_of
+from twintree.functions.scalars import crc32c_many, crc32c_of
 from twintree.sources import imagefs as I
 from twintree.streaming.incremental import current_duplicates, latest, refresh_cache
 
 NODE, LOGICAL, PHYSICAL = 4096, 0x100000, 0x30000
+I_HASH = crc32c_of(b"one", 0xFFFFFFFE, 0)
 
 
 def sealed(raw: bytes) -> bytes:
@@ -44,12 +46,17 @@ def image(tmp_path):
     inode = struct.pack(I.LAYOUTS["inode"][0], 9, 9, 5, 4096, 0, 1, 0, 0, 0o100644, 0, 0, 0, b"", *([7, 8] * 4))
     inline = struct.pack("<QQBBHB", 9, 5, 0, 0, 0, 0) + b"hello"
     regular = struct.pack("<QQBBHB", 9, 4096, 0, 0, 0, 1) + struct.pack("<QQQQ", 777, 4096, 0, 4096)
-    root_item = struct.pack(I.LAYOUTS["root"][0], b"", 9, 256, LOGICAL + 2 * NODE, 0, 0, 0, 0, 1, b"", 0, 1).ljust(I.RECORD_BYTES["root"], b"\0")
+    root_item = struct.pack(I.LAYOUTS["root"][0], inode[:160], 9, 256, LOGICAL + 2 * NODE, 0, 0, 0, 0, 1, b"", 0, 1).ljust(I.RECORD_BYTES["root"], b"\0")
     at = {0: leaf([(256, 228, LOGICAL, chunk(16 * NODE, PHYSICAL))], LOGICAL, 3)}
-    at[1] = leaf([(5, 132, 0, root_item), (256, 156, 257, struct.pack("<QQH", 256, 3, 3) + b"sub")], LOGICAL + NODE, 1)
+    back = struct.pack("<QQH", 256, 3, 3) + b"sub"
+    default = struct.pack("<QBQQHHB", 257, 132, 0, 9, 0, 7, 2) + b"default"
+    block = struct.pack("<QQQ", 1, 9, 2) + struct.pack("<QBQB", 5, 1, 0, 0) + struct.pack("<BQ", 176, 5)
+    data = struct.pack("<QQQ", 3, 9, 1) + struct.pack("<BQQQI", 178, 5, 257, 0, 2) + struct.pack("<BQI", 184, 12345, 1)
+    extents = [(777, 168, 4096, data), (888, 168, NODE, block), (999, 168, NODE, data[:-3])]
+    at[1] = leaf([(5, 132, 0, root_item), (6, 84, 1, default), (256, 144, 5, back), (256, 156, 257, back), (257, 156, 258, back + b"x"), *extents], LOGICAL + NODE, 1)
     at[2] = inner([LOGICAL + 3 * NODE, LOGICAL + 4 * NODE, LOGICAL + 5 * NODE], LOGICAL + 2 * NODE, 5)
     at[3] = leaf([(256, 84, 5, dir_entry + second), (257, 1, 0, inode), (257, 12, 256, struct.pack("<QH", 2, 3) + b"one")], LOGICAL + 3 * NODE, 5)
-    at[4] = leaf([(257, 108, 0, inline), (257, 108, 4096, regular), (257, 1, 7, b"short")], LOGICAL + 4 * NODE, 5)
+    at[4] = leaf([(257, 108, 0, inline), (257, 108, 4096, regular), (257, 1, 7, b"short"), (258, 84, I_HASH, dir_entry), (259, 96, 2, dir_entry + second[:-2]), (260, 12, 5, struct.pack("<QH", 2, 9) + b"one")], LOGICAL + 4 * NODE, 5)
     at[5] = b"\1" * NODE
     system = struct.pack(I.KEY, 256, 228, LOGICAL) + chunk(16 * NODE, PHYSICAL)
     device = struct.pack("<Q", 1).ljust(98, b"\0")
@@ -74,13 +81,28 @@ def test_record_sizes():
 def test_image(spark, image):
     items = I.read_items(spark, [[image]]).cache()
     assert items.where("corrupt is not null").count() == 1
-    assert {r["name"] for r in I.dir_entries(items, "dir_item").collect()} == {"one", "zwö"}
+    assert {r["name"] for r in I.dir_entries(items, "dir_item").collect()} == {"one", "zwö", "default"}
     rows = {r["offset"]: r for r in I.inodes(items).collect()}
     assert rows[0]["st_size"] == 5 and rows[0]["mtime"] == 7 and rows[7]["corrupt"]
     found = {r["offset"]: r for r in I.extents(items).collect()}
     assert bytes(found[0]["inline"]) == b"hello" and found[0]["kind"] == "inline" and found[4096]["address"] == 777
-    assert [r["name"] for r in I.root_refs(items).collect()] == ["sub"] and [r["parent"] for r in I.inode_refs(items).collect()] == [256]
-    assert I.subvolumes(items).count() == 1 and I.by_key(items, 257, 108, 0).count() == 1 and I.by_object(items, 257).count() == 5
+    refs = I.root_refs(items).collect()
+    assert sorted((r["name"] or "", r["corrupt"] is None) for r in refs) == [("", False), ("sub", True)]
+    assert [(r["name"], r["directory_id"]) for r in I.root_refs(items, "root_backref").collect()] == [("sub", 256)]
+    assert sorted((r["parent"], r["name"] or "", r["corrupt"] is None) for r in I.inode_refs(items).collect()) == [(5, "", False), (256, "one", True)]
+    assert [(r["name"], r["corrupt"] is None) for r in I.dir_entries(items).collect()] == [("one", True), (None, False)]
+    assert [r["object_id"] for r in I.default_subvolume(items).collect()] == [257]
+    wanted = spark.createDataFrame([(5, 258, "one"), (5, 258, "two"), (5, 257, "one")], "tree_id long, object_id long, name string")
+    assert [(r["object_id"], r["name"], r["child"]) for r in I.entry_by_name(items, wanted).collect()] == [(258, "one", 257)]
+    told = {r["object_id"]: r for r in I.extent_items(items).collect()}
+    assert [(x["kind"], x["root"], x["object_id"], x["offset"], x["count"]) for x in told[777]["references"]] == [("extent_data", 5, 257, 0, 2), ("shared_data", None, None, 12345, 1)]
+    assert told[777]["is_data"] and told[888]["is_tree_block"] and told[888]["block_object_id"] == 5 and told[888]["references"][0]["kind"] == "tree_block" and told[999]["corrupt"]
+    assert [r["inode_st_size"] for r in I.roots(items).collect()] == [5]
+    block = I.superblocks(spark, [[image]]).first()
+    assert block["label"] == "label" and block["device"] == 1 and block["nodesize"] == NODE and block["fsid"] == "-".join(["66" * 4, "66" * 2, "66" * 2, "66" * 2, "66" * 6])
+    assert [i[:2] for i in I.Image([image]).items(PHYSICAL + 3 * NODE, False, physical=1)] == [i[:2] for i in I.Image([image]).items(LOGICAL + 3 * NODE, False)]
+    assert I.by_type(items, "inode", 257).count() == 2
+    assert I.subvolumes(items).count() == 1 and I.by_key(items, 257, 108, 0).count() == 1 and I.by_object(items, 257).count() == 6
     opened = I.Image([image])
     assert opened.physical(LOGICAL + 5) == (1, PHYSICAL + 5) and opened.physical(1) is None
     with pytest.raises(ValueError):
@@ -89,6 +111,22 @@ def test_image(spark, image):
         I.Image([image, image])
 
 
+def test_checksums():
+    rng = np.random.default_rng(3)
+    values = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 7, 8, 9, 100, 4096, 3)]
+
+    def plain(data: bytes, state: int, final: int) -> int:
+        for byte in data:
+            state ^= byte
+            for _ in range(8):
+                state = state >> 1 ^ (0x82F63B78 if state & 1 else 0)
+        return state ^ final
+
+    for state, final in ((0xFFFFFFFF, 0xFFFFFFFF), (0xFFFFFFFE, 0)):
+        expected = [plain(v, state, final) for v in values]
+        assert [crc32c_of(v, state, final) for v in values] == expected == crc32c_many(values, state, final).tolist()
+
+
 def test_incremental(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = lambda *x: spark.createDataFrame(list(x), "path string, content string, file_size long").coalesce(1)

@@ -114,6 +114,13 @@ def test_packing():
     assert covered == {"a": 1, "b": 2, "c": 9, "d": 1}
 
 
+def digest(children: list[str]) -> str:
+    """A directory's hash by its definition."""
+    found = [hashlib.sha256(c.encode()).hexdigest() for c in children]
+    sums = [sum(int(h[7 * k : 7 * k + 7], 16) for h in found) for k in range(8)]
+    return hashlib.sha256("|".join(map(str, [len(children), *sums])).encode()).hexdigest()
+
+
 def model(tree: dict[str, str]) -> dict[str, str | None]:
     """Directory hashes by recursion."""
     sizes = [len(c) for c in tree.values()]
@@ -123,7 +130,7 @@ def model(tree: dict[str, str]) -> dict[str, str | None]:
     for path in sorted(dirs, key=lambda d: -d.count("/") if d else 1):
         kids = {p.rpartition("/")[2]: h for p, h in known.items() if p and p.rpartition("/")[0] == path}
         children[path] = kids
-        known[path] = None if None in kids.values() else hashlib.sha256("".join(n + h for h, n in sorted((h, n) for n, h in kids.items())).encode()).hexdigest()
+        known[path] = None if None in kids.values() else digest([n + h for n, h in kids.items()])
     return {d: known[d] for d in dirs}
 
 
@@ -139,11 +146,22 @@ def test_random_forests(spark, seed):
     for p in flat:
         for q in flat:
             assert (flat[p] == flat[q]) == (expected[p] == expected[q])
-    wide = {r["path"]: r["dir_hash"] for r in directories.roll_up(a.files, wide=1).collect()}
-    assert {p for p, h in wide.items() if h} == set(flat)
-    for p in flat:
-        for q in flat:
-            assert (wide[p] == wide[q]) == (expected[p] == expected[q])
+
+
+def test_wide_directories(spark):
+    """Directories of any width are hashed by one definition."""
+    n = F.col("id")
+    rows = [spark.range(100_001).select(F.concat(F.lit(f"/r/{d}/f"), n).alias("path"), F.concat(F.lit("x"), n % 3).alias("content")) for d in "ab"]
+    rows.append(spark.range(99_999).select(F.concat(F.lit("/r/c/f"), n).alias("path"), F.concat(F.lit("x"), n % 3).alias("content")))
+    rows += [spark.range(5).select(F.concat(F.lit(f"/r/{d}/f"), n).alias("path"), F.concat(F.lit("x"), n % 3).alias("content")) for d in "de"]
+    whole = rows[0]
+    for more in rows[1:]:
+        whole = whole.unionByName(more)
+    a = Analysis(corpora.as_entries(whole))
+    hashes = {r["path"]: r["dir_hash"] for r in a.dirs.collect()}
+    assert hashes["/r/a"] == hashes["/r/b"] != hashes["/r/c"] and hashes["/r/d"] == hashes["/r/e"]
+    for d, size in (("a", 100_001), ("c", 99_999), ("d", 5)):
+        assert hashes[f"/r/{d}"] == digest([f"f{i}" + hashlib.sha256(f"x{i % 3}".encode()).hexdigest() for i in range(size)])
 
 
 def test_file_system_archives_and_cache(spark, tmp_path):
@@ -194,7 +212,54 @@ def test_ranges_and_paths(spark):
     found = {r["address"]: r["physical"] for r in to_physical(spark.createDataFrame([(3,), (15,), (24,)], "address long"), chunks).collect()}
     assert found == {3: 103, 15: None, 24: 504}
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 5, "x"), (5, 4, "y")], "id long, parent long, name string")
-    assert {r["id"]: r["path"] for r in build_paths(nodes, rounds=6).collect()} == {1: "/a", 2: "/a/b", 3: "/a/b/c"}
+    assert {r["id"]: r["path"] for r in build_paths(nodes).collect()} == {1: "/a", 2: "/a/b", 3: "/a/b/c"}
+
+
+def test_ranges_of_all_lengths(spark):
+    rng = random.Random(8)
+    at, chunks = 0, []
+    for _ in range(200):
+        at += rng.choice([0, 1, 5, 1000])
+        size = rng.choice([1, 2, 3, 64, 1000, 1 << 20])
+        chunks.append((at, size, rng.randrange(1 << 40)))
+        at += size
+    asked = [rng.randrange(at + 5) for _ in range(500)] + [c[0] for c in chunks] + [c[0] + c[1] - 1 for c in chunks] + [7, 7]
+    got = to_physical(spark.createDataFrame([(a,) for a in asked], "address long"), spark.createDataFrame(chunks, "start long, length long, physical long")).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        expected = [p + r["address"] - s for s, n, p in chunks if s <= r["address"] < s + n]
+        assert r["physical"] == (expected[0] if expected else None)
+
+
+def test_paths_below_cycles(spark):
+    """Chains of any depth are built; nodes of a cycle and those below one have no path, and names do not grow."""
+    rows = [(i, i - 1 if i else None, f"n{i}") for i in range(40)]
+    rows += [(100 + i, 100 + (i + 1) % 30, "c") for i in range(30)] + [(200, 100, "below"), (201, 200, "below"), (300, 300, "own"), (301, 999, "lost")]
+    got = {r["id"]: r["path"] for r in build_paths(spark.createDataFrame(rows, "id long, parent long, name string")).collect()}
+    assert got == {i: "".join(f"/n{k}" for k in range(i + 1)) for i in range(40)} | {300: "/own", 301: "/lost"}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_export_order_with_coalescing(spark, coalesce):
+    """Ranks are right however the engine puts shuffled parts together."""
+    rng = random.Random(9)
+    tree = {f"/r/{rng.choice('abcdef')}{i}": rng.choice(["x", "yy", "zz", "vvv", "www"]) for i in range(300)}
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.shuffle.partitions": "17"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = analysis(spark, tree).report(0).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by_hash: dict[str, list] = {}
+    for r in got:
+        by_hash.setdefault(r["hash"], []).append(r)
+    order = sorted(by_hash.values(), key=lambda g: (-max(r["size"] for r in g), min((r["typ_order"], r["path"].split("/")) for r in g)))
+    for rank, group in enumerate(order, 1):
+        members = sorted(group, key=lambda r: (r["typ_order"], r["path"].split("/")))
+        assert [(r["group_rank"], r["member_rank"]) for r in members] == [(rank, k) for k in range(1, len(group) + 1)]
 
 
 def test_hash_counts_of_members(spark):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import tarfile
+import zipfile
+import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +18,7 @@ from .operators import candidates, dedup, diff, directories, groups, stats
 from .options import Options
 from .plans import reports
 from .plans.analysis import Analysis
-from .sources import cache, corpora
+from .sources import archive, cache, corpora, imagebuild, imagefs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,9 +33,10 @@ _ENTRIES = {
     "events": "SELECT '/events/'||user_id||'/'||strftime(ts,'%Y-%m-%d')||'/'||row_number() OVER (PARTITION BY user_id, strftime(ts,'%Y-%m-%d') ORDER BY ts, event_id) AS path, event_type AS content, (epoch_us(ts)//1000000)::BIGINT AS ctime, event_id+1 AS phys, 1::INTEGER AS n_extents FROM events",
     "conv": "SELECT '/conv/'||conv_id||'/'||turn AS path, text AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM conversations",
     "pages": "SELECT '/pages/'||regexp_replace(regexp_extract(url,'://([^?#]*)',1),'/+$','') AS path, html AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM pages",
+    "cust": "SELECT '/cust/'||r_name||'/'||n_name||'/'||c_custkey AS path, c_mktsegment AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "flags": "SELECT '/flags/'||l_returnflag||'/'||l_orderkey||'/'||l_linenumber AS path, min(l_linestatus) AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber",
 }
-_CORPORA = {"docs": corpora.docs, "orders": corpora.orders, "events": corpora.events, "conv": corpora.conversations, "pages": corpora.pages, "flags": corpora.flags}
+_CORPORA = {"docs": corpora.docs, "orders": corpora.orders, "events": corpora.events, "conv": corpora.conversations, "pages": corpora.pages, "cust": corpora.customers, "flags": corpora.flags}
 _DEPTH = {"docs": 4, "orders": 3, "events": 4, "conv": 3, "flags": 4}
 _ANCESTORS = "list_transform(range(1, len(string_split(path,'/'))), lambda i: array_to_string(string_split(path,'/')[1:i],'/'))"
 
@@ -45,9 +51,11 @@ files AS (SELECT path, parent_path, name, file_size, ctime, phys, n_extents, CAS
 
 def _tree(corpus: str) -> str:
     """dirs by levels, members."""
+    pieces = [f"sum(('0x'||substr(sha256(name||h),{1 + directories.DIGITS * k},{directories.DIGITS}))::BIGINT)" for k in range(directories.PIECES)]
+    digest = f"sha256(concat_ws('|',count(*),{','.join(pieces)}))"
     parts, below = [], "SELECT parent_path, name, file_hash AS h, file_size AS size FROM files"
     for d in range(_DEPTH[corpus] - 1, -1, -1):
-        parts.append(f"d{d} AS (SELECT parent_path AS path, CASE WHEN count(*)=count(h) THEN sum(size)::BIGINT END AS dir_size, CASE WHEN count(*)=count(h) THEN sha256(string_agg(name||h,'' ORDER BY h,name)) END AS dir_hash FROM ({below}) GROUP BY parent_path)")
+        parts.append(f"d{d} AS (SELECT parent_path AS path, CASE WHEN count(*)=count(h) THEN sum(size)::BIGINT END AS dir_size, CASE WHEN count(*)=count(h) THEN {digest} END AS dir_hash FROM ({below}) GROUP BY parent_path)")
         below = f"SELECT regexp_replace(path,'/[^/]*$','') AS parent_path, string_split(path,'/')[-1] AS name, dir_hash AS h, dir_size AS size FROM d{d}"
     union = " UNION ALL ".join(f"SELECT * FROM d{d}" for d in range(_DEPTH[corpus]))
     parts.append(f"dirs AS ({union})")
@@ -85,7 +93,7 @@ def _analysis(spark: SparkSession, sf_dir: str, corpus: str) -> Analysis:
 
 def _register_scans() -> None:
     columns = ["path", "parent_path", "name", "file_size", "ctime", "phys", "n_extents"]
-    for corpus in ("docs", "orders", "events", "pages", "conv"):
+    for corpus in ("docs", "orders", "events", "pages", "conv", "cust"):
         query(f"scan_{corpus}_entries", f"WITH {_base(corpus)} SELECT {', '.join(columns)} FROM entries")(lambda spark, sf_dir, c=corpus: _CORPORA[c](spark, sf_dir).select(*columns))
 
 
@@ -155,7 +163,8 @@ def _register_directories() -> None:
         query(f"dir_hash_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT path, dir_size, dir_hash FROM dirs")(lambda spark, sf_dir, c=corpus: _analysis(spark, sf_dir, c).dirs.select("path", "dir_size", "dir_hash"))
 
         def dup_dirs(spark, sf_dir, c=corpus):
-            return groups.duplicates(groups.members(_analysis(spark, sf_dir, c).files.limit(0), _analysis(spark, sf_dir, c).dirs)).select("hash", "path", "size", "n")
+            dirs = _analysis(spark, sf_dir, c).dirs.where("dir_hash is not null").select(F.col("dir_hash").alias("hash"), "path", F.col("dir_size").alias("size"))
+            return groups.duplicates(dirs).select("hash", "path", "size", "n")
 
         query(f"dup_dirs_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT dir_hash AS hash, path, dir_size AS size, n FROM (SELECT *, count(*) OVER (PARTITION BY dir_hash) AS n FROM dirs WHERE dir_hash IS NOT NULL) WHERE n > 1")(dup_dirs)
 
@@ -228,8 +237,10 @@ marked AS (SELECT p.*, e.root IS NOT NULL AS eq FROM picked p LEFT JOIN equal e
 leaves AS (SELECT root, rel, eq FROM marked WHERE NOT is_dir),
 cover AS (SELECT root, up AS rel, bool_and(eq) AS covered FROM (SELECT root, eq, unnest(['', string_split(rel,'/')[1]]) AS up FROM leaves) GROUP BY ALL),
 stated AS (SELECT m.root, m.rel, m.is_dir, m.size, CASE WHEN eq THEN 2 WHEN m.is_dir AND coalesce(covered, true) THEN 1 ELSE 0 END AS stat FROM marked m LEFT JOIN cover c ON m.root = c.root AND m.rel = c.rel),
+tops AS (SELECT root, rel FROM stated WHERE stat = 2),
+hidden AS (SELECT DISTINCT s.root, s.rel FROM (SELECT root, rel, unnest(['', string_split(rel,'/')[1]]) AS up FROM stated WHERE rel <> '') s JOIN tops t ON s.root = t.root AND s.up = t.rel AND s.rel <> t.rel),
 listed AS (SELECT s.root, s.rel, s.stat, CASE s.stat WHEN 2 THEN 'DUPS' WHEN 1 THEN 'SUPR' ELSE 'UNIQ' END AS label, CASE WHEN s.is_dir THEN 'D' ELSE 'F' END AS icon, coalesce(s.size,0)::BIGINT AS size
-  FROM stated s LEFT JOIN stated t ON s.root = t.root AND t.stat = 2 AND s.rel <> '' AND s.rel <> t.rel AND (t.rel = '' OR t.rel = string_split(s.rel,'/')[1]) WHERE t.root IS NULL)
+  FROM stated s LEFT JOIN hidden h ON s.root = h.root AND s.rel = h.rel WHERE h.root IS NULL)
 {select}"""
 
 
@@ -305,10 +316,40 @@ def dedup_simulate_orders(spark, sf_dir):
     return dedup.simulate(dedup.dedup_groups(_dedup(spark, sf_dir, "orders")))
 
 
-@query("dedup_batches_docs")
-def dedup_batches_docs(spark, sf_dir):
-    plan = dedup.group_plan(dedup.dedup_groups(_dedup(spark, sf_dir, "docs")))
-    return dedup.batches(plan, budget=24 << 10)
+# The fold over groups by recursion; a row emits a share, ends a batch, or both.
+_FOLD = """plan AS ({plan}), numbered AS (SELECT *, row_number() OVER (ORDER BY avg_phys, hash) AS k FROM plan),
+fold(k, at, files, used, batch, made, hash, first, last, usage) AS (
+  SELECT 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT CASE WHEN fits OR (NOT closes AND until = n_dups) THEN k + 1 ELSE k END, CASE WHEN fits OR (NOT closes AND until = n_dups) THEN 0 WHEN closes THEN at ELSE until END,
+         CASE WHEN fits THEN files + n_dups - at + 1 ELSE 0 END, CASE WHEN fits THEN used + (n_dups - at + 1) * file_size ELSE 0 END, CASE WHEN fits THEN batch ELSE batch + 1 END,
+         CASE WHEN NOT closes THEN batch END, CASE WHEN NOT closes THEN name END, CASE WHEN NOT closes THEN at END, CASE WHEN NOT closes THEN CASE WHEN fits THEN n_dups ELSE until END - 1 END,
+         CASE WHEN NOT closes THEN (CASE WHEN fits THEN n_dups ELSE until END - at + 1) * file_size END
+  FROM (SELECT *, NOT fits AND files > 0 AS closes FROM (
+    SELECT f.k, f.at, f.files, f.used, f.batch, p.hash AS name, p.n_dups, p.file_size, f.files + p.n_dups - f.at + 1 <= 127 AND f.used + (p.n_dups - f.at + 1) * p.file_size <= {budget} AS fits,
+           least(p.n_dups, f.at + greatest(2, least(127, {budget} // greatest(p.file_size, 1))) - 1) AS until
+    FROM fold f JOIN numbered p ON f.k = p.k))
+)
+SELECT 0 AS shard, made AS batch, hash, first, last, usage FROM fold WHERE made IS NOT NULL"""
+
+
+def _register_batches() -> None:
+    for corpus, budget in (("docs", 24 << 10), ("orders", 300)):
+        sql = _dedup_sql(corpus, "").replace("WITH raw", "WITH RECURSIVE raw", 1) + ", " + _FOLD.format(plan=_PLAN, budget=budget)
+
+        def batches(spark, sf_dir, c=corpus, b=budget):
+            return dedup.batches(dedup.group_plan(dedup.dedup_groups(_dedup(spark, sf_dir, c))), budget=b)
+
+        query(f"dedup_batches_{corpus}", sql)(batches)
+
+
+_register_batches()
+
+
+@query("dedup_read_order_orders", _dedup_sql("orders", "SELECT path, phys, phys % 50 AS batch, row_number() OVER (PARTITION BY phys % 50 ORDER BY phys, path)::INTEGER AS read_order FROM dup"))
+def dedup_read_order_orders(spark, sf_dir):
+    rows = dedup.dedup_groups(_dedup(spark, sf_dir, "orders")).withColumn("batch", F.col("phys") % 50)
+    return dedup.read_order(rows).select("path", "phys", "batch", "read_order")
 
 
 # ---------------------------------------------------------------- cache
@@ -410,18 +451,147 @@ def bitmask_group_profile(spark, sf_dir):
     return corpora.table(spark, sf_dir, "part").select("p_partkey", S.group_type(flags).alias("type"), S.group_profile(flags).alias("profile"))
 
 
+@query("profile_codes_part", "SELECT p_partkey, CASE WHEN f & 8 <> 0 THEN 8 WHEN f & 16 <> 0 THEN 16 WHEN f & 32 <> 0 THEN 32 WHEN f & 64 <> 0 THEN 64 WHEN f & 128 <> 0 THEN 128 WHEN f & 256 <> 0 THEN 256 ELSE 0 END AS code FROM (SELECT p_partkey, p_partkey % 512 AS f FROM part)")
+def profile_codes_part(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "part").select("p_partkey", S.profile_code(S.group_profile(F.col("p_partkey") % 512)).alias("code"))
+
+
+@query("decompressed_docs", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN sha256(coalesce(text, '')) END AS digest, CASE WHEN doc_id % 3 = 2 THEN 'no decoder for lzo' END AS error FROM documents")
+def decompressed_docs(spark, sf_dir):
+    """Texts as extents: plain, as a zlib stream after 8 bytes of lengths, and of a kind without a decoder."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for r in frame.itertuples(index=False):
+                raw, kind = (r.text or "").encode(), r.doc_id % 3
+                stream = zlib.compressobj(wbits=-15)
+                made.append((r.doc_id, kind, bytes(8) + stream.compress(raw) + stream.flush() if kind == 1 else raw, len(raw)))
+            yield pd.DataFrame(made, columns=["doc_id", "kind", "data", "size"])
+
+    rows = corpora.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(packed, "doc_id long, kind int, data binary, size long")
+    out = rows.select("doc_id", S.decompressed("kind", "data", "size").alias("d"))
+    return out.select("doc_id", F.sha2("d.data", 256).alias("digest"), "d.error")
+
+
 @query("base64_roundtrip", "SELECT doc_id, sha256(text) AS decoded, NULL::VARCHAR AS too_long FROM documents")
 def base64_roundtrip(spark, sf_dir):
     coded = F.base64(F.unhex(F.sha2("text", 256)))
     return corpora.table(spark, sf_dir, "documents").select("doc_id", S.decode_hash(F.regexp_replace(coded, "=", "")).alias("decoded"), S.decode_hash(F.concat(coded, coded)).alias("too_long"))
 
 
-@query("crc32c_names")
+# The checksum by its table, byte after byte.
+_CRC = """WITH RECURSIVE steps(value, crc, k) AS (
+  SELECT value, value::UBIGINT, 0 FROM (SELECT unnest(range(256)) AS value) UNION ALL SELECT value, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 2197175160::UBIGINT) ELSE crc >> 1 END, k + 1 FROM steps WHERE k < 8
+), tables AS (SELECT list(crc ORDER BY value) AS t FROM steps WHERE k = 8),
+named AS (SELECT p_partkey, list_transform(range(strlen(p_name)), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i + 1, 2))::UBIGINT) AS b, t FROM part, tables)
+SELECT p_partkey, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS crc,
+       list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT]), 4294967294::UBIGINT)::BIGINT AS name_hash FROM named"""
+
+
+@query("crc32c_names", _CRC)
 def crc32c_names(spark, sf_dir):
     name = F.col("p_name").cast("binary")
     return corpora.table(spark, sf_dir, "part").select("p_partkey", S.crc32c(name).alias("crc"), S.name_hash(name).alias("name_hash"))
 
 
+# ---------------------------------------------------------------- images and archives made of tables
+
+#: Rows that go into one image or archive.
+IMAGE_ROWS, ARCHIVE_ROWS = 10_000, 200
+
+
+def _images(rows: DataFrame, key: str, items: Callable[[Iterator], list[imagebuild.Item]]) -> DataFrame:
+    """Items read back from images of at most IMAGE_ROWS rows each (keys are numbers without gaps); items: rows to items of the file tree."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"image": [f"image-{frame['__image'].iloc[0]}"], "content": [imagebuild.image_of({5: items(frame.itertuples(index=False))})]})
+
+    made = rows.withColumn("__image", F.floor(F.col(key) / IMAGE_ROWS)).groupBy("__image").applyInPandas(build, "image string, content binary")
+    return imagefs.read_image_bytes(made)
+
+
+def _nation_items(rows: Iterator) -> list[imagebuild.Item]:
+    found: dict[tuple[int, int, int], bytes] = {}
+    for r in rows:
+        parent, child, made = 256 + r.n_regionkey, 1000 + r.n_nationkey, imagebuild.entry(1000 + r.n_nationkey, r.n_name, "directory" if r.n_nationkey % 2 else "file")
+        found[parent, 96, 2 + r.n_nationkey] = made
+        place = (parent, 84, imagebuild.name_offset(r.n_name))
+        found[place] = found.get(place, b"") + made
+        found[child, 12, parent] = imagebuild.struct.pack("<QH", 2 + r.n_nationkey, len(r.n_name.encode())) + r.n_name.encode()
+    return [(*key, payload) for key, payload in found.items()]
+
+
+def _supplier_items(rows: Iterator) -> list[imagebuild.Item]:
+    return [(1000 + r.s_suppkey, 1, 0, imagebuild.inode(100 * r.s_suppkey, 1_000_000 + r.s_nationkey)) for r in rows]
+
+
+def _part_items(rows: Iterator) -> list[imagebuild.Item]:
+    made = [(r, imagebuild.regular_extent(4096 * r.p_partkey, 4096 * (1 + r.p_size)) if r.p_partkey % 3 else imagebuild.inline_extent(r.p_name.encode())) for r in rows]
+    return [(1000 + r.p_partkey, 108, 0, payload) for r, payload in made]
+
+
+@query("image_dir_entries_nation", "SELECT 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS place, 1000 + n_nationkey::BIGINT AS child, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'directory' ELSE 'file' END AS file_kind, NULL::VARCHAR AS corrupt FROM nation")
+def image_dir_entries_nation(spark, sf_dir):
+    found = imagefs.dir_entries(_images(corpora.table(spark, sf_dir, "nation"), "n_nationkey", _nation_items))
+    return found.select(F.col("object_id").alias("parent"), F.col("offset").alias("place"), "child", "name", "file_kind", "corrupt")
+
+
+@query("image_entry_by_name_nation", "SELECT 256 + n_regionkey::BIGINT AS parent, n_name AS name, 1000 + n_nationkey::BIGINT AS child FROM nation WHERE n_nationkey % 3 = 0")
+def image_entry_by_name_nation(spark, sf_dir):
+    rows = corpora.table(spark, sf_dir, "nation")
+    wanted = rows.where("n_nationkey % 3 = 0").select(F.lit(5).cast("long").alias("tree_id"), (256 + F.col("n_regionkey")).cast("long").alias("object_id"), F.col("n_name").alias("name"))
+    return imagefs.entry_by_name(_images(rows, "n_nationkey", _nation_items), wanted).select(F.col("object_id").alias("parent"), "name", "child")
+
+
+@query("image_inode_refs_nation", "SELECT 1000 + n_nationkey::BIGINT AS object_id, 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS index, n_name AS name FROM nation")
+def image_inode_refs_nation(spark, sf_dir):
+    return imagefs.inode_refs(_images(corpora.table(spark, sf_dir, "nation"), "n_nationkey", _nation_items)).select("object_id", "parent", "index", "name")
+
+
+@query("image_inodes_supplier", "SELECT 1000 + s_suppkey AS object_id, 100 * s_suppkey AS st_size, 33188::BIGINT AS st_mode, (1000000 + s_nationkey)::BIGINT AS mtime FROM supplier")
+def image_inodes_supplier(spark, sf_dir):
+    found = imagefs.inodes(_images(corpora.table(spark, sf_dir, "supplier"), "s_suppkey", _supplier_items))
+    return found.select("object_id", "st_size", "st_mode", "mtime")
+
+
+@query("image_extents_part", "SELECT 1000 + p_partkey AS object_id, CASE WHEN p_partkey % 3 = 0 THEN 'inline' ELSE 'regular' END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 4096 * p_partkey END AS address, CASE WHEN p_partkey % 3 <> 0 THEN (4096 * (1 + p_size))::BIGINT END AS extent_bytes, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS inline FROM part")
+def image_extents_part(spark, sf_dir):
+    found = imagefs.extents(_images(corpora.table(spark, sf_dir, "part"), "p_partkey", _part_items))
+    return found.select("object_id", "kind", "address", "extent_bytes", F.col("inline").cast("string").alias("inline"))
+
+
+@query("image_item_counts_part", "SELECT t.tree_id, t.item_type, t.n FROM (SELECT 5::BIGINT AS tree_id, 108 AS item_type, count(*) AS n FROM part UNION ALL SELECT 1, 132, count(DISTINCT p_partkey // 10000) FROM part) t")
+def image_item_counts_part(spark, sf_dir):
+    items = _images(corpora.table(spark, sf_dir, "part"), "p_partkey", _part_items)
+    return items.groupBy("tree_id", "item_type").agg(F.count("*").alias("n"))
+
+
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Texts as one archive; the kind goes by the archive's number."""
+    number, made = int(frame["archive"].iloc[0]), io.BytesIO()
+    files = [(f"d/{r.doc_id}", (r.text or "").encode()) for r in frame.itertuples(index=False)]
+    if number % 2:
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files:
+                z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), data)
+    else:
+        with tarfile.open(fileobj=made, mode="w:gz") as t:
+            for name, data in files:
+                info = tarfile.TarInfo(name)
+                info.size, info.mtime = len(data), 946684800
+                t.addfile(info, io.BytesIO(data))
+    return pd.DataFrame({"path": [f"/a/{number}.{'zip' if number % 2 else 'tar.gz'}"], "content": [made.getvalue()]})
+
+
+@query("archive_members_docs", "SELECT '/a/' || (doc_id // 200) || CASE WHEN doc_id // 200 % 2 = 1 THEN '.zip' ELSE '.tar.gz' END || '/d/' || doc_id AS path, strlen(coalesce(text, ''))::BIGINT AS file_size, sha256(coalesce(text, '')) AS file_hash, 946684800::BIGINT AS mtime FROM documents")
+def archive_members_docs(spark, sf_dir):
+    docs = corpora.table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / ARCHIVE_ROWS).alias("archive"))
+    found = archive.read_archive_bytes(docs.groupBy("archive").applyInPandas(_packed, "path string, content binary"))
+    times = found.select(F.concat_ws("/", "archive_path", "member").alias("path"), "mtime")
+    return archive.member_entries(found).select("path", "file_size", "file_hash").join(times, "path")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate groups of the document tree under the default rule, in report order."""
     return _analysis(spark, sf_dir, "docs").report().select("group_rank", "member_rank", "typ", "path", "size", "shadowed")
