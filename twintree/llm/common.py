@@ -134,7 +134,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 6)
 
 
 def pack_bytes(raw: bytes) -> bytes:
