@@ -28,7 +28,8 @@ class BoostedTrees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 2.0, least: float = 1.0) -> BoostedTrees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, smooth: float = 2.0,
+    least: float = 1.0) -> BoostedTrees:
     """Logistic loss; splits are sought over quantile bins. least: the smallest hessian sum of a child."""
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]

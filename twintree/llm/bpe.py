@@ -123,18 +123,22 @@ class Chunk:
         firsts = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])[ends]
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int32, count=len(words))
         key = -1 - abs(name)
-        yield _padded({"__key": pa.array([key]), "__chunk": pa.array([name]), "__first": pa.array([CHUNK], pa.int32()), "__codes": pa.array([pack_ints(repeated)], pa.binary()), "__words": pa.array([pack_ints(bucket)], pa.binary())}, 1, schema)
+        yield _padded({"__key": pa.array([key]), "__chunk": pa.array([name]), "__first": pa.array([CHUNK], pa.int32()),
+            "__codes": pa.array([pack_ints(repeated)], pa.binary()), "__words": pa.array([pack_ints(bucket)], pa.binary())}, 1, schema)
         at = 0
         for rows in self.rows:
             n = rows.num_rows
             packed = [pack_ints(codes[ends[k] : ends[k + 1]]) for k in range(at, at + n)]
-            made = {"__key": pa.array([key] * n), "__chunk": pa.array([name] * n), "__first": pa.array(firsts[at : at + n], pa.int32()), "__codes": pa.array(packed, pa.binary())}
+            made = {"__key": pa.array([key] * n), "__chunk": pa.array([name] * n), "__first": pa.array(firsts[at : at + n], pa.int32()),
+                "__codes": pa.array(packed, pa.binary())}
             at += n
             yield _padded(made | {c: rows.column(c) for c in rows.schema.names}, n, schema)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        texts = [pack_bytes(" ".join([words[i] for i in order[low:high]]).encode()) for low, high in zip(cuts.tolist(), np.append(cuts, len(words))[1:].tolist(), strict=True)]
-        made = {"__key": pa.array(bucket[order[cuts]], pa.int64()), "__chunk": pa.array([name] * len(cuts), pa.int64()), "__first": pa.array([WORDS] * len(cuts), pa.int32()), "__words": pa.array(texts, pa.binary())}
+        texts = [pack_bytes(" ".join([words[i] for i in order[low:high]]).encode()) for low,
+            high in zip(cuts.tolist(), np.append(cuts, len(words))[1:].tolist(), strict=True)]
+        made = {"__key": pa.array(bucket[order[cuts]], pa.int64()), "__chunk": pa.array([name] * len(cuts), pa.int64()),
+            "__first": pa.array([WORDS] * len(cuts), pa.int32()), "__words": pa.array(texts, pa.binary())}
         yield _padded(made, len(cuts), schema)
 
 
@@ -225,7 +229,8 @@ class Table:
         return at[self.counts[at] > 0]
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1 << 19, chunk_bytes: int = 1 << 26, buckets: int | None = None, keep_output: tuple[str, ...] = (), keep_columns: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1 << 19,
+    chunk_bytes: int = 1 << 26, buckets: int | None = None, keep_output: tuple[str, ...] = (), keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; keep_output names further outputs: ids (array), decoded (text).
 
     keep_columns: columns of the input that are handed through. chunk_words and chunk_bytes bound a chunk (but for its last
@@ -281,5 +286,6 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                     out["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    fields = [f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(f"{c} {OUTPUTS[c]}" for c in OUTPUTS if c in keep_output)]
+    fields = [f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string",
+        *(f"{c} {OUTPUTS[c]}" for c in OUTPUTS if c in keep_output)]
     return met.mapInArrow(lean(put_together), ", ".join(fields)).withColumnRenamed(id_col, "doc_id")

@@ -107,7 +107,9 @@ def compare_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "links": linked @ weight, "root": root})[lambda x: (x["links"] > 0) | (x["root"] != x["node"])]
 
 
-def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, leaf_rows: int = 2048, overlap: float = 0.25, max_copies: float = 4.0, sample_rows: int = 20_000, block_rows: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, leaf_rows: int = 2048, overlap: float = 0.25, max_copies: float = 4.0,
+    sample_rows: int = 20_000, block_rows: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
+    label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row. sample_rows bounds what the trees are fitted on.
 
     A row comes to trees x max_copies leaves on average at most, whatever the table's size: overlap is the share of rows that
@@ -118,7 +120,8 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, le
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     usable = valid_vector(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("same", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256)))
-    nodes = rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+    nodes = rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"),
+        F.first("vector").alias("vector"), F.first("label").alias("label"))
     nodes = scratch.save(nodes.withColumn("dim", F.size("vector")), "nodes")
     count = nodes.count()
     depth = max(0, math.ceil(math.log2(max(1, count) / leaf_rows)))
@@ -145,9 +148,11 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, le
 
     label_type = nodes.schema["label"].dataType.simpleString()
     kind = nodes.schema["vector"].dataType.simpleString()
-    leaves = nodes.select("node", "weight", "label", "dim", "vector").mapInPandas(lean(placed), f"node long, weight long, label {label_type}, dim int, vector {kind}, leaves array<int>")
+    leaves = nodes.select("node", "weight", "label", "dim", "vector").mapInPandas(lean(placed),
+        f"node long, weight long, label {label_type}, dim int, vector {kind}, leaves array<int>")
     leaves = scratch.save(leaves, "leaves")
-    cells = leaves.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("chunks"))
+    cells = leaves.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("label", "dim", "leaf").agg(
+        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("chunks"))
     cells = scratch.save(cells.where("chunks > 1"), "cells")
     in_leaf = leaves.select("*", F.explode("leaves").alias("leaf"))
     if cells.limit(1).count():
@@ -156,13 +161,16 @@ def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, le
         in_leaf = in_leaf.withColumn("chunks", F.lit(1))
     chunks = F.coalesce("chunks", F.lit(1))
     in_leaf = in_leaf.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    blocks = in_leaf.select("node", "weight", "label", "dim", "vector", "leaves", "leaf", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    blocks = in_leaf.select("node", "weight", "label", "dim", "vector", "leaves", "leaf", "chunk", F.least("chunk", "other").alias("i"),
+        F.greatest("chunk", "other").alias("j"))
     found = blocks.groupBy("label", "dim", "leaf", "i", "j").applyInPandas(lambda group: compare_block(group, threshold), "node long, links long, root long")
     found = scratch.save(found, "found")
     joined = components(found.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     summary = nodes.select("same", "node", "weight").join(counted, "node", "left").join(joined, "node", "left")
-    summary = summary.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    summary = summary.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("component", "node").alias("component_id"))
     out = rows.select("vec_id", "same").join(scratch.save(summary, "summary"), "same", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -183,7 +183,8 @@ def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -
     extra = scratch.save(common.groupBy("digest").agg(F.count("*").alias("extra")), "extra")
     known = extra.hint("merge")
     counted = pairs.withColumn("da", F.col("a.digest")).withColumn("db", F.col("b.digest"))
-    counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
+    counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(
+        known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
     reach = F.col("shared") + F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
     total, larger = F.col("a.size") + F.col("b.size"), F.greatest("a.size", "b.size")
     overlap = F.ceil(percent * total / F.lit(100 + percent) - F.lit(1e-9))
@@ -193,7 +194,8 @@ def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -
     return ends.unionByName(common.select("leader", "node", "digest")).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000,
+    hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
     sample_rows, hot_least and hot_most bound the list of frequent shingles, which is broadcast; chunk bounds a block;
@@ -214,11 +216,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                 prefixes.append(shared.value.keys(hashes)[: prefix_size(len(hashes), percent)] if len(hashes) else np.zeros(0, dtype=np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
+                ["doc_id", "n_shingles", "digest", "prefix"])
 
     sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, prefix array<long>"), "sketches")
     usable = sketches.where("digest is not null and doc_id is not null")
-    nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"),
+        F.first("prefix").alias("prefix")), "nodes")
     members = scratch.save(_members(nodes, percent, pair_sets, scratch), "members")
     scratch.keep_only(sketches, nodes, members)
     large = scratch.save(members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1"), "large")
@@ -261,7 +265,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         """placed: node, digest, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
         blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
         blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), f"{name}-blocks")
-        payload = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id", "digest", "text", "b.*")
+        payload = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id",
+            "digest", "text", "b.*")
         payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
         found = scratch.save(payload.mapInArrow(lean(joined), "u long, v long"), name)
         scratch.drop(blocks)
@@ -272,19 +277,25 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         labels = components(links, scratch)
         inside = members.join(large, "leader").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node"))
         inside = scratch.save(inside.select("leader", "node", "digest", "chunks", "of"), "inside")
-        main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("of", F.struct("n", "of")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+        main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("of", F.struct("n", "of")).alias("main"),
+            (F.sum("n") - F.max("n")).alias("others"))
         main = scratch.save(main.where("others > 0").select("leader", "main", F.ceil(F.col("others") / F.lit(chunk)).cast("int").alias("rest")), "main")
         parted = inside.join(main, "leader")
         apart = F.col("of") != F.col("main")
         # blocks of chunk i of the main component and chunk j of the others, and of chunks of the others alone (i below 0)
         others = parted.where(apart).withColumn("mine", own(F.col("rest")))
-        first = parted.where(~apart).select("node", "digest", "leader", own(F.col("chunks")).alias("i"), F.explode(F.sequence(zero, F.col("rest") - 1)).alias("j"), zero.alias("side"), "of")
-        second = others.select("node", "digest", "leader", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "of")
-        third = others.withColumn("other", F.explode(F.sequence(zero, F.col("rest") - 1))).select("node", "digest", "leader", (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "of")
+        first = parted.where(~apart).select("node", "digest", "leader", own(F.col("chunks")).alias("i"),
+            F.explode(F.sequence(zero, F.col("rest") - 1)).alias("j"), zero.alias("side"), "of")
+        second = others.select("node", "digest", "leader", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("mine").alias("j"),
+            F.lit(1).alias("side"), "of")
+        third = others.withColumn("other", F.explode(F.sequence(zero, F.col("rest") - 1))).select("node", "digest", "leader",
+            (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"),
+            (F.col("mine") > F.col("other")).cast("int").alias("side"), "of")
         more = links_of(first.unionByName(second).unionByName(third), "more")
         links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     again = usable.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two")
-    repeated = again.join(usable.select("doc_id", "digest").distinct(), "doc_id").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    repeated = again.join(usable.select("doc_id", "digest").distinct(), "doc_id").join(nodes.select("digest", "node"), "digest").select(
+        F.col("doc_id").alias("u"), F.col("node").alias("v"))
     parts = components(links.unionByName(repeated), scratch)
     named = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
     named = scratch.save(named, "named")
@@ -309,6 +320,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     if not again.limit(1).count():
         return kept
     once = kept.join(again, own == F.col("__again"), "left_anti")
-    row = F.struct(F.sha2(F.col(text_col).cast("binary"), 256).isNull().alias("none"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"), F.struct(*docs.columns).alias("row"))
+    row = F.struct(F.sha2(F.col(text_col).cast("binary"), 256).isNull().alias("none"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"),
+        F.struct(*docs.columns).alias("row"))
     first = kept.join(again, own == F.col("__again"), "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(row).alias("__first"))
     return once.unionByName(first.select("__first.row.*"))

@@ -111,7 +111,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return np.where(tokens > 0, np.minimum(1.0, chance), 1.0), miss
 
 
-def fit(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep_share: float, steps: int = 64, close: float = 1e-6) -> tuple[np.ndarray, list[np.ndarray], int]:
+def fit(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep_share: float, steps: int = 64, close: float = 1e-6) -> tuple[
+    np.ndarray, list[np.ndarray], int]:
     """(inclusion probabilities, targets that they meet, steps given up).
 
     Margins that contradict each other are all moved towards what an even sample has, which can always be met, by the least
@@ -177,14 +178,16 @@ def _plan(keyed: DataFrame, scratch: Scratch, keep_share: float, temper: float,
     return Plan(cells.orderBy(*names).collect(), keep_share, temper, targets)
 
 
-def shares(docs: DataFrame, keep_share: float = 0.7, temper: float = 0.7, targets: dict[str, dict[str, float]] | None = None, topic_col: str | None = None, text_col: str = "text") -> DataFrame:
+def shares(docs: DataFrame, keep_share: float = 0.7, temper: float = 0.7, targets: dict[str, dict[str, float]] | None = None,
+    topic_col: str | None = None, text_col: str = "text") -> DataFrame:
     """margin, value, present, target, reached: shares of the tokens, before and after, for each value of each margin."""
     spark = docs.sparkSession
     plan = _plan(_keyed(docs, topic_col, text_col), Scratch(spark, "mixing"), keep_share, temper, targets)
     return spark.createDataFrame(plan.rows, "margin string, value string, present double, target double, reached double")
 
 
-def mix(docs: DataFrame, keep_share: float = 0.7, temper: float = 0.7, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", diagnose: bool = False) -> DataFrame:
+def mix(docs: DataFrame, keep_share: float = 0.7, temper: float = 0.7, targets: dict[str, dict[str, float]] | None = None, seed: int = 17,
+    topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", diagnose: bool = False) -> DataFrame:
     """The sampled rows of docs; with diagnose all rows without their texts, with topic, n_words, inclusion and kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -193,10 +196,14 @@ def mix(docs: DataFrame, keep_share: float = 0.7, temper: float = 0.7, targets:
     if diagnose:  # without texts the rows are short: they are kept, and texts are read once
         keyed = scratch.save(keyed.drop(text_col), "keyed")
     plan = _plan(keyed, scratch, keep_share, temper, targets)
-    made = spark.createDataFrame([(*label, float(p)) for label, p in zip(plan.labels, plan.chance, strict=True)], ", ".join(f"__{m} string" for m in MARGINS) + ", __inclusion double")
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    out = keyed.join(F.broadcast(made) if len(plan.labels) <= BROADCAST_CELLS else made, [f"__{m}" for m in MARGINS]).withColumn("__kept", drawn < F.col("__inclusion"))
+    made = spark.createDataFrame([(*label, float(p)) for label, p in zip(plan.labels, plan.chance, strict=True)],
+        ", ".join(f"__{m} string" for m in MARGINS) + ", __inclusion double")
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16,
+        10).cast("double") / float(16**13)
+    out = keyed.join(F.broadcast(made) if len(plan.labels) <= BROADCAST_CELLS else made, [f"__{m}" for m in MARGINS]).withColumn("__kept",
+        drawn < F.col("__inclusion"))
     if not diagnose:
         return out.where("__kept").select(*own)
     rest = [c for c in own if c not in ("topic", "n_words", "inclusion", "kept", text_col)]
-    return out.select(*rest, F.nullif(F.col("__topic"), F.lit(_NULL)).alias("topic"), F.col("__words").alias("n_words"), F.col("__inclusion").alias("inclusion"), F.col("__kept").alias("kept"))
+    return out.select(*rest, F.nullif(F.col("__topic"), F.lit(_NULL)).alias("topic"), F.col("__words").alias("n_words"),
+        F.col("__inclusion").alias("inclusion"), F.col("__kept").alias("kept"))

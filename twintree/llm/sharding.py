@@ -117,10 +117,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     shard = F.lit(0)
     for start in starts:
         shard = shard + (F.col("digest") >= F.lit(start)).cast("int")
-    placed = sized.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), 256), 1, 7), 16, 10).cast("long"), F.lit(slot_buckets)).cast("int"))
+    placed = sized.withColumn("shard", shard.cast("int")).withColumn("part",
+        F.pmod(F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), 256), 1, 7), 16, 10).cast("long"),
+        F.lit(slot_buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "row"))
     return placed.join(F.broadcast(offsets), ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + within - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + within - 1).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard")
     )

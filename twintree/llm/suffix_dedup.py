@@ -146,7 +146,8 @@ def column_sort(sequences: list[np.ndarray], weight: np.ndarray) -> tuple[np.nda
 def repeated_windows(group: list[tuple[int, bytes, bytes, int, int]], length: int, step: int) -> list[np.ndarray]:
     """For each sequence (core number, left, right, windows, weight) which of its windows repeat within the batch or by weight."""
     core = length - step + 1
-    sequences = [np.concatenate([np.frombuffer(left, np.uint8), [256 + number], np.frombuffer(right, np.uint8)]).astype(np.int64) for number, left, right, _, _ in group]
+    sequences = [np.concatenate([np.frombuffer(left, np.uint8), [256 + number], np.frombuffer(right, np.uint8)]).astype(np.int64) for number, left,
+        right, _, _ in group]
     weight = np.ones(257 + max(g[0] for g in group), dtype=np.int64)
     weight[256:] = core
     owner, symbols, common = column_sort(sequences, weight)
@@ -309,7 +310,8 @@ def part_again(rows: DataFrame, step: int, new: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _parts_batch()
         for batch in batches:
-            for doc, first, core, windows, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "first", "core", "windows", "left", "right")), strict=True):
+            for doc, first, core, windows, left, right in zip(*(batch.column(c).to_pylist()
+                for c in ("doc", "first", "core", "windows", "left", "right")), strict=True):
                 for c, a, w, x, y in finer(first, core % 2**64, windows, left, right, step, new):
                     out.add(doc, a, _signed(c), w, x, y)
                 if out.full():
@@ -343,7 +345,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, step: int, hot_
         rows, step = scratch.save(part_again(rows, step, new), "parts"), new
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: str = "doc_id", text_col: str = "text", hot_sequences: int = 20_000, batch_symbols: int = 60_000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: str = "doc_id", text_col: str = "text", hot_sequences: int = 20_000,
+    batch_symbols: int = 60_000, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row; with keep_text also kept (the bytes that stay)
     and text (the characters that do)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
@@ -353,7 +356,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
     spans = scratch.save(spans, "spans")
     scratch.keep_only(spans)
     keyed = docs.withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
-    with_spans = keyed.join(spans, "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"), F.transform("spans", lambda s: s["windows"]).alias("windows"))
+    with_spans = keyed.join(spans, "doc", "left").select("doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"),
+        F.transform("spans", lambda s: s["windows"]).alias("windows"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +384,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, step: int = 64, id_col: s
                 digests.append(hashlib.sha256(left).hexdigest())
                 stay.append(left)
                 texts.append(None if not text.is_valid else "".join([x.decode("utf-8", "ignore") for x in pieces]))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digests, pa.string())]
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()),
+                pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(stay, pa.binary()), pa.array(texts, pa.string())] if keep_text else []), names + (["kept", "text"] if keep_text else []))
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(stay, pa.binary()), pa.array(texts, pa.string())] if keep_text else []),
+                names + (["kept", "text"] if keep_text else []))
 
-    return with_spans.mapInArrow(lean(kept), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, text string" if keep_text else ""))
+    return with_spans.mapInArrow(lean(kept), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
+        ", kept binary, text string" if keep_text else ""))

@@ -107,7 +107,8 @@ def _letter(alphabet: str, at: Column) -> Column:
 def _wider(seed: Column, width: Column, pieces: str | list[str]) -> Column:
     """`width` further pieces."""
     parts = F.array(*map(F.lit, pieces))
-    drawn = F.transform(F.sequence(F.lit(1), width), lambda i: F.element_at(parts, (_number(seed, F.concat(F.lit("more"), i.cast("string")), len(pieces)) + 1).cast("int")))
+    drawn = F.transform(F.sequence(F.lit(1), width), lambda i: F.element_at(parts,
+        (_number(seed, F.concat(F.lit("more"), i.cast("string")), len(pieces)) + 1).cast("int")))
     return F.when(width > 0, F.array_join(drawn, "")).otherwise("")
 
 
@@ -125,8 +126,10 @@ def _same_shape(text: Column, seed: Column, keep: int, latin: str = LETTERS) ->
     def one(c: Column, i: Column) -> Column:
         place = i + 1
         drawn = _letter(latin, _number(seed, place, len(latin)))
-        low = F.when(c.rlike(r"\p{IsCyrillic}"), _letter("абвгдежзиклмнопрст", _number(seed, place, 18))).when(c.rlike(r"\p{IsGreek}"), _letter("αβγδεζηθικλμνοπρτυ", _number(seed, place, 18))).otherwise(drawn)
-        return F.when((c == "") | (place <= keep), c).when(c.rlike(r"\p{N}"), _number(seed, place, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).otherwise(low)
+        low = F.when(c.rlike(r"\p{IsCyrillic}"), _letter("абвгдежзиклмнопрст", _number(seed, place, 18))).when(c.rlike(r"\p{IsGreek}"),
+            _letter("αβγδεζηθικλμνοπρτυ", _number(seed, place, 18))).otherwise(drawn)
+        return F.when((c == "") | (place <= keep), c).when(c.rlike(r"\p{N}"), _number(seed, place, 10).cast("string")).when(c.rlike(r"\p{Lu}"),
+            F.upper(low)).otherwise(low)
 
     made = F.transform(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""), "", -1), one)
     signs = F.split(text, r"[\p{L}\p{N}]", -1)
@@ -151,7 +154,8 @@ def _card(entity: Column, seed: Column, width: Column) -> Column:
 def _iban_rest(account: Column) -> Column:
     """The number modulo 97 that an IBAN without spaces stands for: country and check digits last, letters as 10 to 35."""
     turned = F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))
-    values = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.upper(c)) - 55))
+    values = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(
+        F.ascii(F.upper(c)) - 55))
     return F.aggregate(values, F.lit(0), lambda s, v: (s * F.when(v > 9, 100).otherwise(10) + v) % 97)
 
 
@@ -165,13 +169,15 @@ def _iban(entity: Column, seed: Column, width: Column) -> Column:
 def _email(entity: Column, seed: Column, width: Column, key: str) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.lower(F.substring_index(entity, "@", -1))
     at = F.concat(F.lit(f"{key}|domain|"), domain)
-    place = F.concat(F.lit("mail"), F.substring(F.sha2(at, 256), 1, 16), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (_number(at, "zone", 3) + 1).cast("int")))
+    place = F.concat(F.lit("mail"), F.substring(F.sha2(at, 256), 1, 16), F.lit(".example."),
+        F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (_number(at, "zone", 3) + 1).cast("int")))
     return F.concat(_same_shape(local, seed, keep=0), _wider(seed, _least_width(local, width), LETTERS), F.lit("@"), place)
 
 
 def _ip(entity: Column, seed: Column, width: Column) -> Column:
     rest = F.transform(F.sequence(F.lit(2), F.lit(4)), lambda i: (_number(seed, i, 254) + 1).cast("string"))
-    first = F.when((width == 0) & entity.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"), "10").otherwise((_number(seed, "first", 112) + 11).cast("string"))
+    first = F.when((width == 0) & entity.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"), "10").otherwise(
+        (_number(seed, "first", 112) + 11).cast("string"))
     return F.concat_ws(".", first, rest)
 
 
@@ -188,13 +194,16 @@ def _name(entity: Column, seed: Column, width: Column) -> Column:
 
     def build(script: str, word: Column, place: Column) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script]))
-        drawn = [F.element_at(parts, (_number(seed, F.concat(place.cast("string"), F.lit(f"word{k}")), len(SYLLABLES[script])) + 1).cast("int")) for k in range(4)]
+        drawn = [F.element_at(parts, (_number(seed, F.concat(place.cast("string"), F.lit(f"word{k}")), len(SYLLABLES[script])) + 1).cast("int"))
+            for k in range(4)]
         last = place == F.size(words) - 1
-        made = F.initcap(F.concat(*drawn, F.when(last, _wider(seed, width, SYLLABLES[script])).otherwise(""), F.when(last & female, ENDINGS[script][1]).when(last, ENDINGS[script][0]).otherwise("")))
+        made = F.initcap(F.concat(*drawn, F.when(last, _wider(seed, width, SYLLABLES[script])).otherwise(""),
+            F.when(last & female, ENDINGS[script][1]).when(last, ENDINGS[script][0]).otherwise("")))
         return F.when(word == F.upper(word), F.upper(made)).otherwise(made)
 
     def one(word: Column, place: Column) -> Column:
-        return F.when(word.rlike(r"\p{IsCyrillic}"), build("cyrillic", word, place)).when(word.rlike(r"\p{IsGreek}"), build("greek", word, place)).otherwise(build("latin", word, place))
+        return F.when(word.rlike(r"\p{IsCyrillic}"), build("cyrillic", word, place)).when(word.rlike(r"\p{IsGreek}"),
+            build("greek", word, place)).otherwise(build("latin", word, place))
 
     made = F.transform(words, one)
     return F.concat(title, F.array_join(F.zip_with(between, made, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), ""))
@@ -205,7 +214,8 @@ def _name_pairs(kind: Column, entity: Column, made: Column) -> Column:
     words = lambda x: F.regexp_extract_all(_bare_name(x), F.lit(_NAME_WORD), F.lit(0))
     pairs = F.zip_with(words(entity), words(made), lambda x, y: F.struct(x.alias("old"), y.alias("new")))
     title = lambda x: F.initcap(F.lower(x))
-    wide = F.flatten(F.transform(pairs, lambda p: F.array(p, F.struct(F.upper(p["old"]).alias("old"), F.upper(p["new"]).alias("new")), F.struct(title(p["old"]).alias("old"), title(p["new"]).alias("new")))))
+    wide = F.flatten(F.transform(pairs, lambda p: F.array(p, F.struct(F.upper(p["old"]).alias("old"), F.upper(p["new"]).alias("new")),
+        F.struct(title(p["old"]).alias("old"), title(p["new"]).alias("new")))))
     kept = F.filter(wide, lambda p: p["old"].isNotNull() & p["new"].isNotNull() & (F.length(p["old"]) > 2))
     return F.when(kind == "name", kept).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
 
@@ -306,15 +316,19 @@ def replace_entities(docs: DataFrame, key: str = "twintree", text_col: str = "te
     found = docs
     attempt = lambda s: F.lit(0)
     if late is not None:
-        said = docs.select(F.sha2(text.cast("binary"), 256).alias("__digest"), F.explode(found_in(text)).alias("e")).select("__digest", "e.kind", "e.canon").join(late, ["kind", "canon"])
-        known = scratch.save(said.groupBy("__digest").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__late")), "known")
+        said = docs.select(F.sha2(text.cast("binary"), 256).alias("__digest"), F.explode(found_in(text)).alias("e")).select("__digest", "e.kind",
+            "e.canon").join(late, ["kind", "canon"])
+        known = scratch.save(said.groupBy("__digest").agg(F.map_from_entries(
+            F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__late")), "known")
         known = F.broadcast(known) if known.count() <= 10_000 else known
         found = found.withColumn("__digest", F.sha2(text.cast("binary"), 256)).join(known, "__digest", "left")
         attempt = lambda s: F.coalesce(F.try_element_at(F.col("__late"), F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
 
     def rewritten(s: Column) -> Column:
-        seeded = F.transform(s["e"], lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), seed_of(x["kind"], x["canon"], attempt(x), key).alias("seed"), width_of(attempt(x)).alias("width")))
-        drawn = F.transform(seeded, lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), surrogate(x["kind"], x["entity"], x["seed"], x["width"], key).alias("made")))
+        seeded = F.transform(s["e"], lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"),
+            seed_of(x["kind"], x["canon"], attempt(x), key).alias("seed"), width_of(attempt(x)).alias("width")))
+        drawn = F.transform(seeded, lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"),
+            surrogate(x["kind"], x["entity"], x["seed"], x["width"], key).alias("made")))
         none = F.coalesce(F.size(s["e"]), F.lit(0)) <= 0
         return F.struct(s["line"].alias("line"), F.when(~none, drawn).alias("drawn"))
 
@@ -325,15 +339,18 @@ def replace_entities(docs: DataFrame, key: str = "twintree", text_col: str = "te
     split = F.transform(_lines(text), lambda line: F.struct(line.alias("line"), F.when(_may_hold(line), _of_line(line)).alias("e")))
     found = found.withColumn("__lines", F.transform(split, rewritten))
     count = F.coalesce(F.aggregate("__lines", F.lit(0), lambda n, s: n + F.coalesce(F.size(s["drawn"]), F.lit(0))), F.lit(0))
-    pairs = F.flatten(F.flatten(F.transform(F.filter("__lines", lambda s: s["drawn"].isNotNull()), lambda s: F.transform(s["drawn"], lambda x: _name_pairs(x["kind"], x["entity"], x["made"])))))
+    pairs = F.flatten(F.flatten(F.transform(F.filter("__lines", lambda s: s["drawn"].isNotNull()),
+        lambda s: F.transform(s["drawn"], lambda x: _name_pairs(x["kind"], x["entity"], x["made"])))))
     found = found.withColumns({"__text": F.array_join(F.transform("__lines", joined), "\n"), "__count": count, "__pairs": pairs}).drop("__lines")
     # bare words of titled names: the first name that has a word gives its surrogate; most documents have none
     olds = F.array_distinct(F.transform("__pairs", lambda p: p["old"]))
-    found = found.withColumn("__olds", olds).withColumn("__names", F.map_from_arrays("__olds", F.transform("__olds", lambda w: F.element_at(F.filter("__pairs", lambda p: p["old"] == w), 1)["new"])))
+    found = found.withColumn("__olds", olds).withColumn("__names", F.map_from_arrays("__olds",
+        F.transform("__olds", lambda w: F.element_at(F.filter("__pairs", lambda p: p["old"] == w), 1)["new"])))
     word = F.concat(F.lit(r"(?<![\p{L}\p{N}_'’@.-])(?:"), F.array_join("__olds", "|"), F.lit(r")(?![\p{L}\p{N}_@-])"))
     named = F.size("__olds") > 0
     found = found.withColumn("__word", F.when(named, word)).withColumn("__bare", F.when(named, F.regexp_extract_all("__text", F.col("__word"), F.lit(0))))
-    again = F.zip_with(F.split(F.col("__text"), F.col("__word"), -1), F.transform("__bare", lambda w: F.col("__names")[w]), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    again = F.zip_with(F.split(F.col("__text"), F.col("__word"), -1), F.transform("__bare", lambda w: F.col("__names")[w]), lambda x,
+        y: F.concat(x, F.coalesce(y, F.lit(""))))
     more = F.coalesce(F.size("__bare"), F.lit(0)) > 0
     count = (F.coalesce("__count", F.lit(0)) + F.when(more, F.size("__bare")).otherwise(0)).cast("long")
     out = found.withColumn(text_col, F.when(more, F.array_join(again, "")).otherwise(F.col("__text"))).withColumn("__count", count)

@@ -96,7 +96,8 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64).reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", bucket_rows: int = 8192, seed_rows: int = 2048, block_queries: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
+    bucket_rows: int = 8192, seed_rows: int = 2048, block_queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score. Queries and vectors are tables with id_col and vector_col.
 
     bucket_rows bounds what a task holds of the vectors, block_queries of the queries, seed_rows (the longest vectors,
@@ -135,12 +136,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                     lengths = np.sqrt((query * query).sum(axis=1))
                     # what the longest vector of a bucket must have; a bound of 0 or less can be met by any
                     needs = np.where(np.array(bounds) > 0, np.array(bounds) / np.maximum(lengths, 1e-300), 0.0) * (1 - 1e-9)
-                    yield pd.DataFrame({"dim": [dim], "need": [float(needs.min())], "own": [own.astype(np.int64).tobytes()], "vectors": [query.tobytes()], "bounds": [np.array(bounds).tobytes()]})
+                    yield pd.DataFrame({"dim": [dim], "need": [float(needs.min())], "own": [own.astype(np.int64).tobytes()],
+                        "vectors": [query.tobytes()], "bounds": [np.array(bounds).tobytes()]})
 
     asked = whole(queries).dropDuplicates(["id", "ints"])
-    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(lean(blocks), "dim int, need double, own binary, vectors binary, bounds binary"), "queries")
-    none = {c: F.lit(None).cast(kind) for c, kind in (("id", "long"), ("ints", "array<double>"), ("own", "binary"), ("vectors", "binary"), ("bounds", "binary"))}
-    left = laid.select("bucket", "dim", F.lit(0).alias("kind"), "id", "ints", none["own"].alias("own"), none["vectors"].alias("vectors"), none["bounds"].alias("bounds"))
+    packed = scratch.save(asked.select("id", "ints", "dim").mapInPandas(lean(blocks),
+        "dim int, need double, own binary, vectors binary, bounds binary"), "queries")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("id", "long"), ("ints", "array<double>"), ("own", "binary"), ("vectors", "binary"),
+        ("bounds", "binary"))}
+    left = laid.select("bucket", "dim", F.lit(0).alias("kind"), "id", "ints", none["own"].alias("own"), none["vectors"].alias("vectors"),
+        none["bounds"].alias("bounds"))
     longest = laid.groupBy("bucket", "dim").agg(F.max("norm").alias("longest"))  # one row for bucket_rows vectors
     reached = packed.join(F.broadcast(longest) if buckets <= BROADCAST_BUCKETS else longest, "dim").where(F.col("longest") >= F.col("need"))
     right = reached.select("bucket", "dim", F.lit(1).alias("kind"), none["id"].alias("id"), none["ints"].alias("ints"), "own", "vectors", "bounds")

@@ -34,7 +34,8 @@ from .common import Scratch, lean
 
 # Insults, second-person words, and signs that stand for letters.
 INSULTS = frozenset("idiot moron loser scum trash stupid pathetic worthless disgusting clown dumb imbecile filth bastard".split())
-SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes ti tus vosotros".split())
+SECOND_PERSON = frozenset(
+    "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes ti tus vosotros".split())
 UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -76,7 +77,8 @@ class Lexicon:
         return max(self.weight(p, label, shown) for p in parts_of(word))
 
 
-FEATURES = ("size", "hits", "rate", "weight", "heaviest", "insults", "second", "near", "capitals", "shouting", "signs", "runs", "exclaiming", "inside", "stretched", "undone", "length")
+FEATURES = ("size", "hits", "rate", "weight", "heaviest", "insults", "second", "near", "capitals", "shouting", "signs", "runs", "exclaiming",
+    "inside", "stretched", "undone", "length")
 
 
 def features_of(text: str | None, weigh) -> list[float]:
@@ -123,11 +125,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, folds: int = 4, lexicon_parts: int = 50_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample_rows: int = 12_000, folds: int = 4, lexicon_parts: int = 50_000) -> ToxicityModel:
     """sample_rows bounds the labelled rows that are learned from, lexicon_parts the lexicon (parts of most toxic texts first)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id").select("text", "toxic")
     sample = scratch.save(sample, "sample")
@@ -147,7 +151,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def packed(held, rows) -> pa.RecordBatch:
         parts = list(held[0].keys() | held[1].keys())
-        return pa.RecordBatch.from_pydict({"part": pa.array([*parts, ""], pa.string()), "t": pa.array([*[held[1][p] for p in parts], rows[1]], pa.int64()), "c": pa.array([*[held[0][p] for p in parts], rows[0]], pa.int64())})
+        return pa.RecordBatch.from_pydict({"part": pa.array([*parts, ""], pa.string()),
+            "t": pa.array([*[held[1][p] for p in parts], rows[1]], pa.int64()), "c": pa.array([*[held[0][p] for p in parts], rows[0]], pa.int64())})
 
     counts = sample.mapInArrow(lean(counted), "part string, t long, c long").groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # only parts of enough toxic texts, and at least twice as common there as elsewhere, can come into the lexicon
@@ -207,7 +212,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
             for low, texts in text_slices(batch, text_col):
                 score = shared.value.score(np.array([features_of(t, weigh) for t in texts]))
                 columns = [batch.column(c).slice(low, len(texts)) for c in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                    [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
     return docs.mapInArrow(lean(scored), schema)

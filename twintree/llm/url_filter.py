@@ -136,7 +136,8 @@ def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: F.length(path) >= n), lambda n: F.substr(path, F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-F.length(s) - F.length(p)).alias("short"), (-F.length(s)).alias("host"), F.concat(s, p).alias("key")))))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-F.length(s) - F.length(p)).alias("short"),
+        (-F.length(s)).alias("host"), F.concat(s, p).alias("key")))))
     return F.transform(F.array_sort(keys), lambda x: x["key"])
 
 
@@ -172,7 +173,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         out[row] = 2 * (hit - starts[row]) + cascade_holds(blocks_, flat_a[hit], flat_b[hit])
         return pd.Series(out)
 
-    hashed = keyed.withColumn("found", first_listed(F.transform("keys", lambda k: F.xxhash64(k)), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k))))
+    hashed = keyed.withColumn("found", first_listed(F.transform("keys", lambda k: F.xxhash64(k)),
+        F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k))))
     place = F.floor(F.col("found") / 2).cast("int")
     return hashed.select(
         "page_id", "host", "path",
