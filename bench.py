@@ -34,7 +34,8 @@ def main() -> None:
         began = time.time()
         core.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "duplicate-tree headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
+    print(json.dumps({"metric": "duplicate-tree headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
     spark.stop()
 
 

@@ -53,14 +53,17 @@ def image(tmp_path):
     block = struct.pack("<QQQ", 1, 9, 2) + struct.pack("<QBQB", 5, 1, 0, 0) + struct.pack("<BQ", 176, 5)
     data = struct.pack("<QQQ", 3, 9, 1) + struct.pack("<BQQQI", 178, 5, 257, 0, 2) + struct.pack("<BQI", 184, 12345, 1)
     extents = [(777, 168, 4096, data), (888, 168, NODE, block), (999, 168, NODE, data[:-3])]
-    at[1] = leaf([(5, 132, 0, root_item), (6, 84, 1, default), (256, 144, 5, back), (256, 156, 257, back), (257, 156, 258, back + b"x"), *extents], LOGICAL + NODE, 1)
+    at[1] = leaf([(5, 132, 0, root_item), (6, 84, 1, default), (256, 144, 5, back), (256, 156, 257, back), (257, 156, 258, back + b"x"), *extents],
+        LOGICAL + NODE, 1)
     at[2] = inner([LOGICAL + 3 * NODE, LOGICAL + 4 * NODE, LOGICAL + 5 * NODE], LOGICAL + 2 * NODE, 5)
     at[3] = leaf([(256, 84, 5, dir_entry + second), (257, 1, 0, inode), (257, 12, 256, struct.pack("<QH", 2, 3) + b"one")], LOGICAL + 3 * NODE, 5)
-    at[4] = leaf([(257, 108, 0, inline), (257, 108, 4096, regular), (257, 1, 7, b"short"), (258, 84, I_HASH, dir_entry), (259, 96, 2, dir_entry + second[:-2]), (260, 12, 5, struct.pack("<QH", 2, 9) + b"one")], LOGICAL + 4 * NODE, 5)
+    at[4] = leaf([(257, 108, 0, inline), (257, 108, 4096, regular), (257, 1, 7, b"short"), (258, 84, I_HASH, dir_entry),
+        (259, 96, 2, dir_entry + second[:-2]), (260, 12, 5, struct.pack("<QH", 2, 9) + b"one")], LOGICAL + 4 * NODE, 5)
     at[5] = b"\1" * NODE
     system = struct.pack(I.KEY, 256, 228, LOGICAL) + chunk(16 * NODE, PHYSICAL)
     device = struct.pack("<Q", 1).ljust(98, b"\0")
-    block = struct.pack(I.SUPERBLOCK, b"", b"f" * 16, 0x10000, 0, I.MAGIC, 9, LOGICAL + NODE, LOGICAL, 0, 0, 1 << 30, 0, 6, 1, 4096, NODE, NODE, 4096, len(system), 1, 0, 0, 0, 0, 0, 0, 0, device, b"label", 0, 0)
+    block = struct.pack(I.SUPERBLOCK, b"", b"f" * 16, 0x10000, 0, I.MAGIC, 9, LOGICAL + NODE, LOGICAL, 0, 0, 1 << 30, 0, 6, 1, 4096, NODE, NODE, 4096,
+        len(system), 1, 0, 0, 0, 0, 0, 0, 0, device, b"label", 0, 0)
     block = sealed(block.ljust(I.SYSTEM_CHUNKS, b"\0")[: I.SYSTEM_CHUNKS] + system.ljust(I.SUPERBLOCK_BYTES - I.SYSTEM_CHUNKS, b"\0"))
     raw = bytearray(PHYSICAL + 16 * NODE)
     raw[0x10000 : 0x10000 + len(block)] = block
@@ -95,11 +98,14 @@ def test_image(spark, image):
     wanted = spark.createDataFrame([(5, 258, "one"), (5, 258, "two"), (5, 257, "one")], "tree_id long, object_id long, name string")
     assert [(r["object_id"], r["name"], r["child"]) for r in I.entry_by_name(items, wanted).collect()] == [(258, "one", 257)]
     told = {r["object_id"]: r for r in I.extent_items(items).collect()}
-    assert [(x["kind"], x["root"], x["object_id"], x["offset"], x["count"]) for x in told[777]["references"]] == [("extent_data", 5, 257, 0, 2), ("shared_data", None, None, 12345, 1)]
-    assert told[777]["is_data"] and told[888]["is_tree_block"] and told[888]["block_object_id"] == 5 and told[888]["references"][0]["kind"] == "tree_block" and told[999]["corrupt"]
+    assert [(x["kind"], x["root"], x["object_id"], x["offset"], x["count"]) for x in told[777]["references"]] == [("extent_data", 5, 257, 0, 2),
+        ("shared_data", None, None, 12345, 1)]
+    assert told[777]["is_data"] and told[888]["is_tree_block"] and told[888]["block_object_id"] == 5 and told[888]["references"][0][
+        "kind"] == "tree_block" and told[999]["corrupt"]
     assert [r["inode_st_size"] for r in I.roots(items).collect()] == [5]
     block = I.superblocks(spark, [[image]]).first()
-    assert block["label"] == "label" and block["device"] == 1 and block["nodesize"] == NODE and block["fsid"] == "-".join(["66" * 4, "66" * 2, "66" * 2, "66" * 2, "66" * 6])
+    assert block["label"] == "label" and block["device"] == 1 and block["nodesize"] == NODE and block["fsid"] == "-".join(
+        ["66" * 4, "66" * 2, "66" * 2, "66" * 2, "66" * 6])
     assert [i[:2] for i in I.Image([image]).items(PHYSICAL + 3 * NODE, False, physical=1)] == [i[:2] for i in I.Image([image]).items(LOGICAL + 3 * NODE, False)]
     assert I.by_type(items, "inode", 257).count() == 2
     assert I.subvolumes(items).count() == 1 and I.by_key(items, 257, 108, 0).count() == 1 and I.by_object(items, 257).count() == 6

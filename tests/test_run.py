@@ -31,7 +31,8 @@ def root(tmp_path):
 
 
 def table_of_extents(spark, root, names):
-    return spark.createDataFrame([(f"{root}/{n}", 0, 1000 * (k + 1), 4096) for k, n in enumerate(names)], "path string, logical long, physical long, length long")
+    return spark.createDataFrame([(f"{root}/{n}", 0, 1000 * (k + 1), 4096) for k, n in enumerate(names)],
+        "path string, logical long, physical long, length long")
 
 
 def test_scan_with_extents(spark, root):
@@ -62,7 +63,8 @@ def test_every_option_has_an_effect(spark, root, tmp_path):
     tree = run(spark, Options(paths=(root,), output="t"))
     assert {r["label"] for r in tree.report.collect()} >= {"DUPS", "UNIQ"}
     both = run(spark, Options(paths=(f"{root}/d1", f"{root}/d2"), output="d"))
-    assert {(os.path.basename(r["root"]), r["rel"], r["label"]) for r in both.report.collect()} == {("d1", "f", "DUPS"), ("d1", "z.zip", "UNIQ"), ("d2", "f", "DUPS")}
+    assert {(os.path.basename(r["root"]), r["rel"], r["label"]) for r in both.report.collect()} == {("d1", "f", "DUPS"), ("d1", "z.zip", "UNIQ"),
+        ("d2", "f", "DUPS")}
     for kind, result in (("g", found), ("t", tree), ("d", both)):
         result.write(str(tmp_path / f"out-{kind}"))
     assert "DUPS" in json.dumps(json.loads((tmp_path / "out-t").read_text())) and json.loads((tmp_path / "out-d").read_text())
@@ -164,7 +166,8 @@ def test_old_cache(spark, tmp_path):
     import base64
 
     raw = bytes(range(32))
-    records = [{"path": "/a", "ctime": 5, "file_size": 3, "file_hash": base64.b64encode(raw).decode().rstrip("="), "was_file": True, "phys": 9}, {"path": "/b", "file_hash": "x" * 88}, {"ctime": 1}]
+    records = [{"path": "/a", "ctime": 5, "file_size": 3, "file_hash": base64.b64encode(raw).decode().rstrip("="), "was_file": True, "phys": 9},
+        {"path": "/b", "file_hash": "x" * 88}, {"ctime": 1}]
     (tmp_path / "old.json").write_text(json.dumps(records))
     got = {r["path"]: r for r in cache.load_legacy(spark, str(tmp_path / "old.json")).collect()}
     assert got["/a"]["file_hash"] == raw.hex() and got["/a"]["phys"] == 9 and got["/b"]["file_hash"] is None and got["/b"]["is_file"]

@@ -137,7 +137,8 @@ def model(tree: dict[str, str]) -> dict[str, str | None]:
 @pytest.mark.parametrize("seed", range(3))
 def test_random_forests(spark, seed):
     rng = random.Random(seed)
-    tree = {"/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) + f"/f{rng.randint(0, 2)}": rng.choice(["x", "yy", "yz", "zzz", "w" * rng.randint(4, 9)]) for _ in range(40)}
+    tree = {"/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) + f"/f{rng.randint(0, 2)}": rng.choice(
+        ["x", "yy", "yz", "zzz", "w" * rng.randint(4, 9)]) for _ in range(40)}
     a = analysis(spark, tree)
     expected = model(tree)
     assert {r["path"]: r["dir_hash"] for r in a.dirs.collect()} == expected
@@ -198,8 +199,10 @@ def test_file_system_archives_and_cache(spark, tmp_path):
 
 def test_functions(spark):
     row = spark.range(1).select(
-        S.human_size(F.lit(1536).cast("long")).alias("h"), S.key_text(F.lit(5), F.lit(1), F.lit(255)).alias("k"), S.time_text(F.lit(86461).cast("long"), F.lit(7)).alias("t"),
-        S.crc32c(F.lit("123456789").cast("binary")).alias("c"), P.ancestors(F.lit("/a/b")).alias("a"), S.clamped_budget(F.lit(10 << 20), F.lit(0), 1 << 16, 1 << 22).alias("b"),
+        S.human_size(F.lit(1536).cast("long")).alias("h"), S.key_text(F.lit(5), F.lit(1), F.lit(255)).alias("k"),
+            S.time_text(F.lit(86461).cast("long"), F.lit(7)).alias("t"),
+        S.crc32c(F.lit("123456789").cast("binary")).alias("c"), P.ancestors(F.lit("/a/b")).alias("a"),
+            S.clamped_budget(F.lit(10 << 20), F.lit(0), 1 << 16, 1 << 22).alias("b"),
     ).first()
     assert row["h"] == "1.5 KiB" and row["k"] == "5/1 @ 0xff" and row["t"] == "1970-01-02T00:01:01.000000007"
     assert row["c"] == 0xE3069283 and row["a"] == ["", "/a"] and row["b"] == 1 << 22
@@ -224,7 +227,8 @@ def test_ranges_of_all_lengths(spark):
         chunks.append((at, size, rng.randrange(1 << 40)))
         at += size
     asked = [rng.randrange(at + 5) for _ in range(500)] + [c[0] for c in chunks] + [c[0] + c[1] - 1 for c in chunks] + [7, 7]
-    got = to_physical(spark.createDataFrame([(a,) for a in asked], "address long"), spark.createDataFrame(chunks, "start long, length long, physical long")).collect()
+    got = to_physical(spark.createDataFrame([(a,) for a in asked], "address long"),
+        spark.createDataFrame(chunks, "start long, length long, physical long")).collect()
     assert len(got) == len(asked)
     for r in got:
         expected = [p + r["address"] - s for s, n, p in chunks if s <= r["address"] < s + n]

@@ -68,7 +68,8 @@ def decode_hash(text: Column) -> Column:
 
 def group_type(flags: Column) -> Column:
     """Names of the set type bits, joined by commas."""
-    return F.array_join(F.filter(F.array(*[F.when(flags.bitwiseAND(F.lit(bit).cast("long")) != 0, name) for bit, name in GROUP_TYPES.items()]), lambda x: x.isNotNull()), ",")
+    return F.array_join(F.filter(F.array(*[F.when(flags.bitwiseAND(F.lit(bit).cast("long")) != 0, name) for bit, name in GROUP_TYPES.items()]),
+        lambda x: x.isNotNull()), ",")
 
 
 def group_profile(flags: Column) -> Column:
@@ -124,7 +125,8 @@ def crc32c_of(data: bytes, state: int = 0xFFFFFFFF, final: int = 0xFFFFFFFF) ->
     whole = len(data) // 8 * 8
     for word in struct.unpack(f"<{whole // 8}Q", data[:whole]):
         word ^= state
-        state = t7[word & 255] ^ t6[word >> 8 & 255] ^ t5[word >> 16 & 255] ^ t4[word >> 24 & 255] ^ t3[word >> 32 & 255] ^ t2[word >> 40 & 255] ^ t1[word >> 48 & 255] ^ t0[word >> 56]
+        state = t7[word & 255] ^ t6[word >> 8 & 255] ^ t5[word >> 16 & 255] ^ t4[word >> 24 & 255] ^ t3[word >> 32 & 255] ^ t2[word >> 40 & 255] ^ t1[
+            word >> 48 & 255] ^ t0[word >> 56]
     for byte in data[whole:]:
         state = state >> 8 ^ t0[(state ^ byte) & 255]
     return state ^ final

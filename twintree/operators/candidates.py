@@ -44,4 +44,5 @@ def read_candidates(entries: DataFrame, options: Options = Options(), members: D
 def content_hashes(candidates: DataFrame) -> DataFrame:
     """file_hash: SHA-256 of the content in lower hex for candidates, else what is known already, else null."""
     known = F.col("file_hash") if "file_hash" in candidates.columns else F.lit(None).cast("string")
-    return candidates.withColumn("file_hash", F.coalesce(known, F.when(F.col("candidate"), F.sha2(F.col("content").cast("binary"), 256)))).drop("content", "candidate")
+    return candidates.withColumn("file_hash", F.coalesce(known, F.when(F.col("candidate"), F.sha2(F.col("content").cast("binary"), 256)))).drop(
+        "content", "candidate")

@@ -23,7 +23,8 @@ def dedup_candidates(files: DataFrame) -> DataFrame:
     place over all of a group; occurrences counts files of the group at one place. Both are sums joined back, so that a
     large group is not one window.
     """
-    fit = files.where("file_hash is not null and file_size > 0 and phys is not null and phys <> 0 and n_extents is not null").select(F.col("file_hash").alias("hash"), "path", "file_size", "phys", "n_extents", "ctime")
+    fit = files.where("file_hash is not null and file_size > 0 and phys is not null and phys <> 0 and n_extents is not null").select(
+        F.col("file_hash").alias("hash"), "path", "file_size", "phys", "n_extents", "ctime")
     groups = fit.groupBy("hash").agg(F.count("*").alias("n"), F.sum(F.col("phys").cast("decimal(38,0)")).alias("s")).where("n > 1")
     groups = groups.select("hash", "n", F.expr("cast(s div n as bigint)").alias("avg_phys"))
     places = fit.groupBy("hash", "phys").agg(F.count("*").alias("occurrences"))
@@ -32,8 +33,11 @@ def dedup_candidates(files: DataFrame) -> DataFrame:
 
 def keepers(candidates: DataFrame) -> DataFrame:
     """One file of each group: fewest extents, most files at its place, oldest, nearest the mean place, then by place and path."""
-    choice = F.struct("n_extents", (-F.col("occurrences")).alias("o"), "ctime", F.abs(F.col("avg_phys") - F.col("phys")).alias("d"), "phys", components(F.col("path")).alias("c"), "path", "file_size")
-    return candidates.groupBy("hash").agg(F.min(choice).alias("k"), F.first("avg_phys").alias("avg_phys"), F.first("n").alias("n")).select("hash", F.col("k.path").alias("keeper"), F.col("k.phys").alias("keeper_phys"), F.col("k.file_size").alias("file_size"), "avg_phys", "n", F.col("k.ctime").alias("keeper_ctime"))
+    choice = F.struct("n_extents", (-F.col("occurrences")).alias("o"), "ctime", F.abs(F.col("avg_phys") - F.col("phys")).alias("d"), "phys",
+        components(F.col("path")).alias("c"), "path", "file_size")
+    return candidates.groupBy("hash").agg(F.min(choice).alias("k"), F.first("avg_phys").alias("avg_phys"), F.first("n").alias("n")).select("hash",
+        F.col("k.path").alias("keeper"), F.col("k.phys").alias("keeper_phys"), F.col("k.file_size").alias("file_size"), "avg_phys", "n",
+        F.col("k.ctime").alias("keeper_ctime"))
 
 
 def dedup_groups(candidates: DataFrame, aggressive: bool = False) -> DataFrame:
@@ -54,7 +58,8 @@ def group_plan(rows: DataFrame) -> DataFrame:
 
 def simulate(rows: DataFrame) -> DataFrame:
     """groups, dup_files, dup_bytes: what a run would process."""
-    return rows.agg(F.count_distinct("hash").alias("groups"), F.count("*").alias("dup_files"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("dup_bytes"))
+    return rows.agg(F.count_distinct("hash").alias("groups"), F.count("*").alias("dup_files"),
+        F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("dup_bytes"))
 
 
 @dataclass(frozen=True)

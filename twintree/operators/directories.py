@@ -33,7 +33,8 @@ def _digest(count: str) -> Column:
 def _level(children: DataFrame) -> DataFrame:
     """path, dir_size, dir_hash of the parents of children (parent_path, name, h, size)."""
     told = children.select("parent_path", "size", F.sha2(F.concat("name", "h").cast("binary"), 256).alias("digest"))
-    sums = told.groupBy("parent_path").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("size").cast("long").alias("dir_size"), *_sums("digest"))
+    sums = told.groupBy("parent_path").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("size").cast("long").alias("dir_size"),
+        *_sums("digest"))
     whole = F.col("n") == F.col("hashed")
     return sums.select(F.col("parent_path").alias("path"), F.when(whole, F.col("dir_size")).alias("dir_size"), F.when(whole, _digest("n")).alias("dir_hash"))
 
@@ -44,7 +45,8 @@ def roll_up(files: DataFrame, max_depth: int | None = None, archives: bool = Fal
     files: path, file_size, file_hash. max_depth: of the files, if it is known. archives: some paths are files and have
     members below them. Every level is kept in the shared folder, since the next one and the result read it.
     """
-    leaves = files.select("path", parent_path(F.col("path")).alias("parent_path"), name_of(F.col("path")).alias("name"), depth_of(F.col("path")).alias("depth"), F.col("file_hash").alias("h"), F.col("file_size").alias("size"))
+    leaves = files.select("path", parent_path(F.col("path")).alias("parent_path"), name_of(F.col("path")).alias("name"),
+        depth_of(F.col("path")).alias("depth"), F.col("file_hash").alias("h"), F.col("file_size").alias("size"))
     if max_depth is None:
         max_depth = leaves.agg(F.max("depth")).first()[0] or 0
     done, below = [], None
@@ -55,8 +57,10 @@ def roll_up(files: DataFrame, max_depth: int | None = None, archives: bool = Fal
             here = here.unionByName(below.join(here.select("path"), "path", "left_anti") if archives else below)
         dirs = cut(_level(here))
         path = F.col("path")
-        done.append(dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.lit(depth - 1).alias("depth"), "dir_size", "dir_hash"))
-        below = dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.col("dir_hash").alias("h"), F.col("dir_size").alias("size"))
+        done.append(dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.lit(depth - 1).alias("depth"),
+            "dir_size", "dir_hash"))
+        below = dirs.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), F.col("dir_hash").alias("h"),
+            F.col("dir_size").alias("size"))
     if not done:
         return leaves.select("path", "parent_path", "name", "depth", F.col("size").alias("dir_size"), F.col("h").alias("dir_hash")).limit(0)
     out = done[0]
@@ -75,10 +79,12 @@ def flat_signatures(files: DataFrame) -> DataFrame:
     up = F.when(inner.isNull(), ancestors(path)).otherwise(F.filter(ancestors(path), lambda a: (a == inner) | a.startswith(F.concat(inner, F.lit("/")))))
     rows = files.select("path", "file_hash", "file_size", F.explode(up).alias("dir"))
     told = rows.select("dir", "file_size", F.sha2(F.concat(F.substr(path, F.length("dir") + 2), F.lit("\0"), "file_hash").cast("binary"), 256).alias("digest"))
-    sums = told.groupBy("dir").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("file_size").cast("long").alias("dir_size"), *_sums("digest"))
+    sums = told.groupBy("dir").agg(F.count("*").alias("n"), F.count("digest").alias("hashed"), F.sum("file_size").cast("long").alias("dir_size"),
+        *_sums("digest"))
     return sums.where("n = hashed").select(F.col("dir").alias("path"), "dir_size", _digest("n").alias("signature"))
 
 
 def directory_sizes(files: DataFrame) -> DataFrame:
     """path, dir_size, n_files over all files, hashed or not."""
-    return files.select("file_size", F.explode(ancestors(F.col("path"))).alias("path")).groupBy("path").agg(F.sum("file_size").cast("long").alias("dir_size"), F.count("*").alias("n_files"))
+    return files.select("file_size", F.explode(ancestors(F.col("path"))).alias("path")).groupBy("path").agg(
+        F.sum("file_size").cast("long").alias("dir_size"), F.count("*").alias("n_files"))

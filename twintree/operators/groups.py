@@ -15,9 +15,11 @@ HIDE = {0: "false", 1: "ns = 0", 2: "ns <> 1", 3: "true"}
 def members(files: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     """hash, typ (D or F), typ_order, path, size, is_dir: one row per hashed file and per hashed directory. Paths are keys of both tables."""
     is_dir = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
-    out = files.where("file_hash is not null").select(F.col("file_hash").alias("hash"), F.lit("F").alias("typ"), F.lit(2).alias("typ_order"), "path", F.col("file_size").alias("size"), is_dir.alias("is_dir"))
+    out = files.where("file_hash is not null").select(F.col("file_hash").alias("hash"), F.lit("F").alias("typ"), F.lit(2).alias("typ_order"), "path",
+        F.col("file_size").alias("size"), is_dir.alias("is_dir"))
     if dirs is not None:
-        out = out.unionByName(dirs.where("dir_hash is not null").select(F.col("dir_hash").alias("hash"), F.lit("D").alias("typ"), F.lit(1).alias("typ_order"), "path", F.col("dir_size").alias("size"), F.lit(True).alias("is_dir")))
+        out = out.unionByName(dirs.where("dir_hash is not null").select(F.col("dir_hash").alias("hash"), F.lit("D").alias("typ"),
+            F.lit(1).alias("typ_order"), "path", F.col("dir_size").alias("size"), F.lit(True).alias("is_dir")))
     return out
 
 
@@ -49,7 +51,8 @@ def export_order(shown: DataFrame) -> DataFrame:
     many members is one task's work.
     """
     order = components(F.col("path"))
-    heads = shown.groupBy("hash").agg(F.max("size").alias("gsize"), F.count("*").alias("__size"), F.min(F.struct("typ_order", order.alias("order"))).alias("head"))
+    heads = shown.groupBy("hash").agg(F.max("size").alias("gsize"), F.count("*").alias("__size"),
+        F.min(F.struct("typ_order", order.alias("order"))).alias("head"))
     ranked = _ranked(heads, [F.desc("gsize"), F.col("head.typ_order"), F.col("head.order")])
     ranked = cut(ranked.select("hash", F.col("rank").alias("group_rank"), "__size"))
     members_ = _ranked(shown.join(ranked.drop("__size"), "hash"), [F.col("group_rank"), F.col("typ_order"), order])

@@ -39,7 +39,8 @@ def build_paths(nodes: DataFrame) -> DataFrame:
     """
     known = nodes.select(F.col("id").alias("known"))
     top = F.col("parent").isNull() | F.col("known").isNull() | (F.col("parent") == F.col("id"))
-    first = cut(nodes.join(known, F.col("parent") == F.col("known"), "left").select("id", F.when(~top, F.col("parent")).alias("up"), F.concat(F.lit("/"), "name").alias("path")))
+    first = cut(nodes.join(known, F.col("parent") == F.col("known"), "left").select("id", F.when(~top, F.col("parent")).alias("up"),
+        F.concat(F.lit("/"), "name").alias("path")))
     rounds = math.ceil(math.log2(max(2, first.count()))) + 1
 
     def doubled(state: DataFrame, more: list) -> DataFrame:

@@ -19,8 +19,10 @@ def scan_stats(candidates: DataFrame) -> DataFrame:
 
 def progress(candidates: DataFrame, files: DataFrame, deduped: DataFrame | None = None) -> DataFrame:
     """scan_stats with processed (hashed) and deduped files and bytes; deduped as sources.dedupe gives it."""
-    hashed = files.where("file_hash is not null").agg(F.count("*").alias("processed_files"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("processed_bytes"))
+    hashed = files.where("file_hash is not null").agg(F.count("*").alias("processed_files"),
+        F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("processed_bytes"))
     out = scan_stats(candidates).crossJoin(hashed)  # one row each
     if deduped is None:
         return out.withColumns({"deduped_files": F.lit(0).cast("long"), "deduped_bytes": F.lit(0).cast("long")})
-    return out.crossJoin(deduped.agg(F.count_if(F.col("state") == "deduped").alias("deduped_files"), F.coalesce(F.sum("deduped"), F.lit(0)).cast("long").alias("deduped_bytes")))
+    return out.crossJoin(deduped.agg(F.count_if(F.col("state") == "deduped").alias("deduped_files"),
+        F.coalesce(F.sum("deduped"), F.lit(0)).cast("long").alias("deduped_bytes")))

@@ -17,7 +17,8 @@ class Analysis:
     prepared: the hashed files, archive members among them, if they are known already.
     """
 
-    def __init__(self, entries: DataFrame, options: Options = Options(), archive_members: DataFrame | None = None, max_depth: int | None = None, prepared: DataFrame | None = None):
+    def __init__(self, entries: DataFrame, options: Options = Options(), archive_members: DataFrame | None = None, max_depth: int | None = None,
+        prepared: DataFrame | None = None):
         self.entries, self.options, self.archive_members, self.max_depth, self.prepared = entries, options, archive_members, max_depth, prepared
 
     @cached_property
@@ -35,7 +36,8 @@ class Analysis:
 
     @cached_property
     def dirs(self) -> DataFrame:
-        return cut(directories.roll_up(self.files, self.max_depth, archives=self.archive_members is not None or (self.prepared is not None and "in_archive" in self.prepared.columns)))
+        return cut(directories.roll_up(self.files, self.max_depth, archives=self.archive_members is not None
+            or (self.prepared is not None and "in_archive" in self.prepared.columns)))
 
     @cached_property
     def members(self) -> DataFrame:

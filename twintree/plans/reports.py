@@ -17,9 +17,11 @@ from ..operators.groups import hash_counts
 
 def group_lines(report: DataFrame, roots: Sequence[str] = (), absolute: bool = False) -> DataFrame:
     """group_rank, member_rank, line: a head for each group (member_rank 0) and a line for each member."""
-    heads = report.groupBy("group_rank").agg(F.max("size").alias("size")).select("group_rank", F.lit(0).alias("member_rank"), F.concat(F.lit("Group "), human_size(F.col("size"))).alias("line"))
+    heads = report.groupBy("group_rank").agg(F.max("size").alias("size")).select("group_rank", F.lit(0).alias("member_rank"),
+        F.concat(F.lit("Group "), human_size(F.col("size"))).alias("line"))
     mark = F.when(F.col("shadowed"), "S").otherwise(" ")
-    lines = report.select("group_rank", "member_rank", F.concat(F.lit("   "), member_icon(F.col("typ"), F.col("is_dir")), mark, F.lit(" "), display_path(F.col("path"), roots, absolute)).alias("line"))
+    lines = report.select("group_rank", "member_rank", F.concat(F.lit("   "), member_icon(F.col("typ"), F.col("is_dir")), mark, F.lit(" "),
+        display_path(F.col("path"), roots, absolute)).alias("line"))
     return heads.unionByName(lines).orderBy("group_rank", "member_rank")
 
 
@@ -40,7 +42,8 @@ def tree_listing(nodes: DataFrame, all_members: DataFrame) -> DataFrame:
     hidden = labelled.select("path", F.explode(ancestors(F.col("path"))).alias("above")).join(tops, "above", "left_semi").select("path").distinct()
     seen = labelled.join(hidden, "path", "left_anti").where("path <> ''")
     code = icon(F.col("is_file"), F.col("is_dir"))
-    rows = seen.select("path", parent_path(F.col("path")).alias("parent_path"), F.when(F.col("dup"), "DUPS").otherwise("UNIQ").alias("label"), code.alias("icon"), name_of(F.col("path")).alias("name"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    rows = seen.select("path", parent_path(F.col("path")).alias("parent_path"), F.when(F.col("dup"), "DUPS").otherwise("UNIQ").alias("label"),
+        code.alias("icon"), name_of(F.col("path")).alias("name"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     rank = F.row_number().over(Window.partitionBy("parent_path").orderBy(icon_rank(F.col("icon")), F.col("label"), F.desc("size"), "name"))
     return rows.withColumn("child_rank", rank)
 
@@ -65,7 +68,8 @@ def tree_json(listing: DataFrame, members: DataFrame, root: str = "") -> str:
         children.setdefault(r["parent_path"], []).append(r)
 
     def build(path: str) -> dict:
-        return {f"{r['label']} {r['icon']} {r['name']} {r['size']}": dict.fromkeys(firsts.get(r["path"], []), " ") if r["label"] == "DUPS" else build(r["path"]) for r in children.get(path, [])}
+        return {f"{r['label']} {r['icon']} {r['name']} {r['size']}": dict.fromkeys(firsts.get(r["path"], []), " ") if r["label"] == "DUPS"
+            else build(r["path"]) for r in children.get(path, [])}
 
     return json.dumps(build(root), indent=2, ensure_ascii=False)
 
@@ -88,6 +92,7 @@ def diff_json(diff: DataFrame) -> str:
         children.setdefault((r["root"], r["parent"]), []).append(r)
 
     def build(root: str, rel: str) -> dict:
-        return {f"{r['label']} {r['icon']} {r['name']} {r['size']}": None if r["label"] == "DUPS" else build(root, r["rel"]) for r in children.get((root, rel), [])}
+        return {f"{r['label']} {r['icon']} {r['name']} {r['size']}": None if r["label"] == "DUPS" else build(root, r["rel"])
+            for r in children.get((root, rel), [])}
 
     return json.dumps({root: build(root, "") for root in roots}, indent=2, ensure_ascii=False)

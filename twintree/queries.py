@@ -36,7 +36,8 @@ _ENTRIES = {
     "cust": "SELECT '/cust/'||r_name||'/'||n_name||'/'||c_custkey AS path, c_mktsegment AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "flags": "SELECT '/flags/'||l_returnflag||'/'||l_orderkey||'/'||l_linenumber AS path, min(l_linestatus) AS content, 0::BIGINT AS ctime, NULL::BIGINT AS phys, NULL::INTEGER AS n_extents FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber",
 }
-_CORPORA = {"docs": corpora.docs, "orders": corpora.orders, "events": corpora.events, "conv": corpora.conversations, "pages": corpora.pages, "cust": corpora.customers, "flags": corpora.flags}
+_CORPORA = {"docs": corpora.docs, "orders": corpora.orders, "events": corpora.events, "conv": corpora.conversations, "pages": corpora.pages,
+    "cust": corpora.customers, "flags": corpora.flags}
 _DEPTH = {"docs": 4, "orders": 3, "events": 4, "conv": 3, "flags": 4}
 _ANCESTORS = "list_transform(range(1, len(string_split(path,'/'))), lambda i: array_to_string(string_split(path,'/')[1:i],'/'))"
 
@@ -55,7 +56,8 @@ def _tree(corpus: str) -> str:
     digest = f"sha256(concat_ws('|',count(*),{','.join(pieces)}))"
     parts, below = [], "SELECT parent_path, name, file_hash AS h, file_size AS size FROM files"
     for d in range(_DEPTH[corpus] - 1, -1, -1):
-        parts.append(f"d{d} AS (SELECT parent_path AS path, CASE WHEN count(*)=count(h) THEN sum(size)::BIGINT END AS dir_size, CASE WHEN count(*)=count(h) THEN {digest} END AS dir_hash FROM ({below}) GROUP BY parent_path)")
+        parts.append(
+            f"d{d} AS (SELECT parent_path AS path, CASE WHEN count(*)=count(h) THEN sum(size)::BIGINT END AS dir_size, CASE WHEN count(*)=count(h) THEN {digest} END AS dir_hash FROM ({below}) GROUP BY parent_path)")
         below = f"SELECT regexp_replace(path,'/[^/]*$','') AS parent_path, string_split(path,'/')[-1] AS name, dir_hash AS h, dir_size AS size FROM d{d}"
     union = " UNION ALL ".join(f"SELECT * FROM d{d}" for d in range(_DEPTH[corpus]))
     parts.append(f"dirs AS ({union})")
@@ -94,7 +96,8 @@ def _analysis(spark: SparkSession, sf_dir: str, corpus: str) -> Analysis:
 def _register_scans() -> None:
     columns = ["path", "parent_path", "name", "file_size", "ctime", "phys", "n_extents"]
     for corpus in ("docs", "orders", "events", "pages", "conv", "cust"):
-        query(f"scan_{corpus}_entries", f"WITH {_base(corpus)} SELECT {', '.join(columns)} FROM entries")(lambda spark, sf_dir, c=corpus: _CORPORA[c](spark, sf_dir).select(*columns))
+        query(f"scan_{corpus}_entries", f"WITH {_base(corpus)} SELECT {', '.join(columns)} FROM entries")(lambda spark, sf_dir,
+            c=corpus: _CORPORA[c](spark, sf_dir).select(*columns))
 
 
 _register_scans()
@@ -102,7 +105,8 @@ _register_scans()
 _CANDIDATES = "(file_size IN (SELECT file_size FROM shared){more})"
 
 
-@query("scan_stats_docs", f"WITH {_base('docs')} SELECT count(*) AS found_files, sum(file_size)::BIGINT AS found_bytes, count(*) FILTER (WHERE {_CANDIDATES.format(more='')}) AS relevant_files, coalesce(sum(file_size) FILTER (WHERE {_CANDIDATES.format(more='')}),0)::BIGINT AS relevant_bytes FROM entries")
+@query("scan_stats_docs",
+    f"WITH {_base('docs')} SELECT count(*) AS found_files, sum(file_size)::BIGINT AS found_bytes, count(*) FILTER (WHERE {_CANDIDATES.format(more='')}) AS relevant_files, coalesce(sum(file_size) FILTER (WHERE {_CANDIDATES.format(more='')}),0)::BIGINT AS relevant_bytes FROM entries")
 def scan_stats_docs(spark, sf_dir):
     return stats.scan_stats(_analysis(spark, sf_dir, "docs").candidates)
 
@@ -112,7 +116,8 @@ def size_groups_docs(spark, sf_dir):
     return candidates.size_groups(corpora.docs(spark, sf_dir))
 
 
-@query("size_multiplicity_events", f"WITH {_base('events')} SELECT file_size, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM entries GROUP BY file_size HAVING count(*) > 1")
+@query("size_multiplicity_events",
+    f"WITH {_base('events')} SELECT file_size, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM entries GROUP BY file_size HAVING count(*) > 1")
 def size_multiplicity_events(spark, sf_dir):
     return candidates.size_groups(corpora.events(spark, sf_dir)).where("n > 1")
 
@@ -122,7 +127,8 @@ def read_candidates_docs(spark, sf_dir):
     return _analysis(spark, sf_dir, "docs").candidates.select("path", "file_size", "candidate")
 
 
-@query("read_candidates_bounds_docs", f"WITH {_base('docs')} SELECT path, file_size, {_CANDIDATES.format(more=' AND file_size BETWEEN 500 AND 5000')} AS candidate FROM entries")
+@query("read_candidates_bounds_docs",
+    f"WITH {_base('docs')} SELECT path, file_size, {_CANDIDATES.format(more=' AND file_size BETWEEN 500 AND 5000')} AS candidate FROM entries")
 def read_candidates_bounds_docs(spark, sf_dir):
     return candidates.read_candidates(corpora.docs(spark, sf_dir), Options(min_size=500, max_size=5000)).select("path", "file_size", "candidate")
 
@@ -132,7 +138,8 @@ def content_hash_docs(spark, sf_dir):
     return _analysis(spark, sf_dir, "docs").files.select("path", "file_size", "file_hash")
 
 
-@query("hash_groups_docs", f"WITH {_base('docs')} SELECT file_hash AS hash, count(*) AS n, min(file_size) AS size FROM files WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1")
+@query("hash_groups_docs",
+    f"WITH {_base('docs')} SELECT file_hash AS hash, count(*) AS n, min(file_size) AS size FROM files WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1")
 def hash_groups_docs(spark, sf_dir):
     return groups.duplicate_hashes(groups.members(_analysis(spark, sf_dir, "docs").files))
 
@@ -160,25 +167,31 @@ def _register_directories() -> None:
         sql = f"WITH {_base(corpus)} SELECT a AS path, sum(file_size)::BIGINT AS dir_size, count(*) AS n_files FROM (SELECT file_size, unnest({_ANCESTORS}) AS a FROM entries) GROUP BY a"
         query(f"dir_sizes_{corpus}", sql)(lambda spark, sf_dir, c=corpus: directories.directory_sizes(_CORPORA[c](spark, sf_dir)))
     for corpus in ("orders", "events"):
-        query(f"dir_hash_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT path, dir_size, dir_hash FROM dirs")(lambda spark, sf_dir, c=corpus: _analysis(spark, sf_dir, c).dirs.select("path", "dir_size", "dir_hash"))
+        query(f"dir_hash_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT path, dir_size, dir_hash FROM dirs")(lambda spark, sf_dir,
+            c=corpus: _analysis(spark, sf_dir, c).dirs.select("path", "dir_size", "dir_hash"))
 
         def dup_dirs(spark, sf_dir, c=corpus):
-            dirs = _analysis(spark, sf_dir, c).dirs.where("dir_hash is not null").select(F.col("dir_hash").alias("hash"), "path", F.col("dir_size").alias("size"))
+            dirs = _analysis(spark, sf_dir, c).dirs.where("dir_hash is not null").select(F.col("dir_hash").alias("hash"), "path",
+                F.col("dir_size").alias("size"))
             return groups.duplicates(dirs).select("hash", "path", "size", "n")
 
-        query(f"dup_dirs_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT dir_hash AS hash, path, dir_size AS size, n FROM (SELECT *, count(*) OVER (PARTITION BY dir_hash) AS n FROM dirs WHERE dir_hash IS NOT NULL) WHERE n > 1")(dup_dirs)
+        query(f"dup_dirs_{corpus}",
+            f"WITH {_base(corpus)}, {_tree(corpus)} SELECT dir_hash AS hash, path, dir_size AS size, n FROM (SELECT *, count(*) OVER (PARTITION BY dir_hash) AS n FROM dirs WHERE dir_hash IS NOT NULL) WHERE n > 1")(dup_dirs)
 
         def signatures(spark, sf_dir, c=corpus):
             signed = directories.flat_signatures(_analysis(spark, sf_dir, c).files)
             sizes = signed.groupBy("signature").agg(F.count("*").alias("copies"))
             return signed.join(sizes, "signature").select("path", "dir_size", "copies")
 
-        query(f"flat_signature_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)} SELECT path, dir_size, count(*) OVER (PARTITION BY dir_hash) AS copies FROM dirs WHERE dir_hash IS NOT NULL")(signatures)
-        query(f"shadow_flags_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)}, {_SHADOW} SELECT hash, typ, path, size, shadowed FROM flagged")(lambda spark, sf_dir, c=corpus: _analysis(spark, sf_dir, c).flagged.select("hash", "typ", "path", "size", "shadowed"))
+        query(f"flat_signature_{corpus}",
+            f"WITH {_base(corpus)}, {_tree(corpus)} SELECT path, dir_size, count(*) OVER (PARTITION BY dir_hash) AS copies FROM dirs WHERE dir_hash IS NOT NULL")(signatures)
+        query(f"shadow_flags_{corpus}", f"WITH {_base(corpus)}, {_tree(corpus)}, {_SHADOW} SELECT hash, typ, path, size, shadowed FROM flagged")(
+            lambda spark, sf_dir, c=corpus: _analysis(spark, sf_dir, c).flagged.select("hash", "typ", "path", "size", "shadowed"))
     for corpus, rules in (("orders", (0, 1, 2, 3)), ("events", (2,))):
         for rule in rules:
             sql = f"WITH {_base(corpus)}, {_tree(corpus)}, {_SHADOW}, {_VISIBLE.format(hide=groups.HIDE[rule])} SELECT hash, typ, path, size, shadowed, n, ns FROM shown"
-            query(f"groups_rule{rule}_{corpus}", sql)(lambda spark, sf_dir, c=corpus, r=rule: _analysis(spark, sf_dir, c).shown(r).select("hash", "typ", "path", "size", "shadowed", "n", "ns"))
+            query(f"groups_rule{rule}_{corpus}", sql)(lambda spark, sf_dir, c=corpus,
+                r=rule: _analysis(spark, sf_dir, c).shown(r).select("hash", "typ", "path", "size", "shadowed", "n", "ns"))
 
 
 _register_directories()
@@ -264,7 +277,8 @@ def diff_flags_3roots(spark, sf_dir):
 
 @query("diff_summary", _diff_sql(_THREE, "SELECT root, is_dir, stat, count(*) AS n, coalesce(sum(size),0)::BIGINT AS bytes FROM stated GROUP BY ALL"))
 def diff_summary(spark, sf_dir):
-    return _flag_diff(spark, sf_dir, _THREE).groupBy("root", "is_dir", "stat").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    return _flag_diff(spark, sf_dir, _THREE).groupBy("root", "is_dir", "stat").agg(F.count("*").alias("n"),
+        F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
 # ---------------------------------------------------------------- dedup plans
@@ -311,7 +325,8 @@ def dedup_reclaimable_docs(spark, sf_dir):
     return dedup.group_plan(dedup.dedup_groups(_dedup(spark, sf_dir, "docs")))
 
 
-@query("dedup_simulate_orders", _dedup_sql("orders", "SELECT count(DISTINCT hash) AS groups, count(*) AS dup_files, coalesce(sum(file_size),0)::BIGINT AS dup_bytes FROM dup"))
+@query("dedup_simulate_orders",
+    _dedup_sql("orders", "SELECT count(DISTINCT hash) AS groups, count(*) AS dup_files, coalesce(sum(file_size),0)::BIGINT AS dup_bytes FROM dup"))
 def dedup_simulate_orders(spark, sf_dir):
     return dedup.simulate(dedup.dedup_groups(_dedup(spark, sf_dir, "orders")))
 
@@ -346,7 +361,8 @@ def _register_batches() -> None:
 _register_batches()
 
 
-@query("dedup_read_order_orders", _dedup_sql("orders", "SELECT path, phys, phys % 50 AS batch, row_number() OVER (PARTITION BY phys % 50 ORDER BY phys, path)::INTEGER AS read_order FROM dup"))
+@query("dedup_read_order_orders",
+    _dedup_sql("orders", "SELECT path, phys, phys % 50 AS batch, row_number() OVER (PARTITION BY phys % 50 ORDER BY phys, path)::INTEGER AS read_order FROM dup"))
 def dedup_read_order_orders(spark, sf_dir):
     rows = dedup.dedup_groups(_dedup(spark, sf_dir, "orders")).withColumn("batch", F.col("phys") % 50)
     return dedup.read_order(rows).select("path", "phys", "batch", "read_order")
@@ -359,7 +375,8 @@ def _cached_docs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A scan, and a cache in which each 7th entry is missing, each 5th has another time and each 3rd another size."""
     scanned = corpora.docs(spark, sf_dir)
     number = F.col("phys") - 1
-    cached = scanned.where(number % 7 != 0).select("path", F.when(number % 5 == 0, F.col("ctime") + 1).otherwise(F.col("ctime")).alias("ctime"), F.when(number % 3 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"), F.sha2("content", 256).alias("file_hash"))
+    cached = scanned.where(number % 7 != 0).select("path", F.when(number % 5 == 0, F.col("ctime") + 1).otherwise(F.col("ctime")).alias("ctime"),
+        F.when(number % 3 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"), F.sha2("content", 256).alias("file_hash"))
     return scanned, cached
 
 
@@ -371,7 +388,8 @@ def cache_validate_docs(spark, sf_dir):
     return cache.validate(*_cached_docs(spark, sf_dir)).select("path", "valid", "file_hash")
 
 
-@query("cache_reuse_docs", f"WITH {_base('docs')} SELECT path, CASE WHEN {_VALID} OR file_size IN (SELECT file_size FROM shared) THEN sha256(content) END AS file_hash, NOT {_VALID} AND file_size IN (SELECT file_size FROM shared) AS read_again FROM entries")
+@query("cache_reuse_docs",
+    f"WITH {_base('docs')} SELECT path, CASE WHEN {_VALID} OR file_size IN (SELECT file_size FROM shared) THEN sha256(content) END AS file_hash, NOT {_VALID} AND file_size IN (SELECT file_size FROM shared) AS read_again FROM entries")
 def cache_reuse_docs(spark, sf_dir):
     wanted = candidates.read_candidates(cache.validate(*_cached_docs(spark, sf_dir)))
     return candidates.content_hashes(wanted.withColumn("read_again", F.col("candidate"))).select("path", "file_hash", "read_again")
@@ -380,7 +398,8 @@ def cache_reuse_docs(spark, sf_dir):
 # ---------------------------------------------------------------- scalars and small joins
 
 
-@query("archive_extension_filter_pages", "SELECT url, regexp_matches(name, '(\\.zip|\\.tar|\\.7z|\\.tar\\.gz|\\.tar\\.xz)$') AS archive FROM (SELECT url, url || ['.zip','.tar.gz','.ZIP','.tgz','.tar.xz','.7z','.html'][(page_id % 7 + 1)::INTEGER] AS name FROM pages)")
+@query("archive_extension_filter_pages",
+    "SELECT url, regexp_matches(name, '(\\.zip|\\.tar|\\.7z|\\.tar\\.gz|\\.tar\\.xz)$') AS archive FROM (SELECT url, url || ['.zip','.tar.gz','.ZIP','.tgz','.tar.xz','.7z','.html'][(page_id % 7 + 1)::INTEGER] AS name FROM pages)")
 def archive_extension_filter_pages(spark, sf_dir):
     endings = F.array(*map(F.lit, (".zip", ".tar.gz", ".ZIP", ".tgz", ".tar.xz", ".7z", ".html")))
     name = F.concat("url", F.element_at(endings, (F.col("page_id") % 7 + 1).cast("int")))
@@ -399,7 +418,8 @@ def human_size_docs(spark, sf_dir):
     return corpora.table(spark, sf_dir, "documents").select("doc_id", size.alias("size")).withColumn("shown", S.human_size(F.col("size")))
 
 
-@query("path_prefix_strip", f"WITH {_base('docs')} SELECT path, CASE WHEN starts_with(path,'/docs/src1/') THEN substr(path,12) ELSE path END AS shown FROM entries")
+@query("path_prefix_strip",
+    f"WITH {_base('docs')} SELECT path, CASE WHEN starts_with(path,'/docs/src1/') THEN substr(path,12) ELSE path END AS shown FROM entries")
 def path_prefix_strip(spark, sf_dir):
     return corpora.docs(spark, sf_dir).select("path", P.display_path(F.col("path"), ["/docs/src1"], False).alias("shown"))
 
@@ -412,7 +432,8 @@ def path_prefix_strip(spark, sf_dir):
 def path_component_sort(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    rows = corpora.table(spark, sf_dir, "customer").select("c_mktsegment", F.concat(F.lit("/r/"), "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "/").otherwise("."), F.col("c_custkey")).alias("path"))
+    rows = corpora.table(spark, sf_dir, "customer").select("c_mktsegment", F.concat(F.lit("/r/"), "c_mktsegment",
+        F.when(F.col("c_custkey") % 2 == 0, "/").otherwise("."), F.col("c_custkey")).alias("path"))
     return rows.select("path", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(P.components(F.col("path")))).alias("place"))
 
 
@@ -424,7 +445,8 @@ def path_component_sort(spark, sf_dir):
 def range_join_chunks(spark, sf_dir):
     from .operators.ranges import to_physical
 
-    chunk = corpora.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 50).alias("start"), F.lit(40).cast("long").alias("length"), (F.col("s_suppkey") * 1000).alias("physical"))
+    chunk = corpora.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 50).alias("start"), F.lit(40).cast("long").alias("length"),
+        (F.col("s_suppkey") * 1000).alias("physical"))
     asked = corpora.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("address")).distinct()
     return to_physical(asked, chunk)
 
@@ -438,7 +460,8 @@ def recursive_path_build(spark, sf_dir):
     from .operators.ranges import build_paths
 
     key = F.col("s_suppkey")
-    return build_paths(corpora.table(spark, sf_dir, "supplier").select(key.alias("id"), F.when(key != 0, F.floor(key / 2)).alias("parent"), F.col("s_name").alias("name")))
+    return build_paths(corpora.table(spark, sf_dir, "supplier").select(key.alias("id"), F.when(key != 0, F.floor(key / 2)).alias("parent"),
+        F.col("s_name").alias("name")))
 
 
 @query(
@@ -451,12 +474,14 @@ def bitmask_group_profile(spark, sf_dir):
     return corpora.table(spark, sf_dir, "part").select("p_partkey", S.group_type(flags).alias("type"), S.group_profile(flags).alias("profile"))
 
 
-@query("profile_codes_part", "SELECT p_partkey, CASE WHEN f & 8 <> 0 THEN 8 WHEN f & 16 <> 0 THEN 16 WHEN f & 32 <> 0 THEN 32 WHEN f & 64 <> 0 THEN 64 WHEN f & 128 <> 0 THEN 128 WHEN f & 256 <> 0 THEN 256 ELSE 0 END AS code FROM (SELECT p_partkey, p_partkey % 512 AS f FROM part)")
+@query("profile_codes_part",
+    "SELECT p_partkey, CASE WHEN f & 8 <> 0 THEN 8 WHEN f & 16 <> 0 THEN 16 WHEN f & 32 <> 0 THEN 32 WHEN f & 64 <> 0 THEN 64 WHEN f & 128 <> 0 THEN 128 WHEN f & 256 <> 0 THEN 256 ELSE 0 END AS code FROM (SELECT p_partkey, p_partkey % 512 AS f FROM part)")
 def profile_codes_part(spark, sf_dir):
     return corpora.table(spark, sf_dir, "part").select("p_partkey", S.profile_code(S.group_profile(F.col("p_partkey") % 512)).alias("code"))
 
 
-@query("decompressed_docs", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN sha256(coalesce(text, '')) END AS digest, CASE WHEN doc_id % 3 = 2 THEN 'no decoder for lzo' END AS error FROM documents")
+@query("decompressed_docs",
+    "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN sha256(coalesce(text, '')) END AS digest, CASE WHEN doc_id % 3 = 2 THEN 'no decoder for lzo' END AS error FROM documents")
 def decompressed_docs(spark, sf_dir):
     """Texts as extents: plain, as a zlib stream after 8 bytes of lengths, and of a kind without a decoder."""
 
@@ -477,7 +502,8 @@ def decompressed_docs(spark, sf_dir):
 @query("base64_roundtrip", "SELECT doc_id, sha256(text) AS decoded, NULL::VARCHAR AS too_long FROM documents")
 def base64_roundtrip(spark, sf_dir):
     coded = F.base64(F.unhex(F.sha2("text", 256)))
-    return corpora.table(spark, sf_dir, "documents").select("doc_id", S.decode_hash(F.regexp_replace(coded, "=", "")).alias("decoded"), S.decode_hash(F.concat(coded, coded)).alias("too_long"))
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", S.decode_hash(F.regexp_replace(coded, "=", "")).alias("decoded"),
+        S.decode_hash(F.concat(coded, coded)).alias("too_long"))
 
 
 # The checksum by its table, byte after byte.
@@ -514,7 +540,8 @@ def _images(rows: DataFrame, key: str, items: Callable[[Iterator], list[imagebui
 def _nation_items(rows: Iterator) -> list[imagebuild.Item]:
     found: dict[tuple[int, int, int], bytes] = {}
     for r in rows:
-        parent, child, made = 256 + r.n_regionkey, 1000 + r.n_nationkey, imagebuild.entry(1000 + r.n_nationkey, r.n_name, "directory" if r.n_nationkey % 2 else "file")
+        parent, child, made = 256 + r.n_regionkey, 1000 + r.n_nationkey, imagebuild.entry(1000 + r.n_nationkey, r.n_name, "directory"
+            if r.n_nationkey % 2 else "file")
         found[parent, 96, 2 + r.n_nationkey] = made
         place = (parent, 84, imagebuild.name_offset(r.n_name))
         found[place] = found.get(place, b"") + made
@@ -527,41 +554,49 @@ def _supplier_items(rows: Iterator) -> list[imagebuild.Item]:
 
 
 def _part_items(rows: Iterator) -> list[imagebuild.Item]:
-    made = [(r, imagebuild.regular_extent(4096 * r.p_partkey, 4096 * (1 + r.p_size)) if r.p_partkey % 3 else imagebuild.inline_extent(r.p_name.encode())) for r in rows]
+    made = [(r, imagebuild.regular_extent(4096 * r.p_partkey, 4096 * (1 + r.p_size)) if r.p_partkey % 3
+        else imagebuild.inline_extent(r.p_name.encode())) for r in rows]
     return [(1000 + r.p_partkey, 108, 0, payload) for r, payload in made]
 
 
-@query("image_dir_entries_nation", "SELECT 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS place, 1000 + n_nationkey::BIGINT AS child, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'directory' ELSE 'file' END AS file_kind, NULL::VARCHAR AS corrupt FROM nation")
+@query("image_dir_entries_nation",
+    "SELECT 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS place, 1000 + n_nationkey::BIGINT AS child, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'directory' ELSE 'file' END AS file_kind, NULL::VARCHAR AS corrupt FROM nation")
 def image_dir_entries_nation(spark, sf_dir):
     found = imagefs.dir_entries(_images(corpora.table(spark, sf_dir, "nation"), "n_nationkey", _nation_items))
     return found.select(F.col("object_id").alias("parent"), F.col("offset").alias("place"), "child", "name", "file_kind", "corrupt")
 
 
-@query("image_entry_by_name_nation", "SELECT 256 + n_regionkey::BIGINT AS parent, n_name AS name, 1000 + n_nationkey::BIGINT AS child FROM nation WHERE n_nationkey % 3 = 0")
+@query("image_entry_by_name_nation",
+    "SELECT 256 + n_regionkey::BIGINT AS parent, n_name AS name, 1000 + n_nationkey::BIGINT AS child FROM nation WHERE n_nationkey % 3 = 0")
 def image_entry_by_name_nation(spark, sf_dir):
     rows = corpora.table(spark, sf_dir, "nation")
-    wanted = rows.where("n_nationkey % 3 = 0").select(F.lit(5).cast("long").alias("tree_id"), (256 + F.col("n_regionkey")).cast("long").alias("object_id"), F.col("n_name").alias("name"))
+    wanted = rows.where("n_nationkey % 3 = 0").select(F.lit(5).cast("long").alias("tree_id"),
+        (256 + F.col("n_regionkey")).cast("long").alias("object_id"), F.col("n_name").alias("name"))
     return imagefs.entry_by_name(_images(rows, "n_nationkey", _nation_items), wanted).select(F.col("object_id").alias("parent"), "name", "child")
 
 
-@query("image_inode_refs_nation", "SELECT 1000 + n_nationkey::BIGINT AS object_id, 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS index, n_name AS name FROM nation")
+@query("image_inode_refs_nation",
+    "SELECT 1000 + n_nationkey::BIGINT AS object_id, 256 + n_regionkey::BIGINT AS parent, 2 + n_nationkey::BIGINT AS index, n_name AS name FROM nation")
 def image_inode_refs_nation(spark, sf_dir):
     return imagefs.inode_refs(_images(corpora.table(spark, sf_dir, "nation"), "n_nationkey", _nation_items)).select("object_id", "parent", "index", "name")
 
 
-@query("image_inodes_supplier", "SELECT 1000 + s_suppkey AS object_id, 100 * s_suppkey AS st_size, 33188::BIGINT AS st_mode, (1000000 + s_nationkey)::BIGINT AS mtime FROM supplier")
+@query("image_inodes_supplier",
+    "SELECT 1000 + s_suppkey AS object_id, 100 * s_suppkey AS st_size, 33188::BIGINT AS st_mode, (1000000 + s_nationkey)::BIGINT AS mtime FROM supplier")
 def image_inodes_supplier(spark, sf_dir):
     found = imagefs.inodes(_images(corpora.table(spark, sf_dir, "supplier"), "s_suppkey", _supplier_items))
     return found.select("object_id", "st_size", "st_mode", "mtime")
 
 
-@query("image_extents_part", "SELECT 1000 + p_partkey AS object_id, CASE WHEN p_partkey % 3 = 0 THEN 'inline' ELSE 'regular' END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 4096 * p_partkey END AS address, CASE WHEN p_partkey % 3 <> 0 THEN (4096 * (1 + p_size))::BIGINT END AS extent_bytes, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS inline FROM part")
+@query("image_extents_part",
+    "SELECT 1000 + p_partkey AS object_id, CASE WHEN p_partkey % 3 = 0 THEN 'inline' ELSE 'regular' END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 4096 * p_partkey END AS address, CASE WHEN p_partkey % 3 <> 0 THEN (4096 * (1 + p_size))::BIGINT END AS extent_bytes, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS inline FROM part")
 def image_extents_part(spark, sf_dir):
     found = imagefs.extents(_images(corpora.table(spark, sf_dir, "part"), "p_partkey", _part_items))
     return found.select("object_id", "kind", "address", "extent_bytes", F.col("inline").cast("string").alias("inline"))
 
 
-@query("image_item_counts_part", "SELECT t.tree_id, t.item_type, t.n FROM (SELECT 5::BIGINT AS tree_id, 108 AS item_type, count(*) AS n FROM part UNION ALL SELECT 1, 132, count(DISTINCT p_partkey // 10000) FROM part) t")
+@query("image_item_counts_part",
+    "SELECT t.tree_id, t.item_type, t.n FROM (SELECT 5::BIGINT AS tree_id, 108 AS item_type, count(*) AS n FROM part UNION ALL SELECT 1, 132, count(DISTINCT p_partkey // 10000) FROM part) t")
 def image_item_counts_part(spark, sf_dir):
     items = _images(corpora.table(spark, sf_dir, "part"), "p_partkey", _part_items)
     return items.groupBy("tree_id", "item_type").agg(F.count("*").alias("n"))
@@ -584,7 +619,8 @@ def _packed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [f"/a/{number}.{'zip' if number % 2 else 'tar.gz'}"], "content": [made.getvalue()]})
 
 
-@query("archive_members_docs", "SELECT '/a/' || (doc_id // 200) || CASE WHEN doc_id // 200 % 2 = 1 THEN '.zip' ELSE '.tar.gz' END || '/d/' || doc_id AS path, strlen(coalesce(text, ''))::BIGINT AS file_size, sha256(coalesce(text, '')) AS file_hash, 946684800::BIGINT AS mtime FROM documents")
+@query("archive_members_docs",
+    "SELECT '/a/' || (doc_id // 200) || CASE WHEN doc_id // 200 % 2 = 1 THEN '.zip' ELSE '.tar.gz' END || '/d/' || doc_id AS path, strlen(coalesce(text, ''))::BIGINT AS file_size, sha256(coalesce(text, '')) AS file_hash, 946684800::BIGINT AS mtime FROM documents")
 def archive_members_docs(spark, sf_dir):
     docs = corpora.table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / ARCHIVE_ROWS).alias("archive"))
     found = archive.read_archive_bytes(docs.groupBy("archive").applyInPandas(_packed, "path string, content binary"))

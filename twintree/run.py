@@ -43,7 +43,8 @@ class Result:
         elif o.output != "-":
             nodes = diff.nodes_of(a.files, a.dirs)
             listing = reports.tree_listing(nodes, a.members) if o.output == "t" else None
-            text = reports.tree_json(listing, reports.first_members(listing, nodes, a.members)) if listing is not None else reports.diff_json(diff.tree_diff(nodes, o.paths))
+            text = reports.tree_json(listing, reports.first_members(listing, nodes, a.members)) if listing is not None else reports.diff_json(
+                diff.tree_diff(nodes, o.paths))
             with open(path, "w", encoding="utf-8") as f:
                 f.write(text)
 
@@ -83,7 +84,8 @@ def run(spark: SparkSession, options: Options, extents: DataFrame | None = None)
         fresh = known.where("file_hash is null") if cached is not None else known
         members = archive.member_entries(archive.read_archives(fresh))
         if cached is not None and "in_archive" in cached.columns:
-            members = members.unionByName(cache.revalidated_members(known.withColumn("valid", F.col("file_hash").isNotNull()), cached), allowMissingColumns=True)
+            members = members.unionByName(cache.revalidated_members(known.withColumn("valid", F.col("file_hash").isNotNull()), cached),
+                allowMissingColumns=True)
         members = cut(members)
     chosen = candidates.read_candidates(known, options, members)
     files = fs.hash_files(chosen)

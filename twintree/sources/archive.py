@@ -85,14 +85,16 @@ def _zip(source: str | io.BytesIO) -> Iterator[Member]:
         for info in archive.infolist():
             kind = info.external_attr >> 28
             regular = not info.is_dir() and kind not in (0xA, 0x4)
-            yield Member(info.filename, lambda info=info: archive.open(info), mode=info.external_attr >> 16, mtime=calendar.timegm((*info.date_time, 0, 0, 0)), regular=regular)
+            yield Member(info.filename, lambda info=info: archive.open(info), mode=info.external_attr >> 16,
+                mtime=calendar.timegm((*info.date_time, 0, 0, 0)), regular=regular)
 
 
 def _tar(source: str | io.BytesIO) -> Iterator[Member]:
     with tarfile.open(fileobj=source) if isinstance(source, io.BytesIO) else tarfile.open(source, "r:*") as archive:
         for info in archive:
             extra = {k: int(float(info.pax_headers[k])) for k in ("atime", "ctime") if k in info.pax_headers}
-            yield Member(info.name, lambda info=info: archive.extractfile(info), mode=info.mode, mtime=int(info.mtime), uname=info.uname or None, link=info.linkname or None, regular=info.isreg(), **extra)
+            yield Member(info.name, lambda info=info: archive.extractfile(info), mode=info.mode, mtime=int(info.mtime), uname=info.uname or None,
+                link=info.linkname or None, regular=info.isreg(), **extra)
 
 
 def _cpio(stream: io.BufferedIOBase) -> Iterator[Member]:
@@ -237,14 +239,19 @@ def read_archives(entries: DataFrame) -> DataFrame:
 
 def read_archive_bytes(archives: DataFrame) -> DataFrame:
     """The same of archives (path, content) that come as bytes, as Spark's binaryFile source gives them."""
-    return archives.select("path", "content").mapInPandas(lambda frames: _members((p, bytes(c)) for frame in frames for p, c in zip(frame["path"], frame["content"], strict=True)), FIELDS)
+    return archives.select("path", "content").mapInPandas(lambda frames: _members((p, bytes(c)) for frame in frames for p,
+        c in zip(frame["path"], frame["content"], strict=True)), FIELDS)
 
 
 def member_entries(found: DataFrame) -> DataFrame:
     """Members as entries: the path is the archive's joined to the member's; they have no place on disk."""
     path = F.col("path")
-    joined = found.where("member is not null").withColumn("path", F.concat_ws("/", "archive_path", F.regexp_replace("member", r"^(\./|/)+", ""))).dropDuplicates(["path"])
-    return joined.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), depth_of(path).alias("depth"), F.lit(True).alias("is_file"), F.lit(False).alias("is_dir"), "file_size", F.lit(None).cast("long").alias("ctime"), F.lit(None).cast("long").alias("phys"), F.lit(None).cast("int").alias("n_extents"), "file_hash", F.lit(True).alias("in_archive"), "archive_path")
+    joined = found.where("member is not null").withColumn("path", F.concat_ws("/", "archive_path",
+        F.regexp_replace("member", r"^(\./|/)+", ""))).dropDuplicates(["path"])
+    return joined.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), depth_of(path).alias("depth"),
+        F.lit(True).alias("is_file"), F.lit(False).alias("is_dir"), "file_size", F.lit(None).cast("long").alias("ctime"),
+        F.lit(None).cast("long").alias("phys"), F.lit(None).cast("int").alias("n_extents"), "file_hash", F.lit(True).alias("in_archive"),
+        "archive_path")
 
 
 def failures(found: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def validate(scanned: DataFrame, cached: DataFrame) -> DataFrame:
 
     Archives that failed are read again. One left join on the path; nothing is gathered.
     """
-    old = cached.select("path", F.col("ctime").alias("c_ctime"), F.col("file_size").alias("c_size"), F.col("file_hash").alias("c_hash"), (F.coalesce("failure", F.lit(0)) if "failure" in cached.columns else F.lit(0)).alias("c_failure"))
+    old = cached.select("path", F.col("ctime").alias("c_ctime"), F.col("file_size").alias("c_size"), F.col("file_hash").alias("c_hash"),
+        (F.coalesce("failure", F.lit(0)) if "failure" in cached.columns else F.lit(0)).alias("c_failure"))
     joined = scanned.drop("file_hash").join(old, "path", "left")
     valid = F.coalesce((F.col("ctime") == F.col("c_ctime")) & (F.col("file_size") == F.col("c_size")) & (F.col("c_failure") == 0), F.lit(False))
     return joined.withColumn("valid", valid).withColumn("file_hash", F.when(F.col("valid"), F.col("c_hash"))).drop("c_ctime", "c_size", "c_hash", "c_failure")

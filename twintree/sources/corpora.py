@@ -39,24 +39,29 @@ def as_entries(rows: DataFrame) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text")
-    return as_entries(table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("/docs"), "source", "lang", "doc_id").alias("path"), F.col("text").alias("content"), F.lit(0).alias("ctime"), (F.col("doc_id") + 1).alias("phys"), (F.floor(size / 4096) + 1).alias("n_extents")))
+    return as_entries(table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("/docs"), "source", "lang", "doc_id").alias("path"),
+        F.col("text").alias("content"), F.lit(0).alias("ctime"), (F.col("doc_id") + 1).alias("phys"), (F.floor(size / 4096) + 1).alias("n_extents")))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_linenumber", "l_returnflag", "l_linestatus")
     rows = table(spark, sf_dir, "lineitem").withColumn("ordinal", F.row_number().over(order))
-    return as_entries(rows.select(F.concat_ws("/", F.lit("/orders"), "l_orderkey", "ordinal").alias("path"), F.concat_ws("|", "l_returnflag", "l_linestatus").alias("content"), epoch_seconds(F.col("l_shipdate")).alias("ctime"), F.col("l_partkey").alias("phys"), F.col("l_suppkey").alias("n_extents")))
+    return as_entries(rows.select(F.concat_ws("/", F.lit("/orders"), "l_orderkey", "ordinal").alias("path"),
+        F.concat_ws("|", "l_returnflag", "l_linestatus").alias("content"), epoch_seconds(F.col("l_shipdate")).alias("ctime"),
+        F.col("l_partkey").alias("phys"), F.col("l_suppkey").alias("n_extents")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd")
     rows = table(spark, sf_dir, "events").withColumn("day", day)
     rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id")))
-    return as_entries(rows.select(F.concat_ws("/", F.lit("/events"), "user_id", "day", "ordinal").alias("path"), F.col("event_type").alias("content"), epoch_seconds(F.col("ts")).alias("ctime"), (F.col("event_id") + 1).alias("phys"), F.lit(1).alias("n_extents")))
+    return as_entries(rows.select(F.concat_ws("/", F.lit("/events"), "user_id", "day", "ordinal").alias("path"), F.col("event_type").alias("content"),
+        epoch_seconds(F.col("ts")).alias("ctime"), (F.col("event_id") + 1).alias("phys"), F.lit(1).alias("n_extents")))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_entries(table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("/conv"), "conv_id", "turn").alias("path"), F.col("text").alias("content")))
+    return as_entries(table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("/conv"), "conv_id", "turn").alias("path"),
+        F.col("text").alias("content")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +77,6 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return as_entries(rows.select(F.concat_ws("/", F.lit("/cust"), "r_name", "n_name", "c_custkey").alias("path"), F.col("c_mktsegment").alias("content")))

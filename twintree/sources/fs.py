@@ -131,7 +131,8 @@ def scan(spark: SparkSession, paths: Sequence[str], extents: bool = False) -> Da
     real = list(dict.fromkeys(os.path.realpath(p) for p in paths))
     rows = spark.read.format("twintree").option("paths", json.dumps(real)).option("extents", str(extents)).load().dropDuplicates(["path"])
     path = F.col("path")
-    return rows.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), depth_of(path).alias("depth"), F.lit(True).alias("is_file"), F.lit(False).alias("is_dir"), "file_size", "ctime", "phys", "n_extents")
+    return rows.select("path", parent_path(path).alias("parent_path"), name_of(path).alias("name"), depth_of(path).alias("depth"),
+        F.lit(True).alias("is_file"), F.lit(False).alias("is_dir"), "file_size", "ctime", "phys", "n_extents")
 
 
 def hash_files(candidates: DataFrame, buffer: int = 1 << 20) -> DataFrame:
@@ -153,7 +154,8 @@ def hash_files(candidates: DataFrame, buffer: int = 1 << 20) -> DataFrame:
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["file_hash"] = [h if h is not None or not wanted else digest(p, s, c) for h, wanted, p, s, c in zip(frame["file_hash"], frame["candidate"], frame["path"], frame["file_size"], frame["ctime"], strict=True)]
+            frame["file_hash"] = [h if h is not None or not wanted else digest(p, s, c) for h, wanted, p, s,
+                c in zip(frame["file_hash"], frame["candidate"], frame["path"], frame["file_size"], frame["ctime"], strict=True)]
             yield frame
 
     return known.mapInPandas(hashed, known.schema).drop("candidate")

@@ -105,6 +105,7 @@ def image_of(trees: dict[int, Sequence[Item]], label: str = "", nodesize: int =
     chunk_root = nodes.tree([(256, TYPE_CODES["chunk"], START, whole)], 3)
     system = struct.pack(I.KEY, 256, TYPE_CODES["chunk"], START) + whole
     device = struct.pack("<QQQ", 1, START + length, length).ljust(98, b"\0")
-    block = struct.pack(I.SUPERBLOCK, b"", b"", I.SUPERBLOCKS[0], 0, I.MAGIC, 1, root, chunk_root, 0, 0, START + length, length, 6, 1, 4096, nodesize, nodesize, 4096, len(system), 1, 0, 0, 0, 0, 0, 0, 0, device, label.encode(), 0, 0)
+    block = struct.pack(I.SUPERBLOCK, b"", b"", I.SUPERBLOCKS[0], 0, I.MAGIC, 1, root, chunk_root, 0, 0, START + length, length, 6, 1, 4096, nodesize,
+        nodesize, 4096, len(system), 1, 0, 0, 0, 0, 0, 0, 0, device, label.encode(), 0, 0)
     block = _sealed(block.ljust(I.SYSTEM_CHUNKS, b"\0")[: I.SYSTEM_CHUNKS] + system.ljust(I.SUPERBLOCK_BYTES - I.SYSTEM_CHUNKS, b"\0"))
     return (b"\0" * I.SUPERBLOCKS[0] + block).ljust(START, b"\0") + b"".join(nodes.made)

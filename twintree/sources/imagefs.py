@@ -22,7 +22,8 @@ from ..functions.scalars import crc32c_of, name_hash, uuid_text
 # Fixed values of the on-disk format: superblock places, magic, item types, tree ids, extent kinds, file kinds.
 SUPERBLOCKS = (0x10000, 0x4000000, 0x4000000000, 0x4000000000000)
 MAGIC = b"_BHRfS_M"
-ITEM_TYPES = {1: "inode", 12: "inode_ref", 84: "dir_item", 96: "dir_index", 108: "extent_data", 132: "root", 144: "root_backref", 156: "root_ref", 168: "extent", 228: "chunk"}
+ITEM_TYPES = {1: "inode", 12: "inode_ref", 84: "dir_item", 96: "dir_index", 108: "extent_data", 132: "root", 144: "root_backref", 156: "root_ref",
+    168: "extent", 228: "chunk"}
 TREES = {1: "root", 2: "extent", 3: "chunk", 4: "device", 5: "filesystem", 6: "directory", 7: "checksum"}
 EXTENT_KINDS = {0: "inline", 1: "regular", 2: "prealloc"}
 FILE_KINDS = {0: "unknown", 1: "file", 2: "directory", 3: "char_device", 4: "block_device", 5: "fifo", 6: "socket", 7: "symlink", 8: "xattr"}
@@ -38,10 +39,12 @@ KEY = "<QBQ"
 
 # Layouts by item type: struct format and names.
 LAYOUTS = {
-    "inode": ("<QQQQQIIIIQQQ32sqIqIqIqI", "generation transid st_size st_blocks block_group st_nlink st_uid st_gid st_mode st_rdev flags sequence reserved atime atime_ns ctime ctime_ns mtime mtime_ns otime otime_ns".split()),
+    "inode": ("<QQQQQIIIIQQQ32sqIqIqIqI",
+        "generation transid st_size st_blocks block_group st_nlink st_uid st_gid st_mode st_rdev flags sequence reserved atime atime_ns ctime ctime_ns mtime mtime_ns otime otime_ns".split()),
     "extent": ("<QQQ", "reference_count generation flags".split()),
     "extent_data": ("<QQBBHB", "generation logical_bytes compression encryption other_encoding kind".split()),
-    "root": ("<160sQQQQQQQI17sBB", "inode expected_generation root_dirid block_number byte_limit bytes_used last_snapshot flags reference_count drop_progress drop_level tree_level".split()),
+    "root": ("<160sQQQQQQQI17sBB",
+        "inode expected_generation root_dirid block_number byte_limit bytes_used last_snapshot flags reference_count drop_progress drop_level tree_level".split()),
     "root_ref": ("<QQH", "directory_id sequence name_bytes".split()),
     "chunk": ("<QQQQIIIHH", "length owner stripe_length type io_align io_width sector_bytes stripes sub_stripes".split()),
 }
@@ -52,7 +55,8 @@ REFERENCES = {
     182: ("shared_block", ("<Q", ("offset",))),
     184: ("shared_data", ("<QI", ("offset", "count"))),
 }
-RECORD_BYTES = {"extent": 0x18, "inode": 0xA0, "root": 0x1B7, "extent_data": 0x35, "root_ref": 0x12, "root_backup": BACKUP_BYTES, "superblock": SUPERBLOCK_BYTES}
+RECORD_BYTES = {"extent": 0x18, "inode": 0xA0, "root": 0x1B7, "extent_data": 0x35, "root_ref": 0x12, "root_backup": BACKUP_BYTES,
+    "superblock": SUPERBLOCK_BYTES}
 ITEM_SCHEMA = "image string, tree_id long, object_id long, item_type int, offset long, payload binary, corrupt string"
 
 
@@ -262,7 +266,8 @@ def superblocks(spark: SparkSession, images: list[list[str]]) -> DataFrame:
             made = []
             for path in frame["path"]:
                 block = Device(path).superblock()
-                values = [block[f].split(b"\0")[0].decode("utf-8", "replace") if f == "label" else block[f] if isinstance(block[f], bytes) else _long(block[f]) for f in SUPERBLOCK_FIELDS]
+                values = [block[f].split(b"\0")[0].decode("utf-8", "replace") if f == "label" else block[f] if isinstance(block[f], bytes)
+                    else _long(block[f]) for f in SUPERBLOCK_FIELDS]
                 number, total, used = struct.unpack_from("<QQQ", block["dev_item"])
                 made.append((path, *values, _long(number), _long(total), _long(used)))
             yield pd.DataFrame(made, columns=["path", *kinds, "device", "device_bytes", "device_used"])
@@ -320,7 +325,8 @@ def _unpack(items: DataFrame, name: str, more: dict[str, str] | None = None, ext
                     made.append([None] * len(kinds))
                     bad.append(str(why))
             out = pd.DataFrame(made, columns=list(kinds), dtype=object)
-            yield pd.concat([frame[["image", "tree_id", "object_id", "offset"]].reset_index(drop=True), out, pd.Series(bad, name="corrupt", dtype=object)], axis=1)
+            yield pd.concat([frame[["image", "tree_id", "object_id", "offset"]].reset_index(drop=True), out,
+                pd.Series(bad, name="corrupt", dtype=object)], axis=1)
 
     schema = "image string, tree_id long, object_id long, offset long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", corrupt string"
     return by_type(items, name).mapInPandas(rows, schema)
@@ -362,7 +368,8 @@ def extent_items(items: DataFrame) -> DataFrame:
 
     references: (kind, root, object_id, offset, count); a shared reference has its parent's place in `offset`.
     """
-    more = {"block_object_id": "long", "block_item_type": "long", "block_offset": "long", "block_level": "long", "references": "array<struct<kind:string,root:long,object_id:long,offset:long,count:long>>"}
+    more = {"block_object_id": "long", "block_item_type": "long", "block_offset": "long", "block_level": "long",
+        "references": "array<struct<kind:string,root:long,object_id:long,offset:long,count:long>>"}
 
     def extra(payload: bytes, at: int) -> list:
         flags, block = struct.unpack_from("<Q", payload, 16)[0], [None] * 4
@@ -381,11 +388,13 @@ def extent_items(items: DataFrame) -> DataFrame:
         return [*block, found]
 
     flags = F.col("flags")
-    return _unpack(items, "extent", more, extra).withColumns({"is_data": flags.bitwiseAND(F.lit(1).cast("long")) != 0, "is_tree_block": flags.bitwiseAND(F.lit(2).cast("long")) != 0, "is_full_backref": flags.bitwiseAND(F.lit(256).cast("long")) != 0})
+    return _unpack(items, "extent", more, extra).withColumns({"is_data": flags.bitwiseAND(F.lit(1).cast("long")) != 0,
+        "is_tree_block": flags.bitwiseAND(F.lit(2).cast("long")) != 0, "is_full_backref": flags.bitwiseAND(F.lit(256).cast("long")) != 0})
 
 
 def chunks(items: DataFrame) -> DataFrame:
-    return _unpack(items, "chunk", {"places": "array<struct<device:long,place:long>>"}, lambda payload, _: [[{"device": d, "place": p} for d, p in stripes_of(payload)]])
+    return _unpack(items, "chunk", {"places": "array<struct<device:long,place:long>>"}, lambda payload,
+        _: [[{"device": d, "place": p} for d, p in stripes_of(payload)]])
 
 
 def _name_after(payload: bytes, size: int, length: int) -> str:
@@ -396,7 +405,8 @@ def _name_after(payload: bytes, size: int, length: int) -> str:
 
 def root_refs(items: DataFrame, kind: str = "root_ref") -> DataFrame:
     """References of subvolumes to their directories, by name (root_ref), or back to them (root_backref)."""
-    return _unpack(items, kind, {"name": "string"}, lambda payload, size: [_name_after(payload, size, struct.unpack_from("<H", payload, 16)[0])], layout="root_ref")
+    return _unpack(items, kind, {"name": "string"}, lambda payload, size: [_name_after(payload, size, struct.unpack_from("<H", payload, 16)[0])],
+        layout="root_ref")
 
 
 def _entries(items: DataFrame, name: str, head: str, length: Callable[[tuple], int], columns: str, made: Callable[[tuple, bytes], tuple]) -> DataFrame:
@@ -429,7 +439,8 @@ def dir_entries(items: DataFrame, kind: str = "dir_index") -> DataFrame:
     def made(v: tuple, rest: bytes) -> tuple:
         return _long(v[0]), v[1], _long(v[3]), rest[: v[5]].decode("utf-8", "replace"), FILE_KINDS.get(v[6], "unknown"), v[4]
 
-    return _entries(items, kind, "<QBQQHHB", lambda v: v[4] + v[5], "child long, child_type int, transid long, name string, file_kind string, data_bytes long", made)
+    return _entries(items, kind, "<QBQQHHB", lambda v: v[4] + v[5],
+        "child long, child_type int, transid long, name string, file_kind string, data_bytes long", made)
 
 
 def entry_by_name(items: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ def refresh_cache(entries: DataFrame, cache_path: str, checkpoint: str, availabl
     """Appends hashed entries of a stream to a Parquet log, one folder a batch; a batch that is run again replaces its own."""
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256)).drop("content").write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
+        batch.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256)).drop("content").write.mode("overwrite").parquet(
+            f"{cache_path}/batch={number}")
 
     writer = entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
