@@ -6,16 +6,17 @@ meet only through these prefixes: sets that share enough of them come to the gro
 are stored in a trie whose levels hold 16, 32, 64, ... shingles. A probing set walks it level by level; the overlap with
 a path is computed once for all sets below it, and a subtree is pruned when its overlap and the remaining lengths can no
 longer reach what its smallest set needs, or when all its sets are in the probe's component already. Groups put out
-the links of a spanning forest, never all pairs.
+the links of a spanning forest, never all pairs. At first a set only meets the smallest one that it may link with; of the
+other pairs those are looked at that are of two components then.
 
 A group of more than `chunk` sets is joined in two steps. First each chunk is joined within itself and with the group's
-smallest set, which a group of copies is one component after. Then the sets outside of the group's largest component, few
+smallest set, after which a group of copies is one component. Then the sets outside of the group's largest component, few
 as a rule, are joined with all others, a chunk of the one and a chunk of the other at a time; pairs of one component are
 passed over. So texts of a group of near copies are copied a bounded number of times, however large the group is.
 
 Documents with equal sets are one node (the smallest doc_id) before the join.
 
-Joins that move texts or postings are merge joins at every size, so that what is measured on little data holds on much.
+Postings meet by merge joins at every size. Texts meet their blocks by a broadcast of checked size, else by a merge join.
 
 Cases: null and empty texts and texts without words have no shingles and link with nothing; a text of fewer words than
 the shingle is one shingle; rows with a null id take no part and have a null component; rows that repeat an id are one
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean
@@ -37,6 +38,8 @@ from .graph import components
 from .shingles import set_digest, shingle_set
 
 HOT = 1 << 62
+#: So many ids (longs), and so many rows of an id with its few blocks, are broadcast; more of them are shuffled.
+BROADCAST_IDS, BROADCAST_BLOCKS = 2_000_000, 250_000
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -48,6 +51,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _short(digest: bytes) -> int:
+    """What stands for a digest beside its node."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 class Order:
     """Shingle hashes as positive longs in the global order."""
 
@@ -163,35 +171,41 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str, sample_rows: i
     return np.array([r["h"] for r in reversed(best)], dtype=np.int64).view(np.uint64)
 
 
-def _members(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -> DataFrame:
-    """leader, node, digest: groups in which every two sets that may link meet.
+def _candidates(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs: a, b, structs of node and h; groups: leader, node, h) in which every two sets that may link meet.
 
     A prefix shingle of at most pair_sets sets gives their pairs (of sizes that can link). A linked pair shares, of its
     prefixes, as many shingles as its overlap needs beyond what can follow the prefixes; pairs with fewer are passed over,
     shingles of larger groups counting for every set that has them. The sets of a larger group all meet.
     """
-    postings = nodes.select("node", "digest", "size", F.explode("prefix").alias("token"))
+    postings = nodes.select("node", "h", "size", F.explode("prefix").alias("token"))
     tokens = scratch.save(postings.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"), "tokens")
     # only shingles of several sets come out of this join, a small part of all
     hits = scratch.save(postings.join(tokens.hint("merge"), "token"), "hits")
-    met = hits.where(F.col("sets") <= pair_sets).groupBy("token").agg(F.collect_list(F.struct("node", "digest", "size")).alias("all"))
+    met = hits.where(F.col("sets") <= pair_sets).groupBy("token").agg(F.collect_list(F.struct("node", "h", "size")).alias("all"))
     size = lambda x: x["size"]
     fits = lambda x, y: (x["node"] < y["node"]) & (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y)))
     pairs = met.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: fits(F.col("a"), y))).alias("b"))
     pairs = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     common = hits.where(F.col("sets") > pair_sets)
-    extra = scratch.save(common.groupBy("digest").agg(F.count("*").alias("extra")), "extra")
+    extra = scratch.save(common.groupBy("h").agg(F.count("*").alias("extra")), "extra")
     known = extra.hint("merge")
-    counted = pairs.withColumn("da", F.col("a.digest")).withColumn("db", F.col("b.digest"))
-    counted = counted.join(known.select(F.col("digest").alias("da"), F.col("extra").alias("ea")), "da", "left").join(
-        known.select(F.col("digest").alias("db"), F.col("extra").alias("eb")), "db", "left")
+    counted = pairs.withColumn("da", F.col("a.h")).withColumn("db", F.col("b.h"))
+    counted = counted.join(known.select(F.col("h").alias("da"), F.col("extra").alias("ea")), "da", "left")
+    counted = counted.join(known.select(F.col("h").alias("db"), F.col("extra").alias("eb")), "db", "left")
     reach = F.col("shared") + F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
     total, larger = F.col("a.size") + F.col("b.size"), F.greatest("a.size", "b.size")
     overlap = F.ceil(percent * total / F.lit(100 + percent) - F.lit(1e-9))
     after = F.ceil(percent * larger / F.lit(100) + F.lit(1e-9)) - 1
-    likely = counted.where(reach >= overlap - after).select("a", "b")
-    ends = likely.select(F.col("a.node").alias("leader"), F.explode(F.array("a", "b")).alias("x")).select("leader", "x.node", "x.digest")
-    return ends.unionByName(common.select("leader", "node", "digest")).distinct()
+    ends = [F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.h").alias("h")).alias(x) for x in "ab"]
+    likely = scratch.save(counted.where(reach >= overlap - after).select(*ends), "likely")
+    return likely, scratch.save(common.select("leader", "node", "h").distinct(), "groups")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """leader, node, h of pairs: the smaller node's group."""
+    both = pairs.select(F.col("a.node").alias("leader"), F.explode(F.array("a", "b")).alias("x"))
+    return both.select("leader", "x.node", "x.h").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000,
@@ -208,30 +222,38 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, short, prefixes = [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), words)
                 sizes.append(len(hashes))
                 digests.append(set_digest(hashes) if len(hashes) else None)
+                short.append(_short(digests[-1]) if len(hashes) else None)
                 prefixes.append(shared.value.keys(hashes)[: prefix_size(len(hashes), percent)] if len(hashes) else np.zeros(0, dtype=np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
-                ["doc_id", "n_shingles", "digest", "prefix"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "h", "prefix"])
 
-    sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, prefix array<long>"), "sketches")
+    sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, h long, prefix array<long>"), "sketches")
     usable = sketches.where("digest is not null and doc_id is not null")
-    nodes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"),
-        F.first("prefix").alias("prefix")), "nodes")
-    members = scratch.save(_members(nodes, percent, pair_sets, scratch), "members")
-    scratch.keep_only(sketches, nodes, members)
-    large = scratch.save(members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1"), "large")
-    own = lambda chunks: F.pmod(F.xxhash64("digest"), chunks).cast("int")
+    firsts = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("h").alias("h"), F.first("prefix").alias("prefix")]
+    nodes = scratch.save(usable.groupBy("digest").agg(*firsts), "nodes")
+    likely, groups = _candidates(nodes, percent, pair_sets, scratch)
+    scratch.keep_only(sketches, nodes, likely, groups)
+    # the texts that meet others at all, a part of the corpus
+    met = scratch.save(likely.select(F.explode(F.array("a.node", "b.node")).alias("doc_id")).unionByName(groups.select(F.col("node").alias("doc_id"))).distinct(), "met")
+    few = met.count() <= BROADCAST_IDS
+    texts = scratch.save(docs.join(F.broadcast(met) if few else met.hint("merge"), "doc_id", "left_semi"), "texts")
     none, zero = F.lit(None).cast("long"), F.lit(0)
-    chunks = F.coalesce("chunks", F.lit(1))
-    everywhere = F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(zero, chunks - 1)).otherwise(F.array(own(chunks))))
-    placed = members.join(large, "leader", "left").select("node", "digest", "leader", everywhere.alias("i"))
-    placed = placed.select("node", "digest", "leader", "i", F.col("i").alias("j"), zero.alias("side"), none.alias("of"))
+    own = lambda chunks: F.pmod(F.xxhash64("h"), chunks).cast("int")
+
+    def placed(members: DataFrame, of: Column) -> DataFrame:
+        """Chunks of the groups (leader, node, h), with the leader in each of them."""
+        counts = members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+        chunks = F.coalesce("chunks", F.lit(1))
+        where = F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(zero, chunks - 1)).otherwise(F.array(own(chunks))))
+        rows = members.join(counts.where("chunks > 1"), "leader", "left").select("node", "h", "leader", where.alias("i"), of.alias("of"))
+        return rows.select("node", "h", "leader", "i", F.col("i").alias("j"), zero.alias("side"), "of")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, sides, known, seen = None, [], [], [], [], set()
@@ -244,16 +266,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                     v.append(ids[b])
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("leader", "i", "j", "doc_id", "digest", "text", "side", "of")]
+            columns = [batch.column(c) for c in ("leader", "i", "j", "doc_id", "h", "text", "side", "of")]
             for row in range(batch.num_rows):
-                leader, i, j, doc, digest, text, side, of = (c[row].as_py() for c in columns)
+                leader, i, j, doc, h, text, side, of = (c[row].as_py() for c in columns)
                 if (leader, i, j) != key:
                     flush()
                     key, ids, sets, sides, known, seen = (leader, i, j), [], [], [], [], set()
                 hashes = shingle_set(text, words)
-                if (digest, side) in seen or set_digest(hashes) != digest:
+                if (doc, h, side) in seen or _short(set_digest(hashes)) != h:
                     continue  # another text under a repeated id, or a repeated row
-                seen.add((digest, side))
+                seen.add((doc, h, side))
                 ids.append(doc)
                 sets.append(shared.value.keys(hashes))
                 sides.append(side)
@@ -262,37 +284,51 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def links_of(placed: DataFrame, name: str) -> DataFrame:
-        """placed: node, digest, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
-        blocks = placed.groupBy("node", "digest").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
+        """placed: node, h, leader, i, j, side, of; rows of one (leader, i, j) are a block."""
+        blocks = placed.groupBy("node", "h").agg(F.collect_list(F.struct("leader", "i", "j", "side", "of")).alias("blocks"))
         blocks = scratch.save(blocks.withColumnRenamed("node", "doc_id"), f"{name}-blocks")
-        payload = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "digest", "text", F.explode("blocks").alias("b")).select("doc_id",
-            "digest", "text", "b.*")
-        payload = payload.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+        few = blocks.count() <= BROADCAST_BLOCKS
+        payload = texts.join(F.broadcast(blocks) if few else blocks.hint("merge"), "doc_id").select("doc_id", "h", "text", F.explode("blocks").alias("b"))
+        payload = payload.select("doc_id", "h", "text", "b.*").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
         found = scratch.save(payload.mapInArrow(lean(joined), "u long, v long"), name)
         scratch.drop(blocks)
         return found
 
-    links = links_of(placed, "links")
-    if large.limit(1).count():
-        labels = components(links, scratch)
-        inside = members.join(large, "leader").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node"))
-        inside = scratch.save(inside.select("leader", "node", "digest", "chunks", "of"), "inside")
-        main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("of", F.struct("n", "of")).alias("main"),
-            (F.sum("n") - F.max("n")).alias("others"))
-        main = scratch.save(main.where("others > 0").select("leader", "main", F.ceil(F.col("others") / F.lit(chunk)).cast("int").alias("rest")), "main")
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """rows with the component `of` their node."""
+        return rows.join(labels, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+
+    # every set meets the smallest one that it may link with, and its groups
+    first = _ends(likely.groupBy("b").agg(F.min("a").alias("a"))).unionByName(groups).distinct()
+    links = links_of(placed(first, none), "links")
+    labels = components(links, scratch)
+    # a leader's pairs all met, since it is in each of its chunks; its groups may not have
+    large = first.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).where("chunks > 1")
+    inside = scratch.save(labelled(groups.join(large, "leader"), labels), "inside")
+    if inside.limit(1).count():
+        main = inside.groupBy("leader", "of").agg(F.count("*").alias("n")).groupBy("leader")
+        main = main.agg(F.max_by("of", F.struct("n", "of")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        main = scratch.save(main.select("leader", "main", F.ceil(F.col("others") / F.lit(chunk)).cast("int").alias("rest")), "main")
         parted = inside.join(main, "leader")
         apart = F.col("of") != F.col("main")
         # blocks of chunk i of the main component and chunk j of the others, and of chunks of the others alone (i below 0)
         others = parted.where(apart).withColumn("mine", own(F.col("rest")))
-        first = parted.where(~apart).select("node", "digest", "leader", own(F.col("chunks")).alias("i"),
+        mine = parted.where(~apart).select("node", "h", "leader", own(F.col("chunks")).alias("i"),
             F.explode(F.sequence(zero, F.col("rest") - 1)).alias("j"), zero.alias("side"), "of")
-        second = others.select("node", "digest", "leader", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("mine").alias("j"),
+        theirs = others.select("node", "h", "leader", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), F.col("mine").alias("j"),
             F.lit(1).alias("side"), "of")
-        third = others.withColumn("other", F.explode(F.sequence(zero, F.col("rest") - 1))).select("node", "digest", "leader",
+        alone = others.withColumn("other", F.explode(F.sequence(zero, F.col("rest") - 1))).select("node", "h", "leader",
             (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"),
             (F.col("mine") > F.col("other")).cast("int").alias("side"), "of")
-        more = links_of(first.unionByName(second).unionByName(third), "more")
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+        more = links_of(mine.unionByName(theirs).unionByName(alone), "more")
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch)
+    # what is left of the pairs: those of two components
+    a, b = (labelled(likely.select("a", "b", F.col(f"{x}.node").alias("node")), labels).select("a", "b", F.col("of").alias(f"of_{x}")) for x in "ab")
+    apart = scratch.save(a.join(b, ["a", "b"]).where("of_a <> of_b").select("a", "b"), "apart")
+    links = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if apart.limit(1).count():
+        rest = labelled(_ends(apart), labels)
+        links = links.unionByName(links_of(placed(rest, F.col("of")), "rest"))
     again = usable.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two")
     repeated = again.join(usable.select("doc_id", "digest").distinct(), "doc_id").join(nodes.select("digest", "node"), "digest").select(
         F.col("doc_id").alias("u"), F.col("node").alias("v"))
