@@ -333,16 +333,16 @@ def dedup_simulate_orders(spark, sf_dir):
 
 # The fold over groups by recursion; a row emits a share, ends a batch, or both.
 _FOLD = """plan AS ({plan}), numbered AS (SELECT *, row_number() OVER (ORDER BY avg_phys, hash) AS k FROM plan),
-fold(k, at, files, used, batch, made, hash, first, last, usage) AS (
+fold(k, pos, files, used, batch, made, hash, first, last, usage) AS (
   SELECT 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
   UNION ALL
-  SELECT CASE WHEN fits OR (NOT closes AND until = n_dups) THEN k + 1 ELSE k END, CASE WHEN fits OR (NOT closes AND until = n_dups) THEN 0 WHEN closes THEN at ELSE until END,
-         CASE WHEN fits THEN files + n_dups - at + 1 ELSE 0 END, CASE WHEN fits THEN used + (n_dups - at + 1) * file_size ELSE 0 END, CASE WHEN fits THEN batch ELSE batch + 1 END,
-         CASE WHEN NOT closes THEN batch END, CASE WHEN NOT closes THEN name END, CASE WHEN NOT closes THEN at END, CASE WHEN NOT closes THEN CASE WHEN fits THEN n_dups ELSE until END - 1 END,
-         CASE WHEN NOT closes THEN (CASE WHEN fits THEN n_dups ELSE until END - at + 1) * file_size END
+  SELECT CASE WHEN fits OR (NOT closes AND until = n_dups) THEN k + 1 ELSE k END, CASE WHEN fits OR (NOT closes AND until = n_dups) THEN 0 WHEN closes THEN pos ELSE until END,
+         CASE WHEN fits THEN files + n_dups - pos + 1 ELSE 0 END, CASE WHEN fits THEN used + (n_dups - pos + 1) * file_size ELSE 0 END, CASE WHEN fits THEN batch ELSE batch + 1 END,
+         CASE WHEN NOT closes THEN batch END, CASE WHEN NOT closes THEN name END, CASE WHEN NOT closes THEN pos END, CASE WHEN NOT closes THEN CASE WHEN fits THEN n_dups ELSE until END - 1 END,
+         CASE WHEN NOT closes THEN (CASE WHEN fits THEN n_dups ELSE until END - pos + 1) * file_size END
   FROM (SELECT *, NOT fits AND files > 0 AS closes FROM (
-    SELECT f.k, f.at, f.files, f.used, f.batch, p.hash AS name, p.n_dups, p.file_size, f.files + p.n_dups - f.at + 1 <= 127 AND f.used + (p.n_dups - f.at + 1) * p.file_size <= {budget} AS fits,
-           least(p.n_dups, f.at + greatest(2, least(127, {budget} // greatest(p.file_size, 1))) - 1) AS until
+    SELECT f.k, f.pos, f.files, f.used, f.batch, p.hash AS name, p.n_dups, p.file_size, f.files + p.n_dups - f.pos + 1 <= 127 AND f.used + (p.n_dups - f.pos + 1) * p.file_size <= {budget} AS fits,
+           least(p.n_dups, f.pos + greatest(2, least(127, {budget} // greatest(p.file_size, 1))) - 1) AS until
     FROM fold f JOIN numbered p ON f.k = p.k))
 )
 SELECT 0 AS shard, made AS batch, hash, first, last, usage FROM fold WHERE made IS NOT NULL"""
