@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +59,12 @@ class Result:
         return stats.progress(self.analysis.candidates, self.analysis.files, deduped)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whichever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def run(spark: SparkSession, options: Options, extents: DataFrame | None = None) -> Result:
     """An analysis of options.paths.
 
@@ -68,7 +73,7 @@ def run(spark: SparkSession, options: Options, extents: DataFrame | None = None)
     physical) in place of those that the file system tells. extra["extents"] "false" asks for none.
     """
     cached = None
-    if options.cache_path and not options.no_cache and os.path.exists(options.cache_path):
+    if options.cache_path and not options.no_cache and _there(spark, options.cache_path):
         cached = cut(cache.load(spark, options.cache_path, options.paths))
     if options.no_scan:
         if cached is None:
