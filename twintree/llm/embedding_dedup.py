@@ -107,7 +107,7 @@ def compare_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "links": linked @ weight, "root": root})[lambda x: (x["links"] > 0) | (x["root"] != x["node"])]
 
 
-def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 8, leaf_rows: int = 2048, overlap: float = 0.25, max_copies: float = 4.0,
+def forest_links(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, leaf_rows: int = 2048, overlap: float = 0.25, max_copies: float = 8.0,
     sample_rows: int = 20_000, block_rows: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
     label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row. sample_rows bounds what the trees are fitted on.
