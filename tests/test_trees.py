@@ -206,8 +206,14 @@ def test_functions(spark):
     ).first()
     assert row["h"] == "1.5 KiB" and row["k"] == "5/1 @ 0xff" and row["t"] == "1970-01-02T00:01:01.000000007"
     assert row["c"] == 0xE3069283 and row["a"] == ["", "/a"] and row["b"] == 1 << 22
-    with pytest.raises(ValueError):
-        Options(shadow_rule=4)
+    for wrong in ({"shadow_rule": 4}, {"output": "x"}, {"paths": ("not/absolute",)}):
+        with pytest.raises(ValueError):
+            Options(**wrong)
+    more = spark.range(1).select(
+        S.page_rounded(F.lit(1.0)).alias("p"), S.profile_code(F.lit("raid10")).alias("c"), S.profile_code(F.lit("none such")).alias("n"),
+        S.uuid_text(F.unhex(F.lit("00112233445566778899aabbccddeeff"))).alias("u"), S.decode_hash(F.base64(F.unhex(F.lit("ab" * 32)))).alias("h"),
+    ).first()
+    assert (more["p"], more["c"], more["n"]) == (1 << 20, 64, None) and more["u"] == "00112233-4455-6677-8899-aabbccddeeff" and more["h"] == "ab" * 32
 
 
 def test_ranges_and_paths(spark):
