@@ -18,7 +18,7 @@ from twintree.llm.bpe import encode_documents
 from twintree.llm.embedding_dedup import forest_links, grow, leaves_of, plan_forest
 from twintree.llm.graph import components, local_roots
 from twintree.llm.common import Scratch
-from twintree.llm.jaccard_join import jaccard_components, keep_one
+from twintree.llm.jaccard_join import jaccard_components, keep_one, least_apart, least_overlap, parity_bits
 from twintree.llm.mixing import feasible, fit, mix, rake, shares
 from twintree.llm.sharding import shard_documents
 from twintree.llm.suffix_dedup import column_sort, remove_repeats
@@ -266,6 +266,46 @@ def test_jaccard_join_of_a_large_group(spark):
         assert got == dict(enumerate(root.tolist()))
 
 
+def test_jaccard_join_moves_no_texts_for_chance_meetings(spark, monkeypatch):
+    rng = random.Random(11)
+    phrases = [" ".join(f"{x}{i}" for x in "pqrs") for i in range(40)]
+    texts = []
+    for i in range(300):
+        parts = rng.sample(phrases, 12) + [" ".join(f"u{rng.randrange(10**9)}" for _ in range(8)) for _ in range(12)]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    for i in range(10):
+        texts.append(texts[i] + " end")
+    held, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        held.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(rows, hot_least=10**6, pair_sets=8).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(310)}
+    assert 20 <= held["texts"] <= 60
+
+
+def test_parity_bits_are_a_lower_bound(spark):
+    rng = np.random.default_rng(5)
+    rows, real = [], []
+    for n, m in ((1, 1), (1, 3), (40, 70), (127, 129), (500, 520), (1000, 1100), (3000, 9000), (20_000, 20_000)):
+        for share in (0.0, 0.5, 0.95, 1.0):
+            common = rng.integers(0, 2**63, int(share * min(n, m)), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k - len(common), dtype=np.uint64)])) for k in (n, m))
+            rows.append((len(real), parity_bits(a).tolist(), parity_bits(b).tolist()))
+            real.append((len(np.setxor1d(a, b)), share, len(a), len(b)))
+    found = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").select("i", least_apart(F.col("a"), F.col("b")).alias("n")).collect()
+    for i, n in ((r["i"], r["n"]) for r in found):
+        apart, share, x, y = real[i]
+        assert n <= apart and n % 2 == apart % 2
+        assert share or min(x, y) < 100 or n > x + y - 2 * least_overlap(x, y, 85)  # tells sets apart that share nothing
+
+
 def test_jaccard_join_awkward_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "p q r s t u"), (2, "p q r s t u"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_components(rows).collect())

@@ -1,7 +1,7 @@
 """Operator 4: exact n-gram Jaccard self-join with prefix trees.
 
-Shingle sets are ordered by one global order: ordinary shingles by hash, shingles that a bounded sample shows to be
-frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (n: the set's size), so sets
+Shingle sets are ordered by one global order: ordinary shingles by hash, then those that crowd the prefixes of a first pass
+over all texts, last shingles that a bounded sample shows to be frequent. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (n: the set's size), so sets
 meet only through these prefixes: sets that share enough of them come to the group of the smallest. A group's sets
 are stored in a trie whose levels hold 16, 32, 64, ... shingles. A probing set walks it level by level; the overlap with
 a path is computed once for all sets below it, and a subtree is pruned when its overlap and the remaining lengths can no
@@ -14,6 +14,9 @@ smallest set, after which a group of copies is one component. Then the sets outs
 as a rule, are joined with all others, a chunk of the one and a chunk of the other at a time; pairs of one component are
 passed over. So texts of a group of near copies are copied a bounded number of times, however large the group is.
 
+Pairs are held against parity bits of their sets before any text moves: a bit that differs is a shingle that only one set
+has, and linked sets have few of those. So texts move for pairs that are nearly linked, not for chance meetings.
+
 Documents with equal sets are one node (the smallest doc_id) before the join.
 
 Postings meet by merge joins at every size. Texts meet their blocks by a broadcast of checked size, else by a merge join.
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +55,27 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """Longs whose bit i tells whether an odd number of hashes end in i; between half a bit and one bit a hash, 64 at least."""
+    bits = max(64, 1 << max(len(hashes).bit_length() - 1, 0))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _folded(parity: Column, size: Column) -> Column:
+    """What the same set's parity bits are in `size` longs, a power of two up to their number."""
+    place = lambda k: F.aggregate(F.sequence(k, F.size(parity), size), F.lit(0).cast("long"),
+        lambda x, at: x.bitwiseXOR(F.element_at(parity, at)))
+    return F.when(F.size(parity) == size, parity).otherwise(F.transform(F.sequence(F.lit(1), size), place))
+
+
+def least_apart(a: Column, b: Column) -> Column:
+    """At least so many shingles are in one of two sets only, by their parity bits."""
+    size = F.least(F.size(a), F.size(b))
+    differ = F.zip_with(_folded(a, size), _folded(b, size), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+
+
 def _short(digest: bytes) -> int:
     """What stands for a digest beside its node."""
     return int.from_bytes(digest[:8], "little", signed=True)
@@ -59,17 +84,24 @@ def _short(digest: bytes) -> int:
 class Order:
     """Shingle hashes as positive longs in the global order."""
 
-    def __init__(self, frequent: np.ndarray):
-        """frequent: hashes from the rarest to the commonest."""
+    def __init__(self, frequent: np.ndarray, crowded: np.ndarray | None = None):
+        """frequent: hashes from the rarest to the commonest; crowded: keys in an order without crowded, likewise."""
         self.by_hash = np.argsort(frequent)
         self.sorted = frequent[self.by_hash]
+        crowded = np.zeros(0, dtype=np.int64) if crowded is None else crowded
+        self.by_key = np.argsort(crowded)
+        self.crowded = crowded[self.by_key]
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         out = (hashes >> np.uint64(2)).astype(np.int64)
+        if len(self.crowded) and len(hashes):
+            at = np.minimum(np.searchsorted(self.crowded, out), len(self.crowded) - 1)
+            late = self.crowded[at] == out
+            out[late] = HOT + self.by_key[at[late]]
         if len(self.sorted) and len(hashes):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
             hot = self.sorted[at] == hashes
-            out[hot] = HOT + self.by_hash[at[hot]]
+            out[hot] = HOT + len(self.crowded) + self.by_hash[at[hot]]
         out.sort()
         return out
 
@@ -171,12 +203,46 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str, sample_rows: i
     return np.array([r["h"] for r in reversed(best)], dtype=np.int64).view(np.uint64)
 
 
+def crowded_shingles(docs: DataFrame, words: int, percent: int, order: Broadcast, least: int, most: int, scratch: Scratch) -> np.ndarray:
+    """Keys in the given order, from the rarest to the commonest, of shingles in the prefixes of more than `least` of all docs.
+
+    At most `most`, the commonest; those that the order puts last already are left out. Like the sample's, they only steer
+    which shingles sets meet by.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.zeros(0, dtype=np.int64)]
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py(), words)
+                if len(hashes):
+                    prefixes.append(order.value.keys(hashes)[: prefix_size(len(hashes), percent)])
+            tokens, n = np.unique(np.concatenate(prefixes), return_counts=True)
+            usual = tokens < HOT
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[usual], pa.int64()), "n": pa.array(n[usual], pa.int64())})
+
+    found = docs.select("text").mapInArrow(lean(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = scratch.save(found.where(F.col("n") > least), "crowded")
+    # from so many texts on there are at most `most`
+    least, held = least + 1, 0
+    for n, tokens in sorted(((r["n"], r["tokens"]) for r in found.groupBy("n").agg(F.count("*").alias("tokens")).collect()), reverse=True):
+        held += tokens
+        if held > most:
+            least = n + 1
+            break
+    best = found.where(F.col("n") >= least).toArrow()
+    scratch.drop(found)
+    tokens, n = (best.column(c).to_numpy() for c in ("token", "n"))
+    return tokens[np.lexsort((tokens, n))]
+
+
 def _candidates(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(pairs: a, b, structs of node and h; groups: leader, node, h) in which every two sets that may link meet.
 
     A prefix shingle of at most pair_sets sets gives their pairs (of sizes that can link). A linked pair shares, of its
     prefixes, as many shingles as its overlap needs beyond what can follow the prefixes; pairs with fewer are passed over,
-    shingles of larger groups counting for every set that has them. The sets of a larger group all meet.
+    shingles of larger groups counting for every set that has them. So are pairs whose parity bits differ in more places
+    than linked sets differ in shingles. The sets of a larger group all meet.
     """
     postings = nodes.select("node", "h", "size", F.explode("prefix").alias("token"))
     tokens = scratch.save(postings.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"), "tokens")
@@ -198,7 +264,11 @@ def _candidates(nodes: DataFrame, percent: int, pair_sets: int, scratch: Scratch
     overlap = F.ceil(percent * total / F.lit(100 + percent) - F.lit(1e-9))
     after = F.ceil(percent * larger / F.lit(100) + F.lit(1e-9)) - 1
     ends = [F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.h").alias("h")).alias(x) for x in "ab"]
-    likely = scratch.save(counted.where(reach >= overlap - after).select(*ends), "likely")
+    likely = counted.where(reach >= overlap - after)
+    for x in "ab":
+        bits = nodes.select(F.col("node").alias(f"n{x}"), F.col("h").alias(f"d{x}"), F.col("parity").alias(f"p{x}"))
+        likely = likely.withColumn(f"n{x}", F.col(f"{x}.node")).join(bits.hint("merge"), [f"n{x}", f"d{x}"])
+    likely = scratch.save(likely.where(least_apart(F.col("pa"), F.col("pb")) <= total - 2 * overlap).select(*ends), "likely")
     return likely, scratch.save(common.select("leader", "node", "h").distinct(), "groups")
 
 
@@ -209,34 +279,42 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000,
-    hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64, scratch: Scratch | None = None) -> DataFrame:
+    hot_least: int = 4, hot_most: int = 50_000, chunk: int = 256, pair_sets: int = 64, scratch: Scratch | None = None,
+    crowded_most: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
     sample_rows, hot_least and hot_most bound the list of frequent shingles, which is broadcast; chunk bounds a block;
-    pair_sets is the largest group of a shingle that is taken apart into pairs.
+    pair_sets is the largest group of a shingle that is taken apart into pairs; of the shingles that have larger groups at
+    first, the commonest crowded_most, broadcast too, go behind the others.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(Order(frequent_shingles(docs, words, "text", sample_rows, hot_least, hot_most)))
+    frequent = frequent_shingles(docs, words, "text", sample_rows, hot_least, hot_most)
+    usual = spark.sparkContext.broadcast(Order(frequent))
+    shared = spark.sparkContext.broadcast(Order(frequent, crowded_shingles(docs, words, percent, usual, pair_sets, crowded_most, scratch)))
+    usual.destroy()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, short, prefixes = [], [], [], []
+            sizes, digests, short, prefixes, bits = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), words)
                 sizes.append(len(hashes))
                 digests.append(set_digest(hashes) if len(hashes) else None)
                 short.append(_short(digests[-1]) if len(hashes) else None)
                 prefixes.append(shared.value.keys(hashes)[: prefix_size(len(hashes), percent)] if len(hashes) else np.zeros(0, dtype=np.int64))
+                bits.append(parity_bits(hashes))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "h", "prefix"])
+            parity = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bits)]).astype(np.int32), np.concatenate(bits) if bits else np.zeros(0, dtype=np.int64))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.int64()), lists, parity]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "h", "prefix", "parity"])
 
-    sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, h long, prefix array<long>"), "sketches")
+    sketches = scratch.save(docs.mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, h long, prefix array<long>, parity array<long>"), "sketches")
     usable = sketches.where("digest is not null and doc_id is not null")
-    firsts = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("h").alias("h"), F.first("prefix").alias("prefix")]
+    firsts = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("h").alias("h"), F.first("prefix").alias("prefix"),
+        F.first("parity").alias("parity")]
     nodes = scratch.save(usable.groupBy("digest").agg(*firsts), "nodes")
     likely, groups = _candidates(nodes, percent, pair_sets, scratch)
     scratch.keep_only(sketches, nodes, likely, groups)
