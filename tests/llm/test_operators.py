@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -306,6 +307,18 @@ def test_parity_bits_are_a_lower_bound(spark):
         assert share or min(x, y) < 100 or n > x + y - 2 * least_overlap(x, y, 85)  # tells sets apart that share nothing
 
 
+def test_scratch_leaves_no_shuffle_files(spark):
+    shuffles = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: shuffles.getAllFiles().size()
+    before = files()
+    Scratch(spark, "test").save(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")), "rows")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def test_jaccard_join_awkward_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "p q r s t u"), (2, "p q r s t u"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_components(rows).collect())
