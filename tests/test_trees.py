@@ -10,6 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from twintree import queries
 from twintree.functions import paths as P
 from twintree.functions import scalars as S
 from twintree.operators import dedup, diff, directories, groups
@@ -197,6 +198,19 @@ def test_file_system_archives_and_cache(spark, tmp_path):
     assert again["m"]
 
 
+def test_human_size_of_large_sizes(spark, tmp_path):
+    longs = spark.createDataFrame([(2**60 - 1,), (2**63 - 1,), (-5,), (None,)], "size long")
+    assert [r["h"] for r in longs.select(S.human_size(F.col("size")).alias("h")).collect()] == ["1023.9 PiB", "7.9 EiB", "-5 B", None]
+    # SQL knows no unit above TiB; the last two sizes are beyond a long, ten times the third is too
+    rows = [(1, "é"), (11_000, "abcdefghij" * 100), (1_000_000, "ab"), (2_000_000, "abc"), (3_000_000, "abcdefghij" * 10), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["size"], r["shown"]) for r in queries.human_size_docs(spark, str(tmp_path)).collect()}
+    sizes = {i: len(text.encode()) * (1 + i**3) for i, text in rows if text}
+    tib = {i: f"{n // 1024**4}.{n % 1024**4 * 10 // 1024**4} TiB" for i, n in sizes.items()}
+    assert got == {1: (4, "4 B"), 5: (None, None), 2_000_000: (None, tib[2_000_000]), 3_000_000: (None, tib[3_000_000])} | {
+        i: (sizes[i], tib[i]) for i in (11_000, 1_000_000)}
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         S.human_size(F.lit(1536).cast("long")).alias("h"), S.key_text(F.lit(5), F.lit(1), F.lit(255)).alias("k"),

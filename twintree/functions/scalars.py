@@ -20,14 +20,20 @@ COMPRESSION = {0: "none", 1: "zlib", 2: "lzo"}
 ICON_RANK = {"D": 0, "A": 1, "F": 2, "X": 3}
 
 
-def human_size(size: Column) -> Column:
-    """Binary units with one decimal, cut off rather than rounded; below 1024 a whole number."""
-    units = ["Ki", "Mi", "Gi", "Ti", "Pi", "Ei"]
+def human_size(size: Column, units: int = 6) -> Column:
+    """Binary units with one decimal, cut off rather than rounded; below 1024 a whole number.
+
+    size: a long or a decimal without fraction; units: how many of Ki to Ei there are, the last one for all that is larger.
+    """
+    exact = size.cast("decimal(38,0)")
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(units, 1):
-        tenths = F.floor(size * 10 / F.lit(float(1024**power))).cast("long")
-        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {unit}B"))
-        out = F.when(size >= 1024**power, text).otherwise(out)
+    for power, unit in enumerate(["Ki", "Mi", "Gi", "Ti", "Pi", "Ei"][:units], 1):
+        one = F.lit(1024**power).cast("decimal(19,0)")
+        # in whole numbers: neither ten times a size nor its double need be exact
+        whole = F.call_function("div", exact, one)
+        tenth = F.call_function("div", (exact % one) * 10, one)
+        text = F.concat(whole.cast("string"), F.lit("."), tenth.cast("string"), F.lit(f" {unit}B"))
+        out = F.when(exact >= one, text).otherwise(out)
     return out
 
 

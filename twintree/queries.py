@@ -414,8 +414,11 @@ def archive_extension_filter_pages(spark, sf_dir):
     "SELECT doc_id, size, CASE WHEN p = 0 THEN size || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KiB','MiB','GiB','TiB'][p] END AS shown FROM t",
 )
 def human_size_docs(spark, sf_dir):
-    size = F.octet_length("text").cast("long") * (1 + F.col("doc_id") * F.col("doc_id") * F.col("doc_id"))
-    return corpora.table(spark, sf_dir, "documents").select("doc_id", size.alias("size")).withColumn("shown", S.human_size(F.col("size")))
+    """Sizes that no long holds (from 100 KB texts at id 45,000 on) are null; what is shown is exact for them too."""
+    id_ = F.col("doc_id").cast("decimal(38,0)")
+    exact = F.octet_length("text").cast("decimal(10,0)") * (1 + id_ * id_ * id_)
+    sized = corpora.table(spark, sf_dir, "documents").select("doc_id", exact.alias("exact"))
+    return sized.select("doc_id", F.col("exact").try_cast("long").alias("size"), S.human_size(F.col("exact"), units=4).alias("shown"))
 
 
 @query("path_prefix_strip",
