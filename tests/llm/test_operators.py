@@ -216,6 +216,19 @@ def test_suffix_dedup_of_hot_cores(docs, texts):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_passages(spark):
+    """Shared passages of over 50 words go from 400 bytes on, not at 399; n_bytes is the length before, n_removed tells."""
+    rng = random.Random(8)
+    passages = {n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))[: n - 1] + "é" for n in (398, 399)}
+    rows = [(10 * n + i, f"{i}{p}{i + 5}") for n, p in passages.items() for i in range(2)]
+    assert all(len(p.split()) > 50 for p in passages.values()) and [len(p.encode()) for p in passages.values()] == [399, 400]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()}
+    for i, text in rows:
+        gone = 400 * (i >= 3990)
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(text.encode()), gone, gone // 400)
+        assert got[i]["text"] == (text[0] + text[-1] if gone else text)
+
+
 def test_column_sort():
     rng = random.Random(4)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(30)]
